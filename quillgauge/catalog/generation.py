@@ -66,13 +66,13 @@ def prompt_pick(spark, sf):
 SHOTS = f"""examples AS (SELECT lang AS label, doc_id AS row_id, substr(text, 1, 60) AS text,
   row_number() OVER (PARTITION BY lang ORDER BY doc_id) - 1 AS idx, count(*) OVER (PARTITION BY lang) AS n FROM documents),
 sizes AS (SELECT label, count(*) AS n FROM examples GROUP BY 1),
-tries AS (SELECT label, n, repetition, t FROM (SELECT *, unnest(range(CASE WHEN n <= 12 THEN n ELSE 70 END)) AS t
+tries AS (SELECT label, n, repetition, t FROM (SELECT *, unnest(range(CASE WHEN n <= 6 THEN n ELSE 70 END)) AS t
   FROM (SELECT *, unnest(range(500)) AS repetition FROM sizes))),
 keyed AS (SELECT *, {md5_sql("label", "repetition", "t", seed="shots")} AS k FROM tries),
-picked AS (SELECT label, repetition, CASE WHEN n <= 12 THEN t ELSE {key_number_sql("k", 15)} % n END AS idx,
-  CASE WHEN n <= 12 THEN k ELSE lpad(CAST(t AS VARCHAR), 12, '0') END AS rank FROM keyed),
+picked AS (SELECT label, repetition, CASE WHEN n <= 6 THEN t ELSE {key_number_sql("k", 15)} % n END AS idx,
+  CASE WHEN n <= 6 THEN {key_number_sql("k", 15)} ELSE t END AS rank FROM keyed),
 firsts AS (SELECT label, repetition, idx, min(rank) AS rank FROM picked GROUP BY 1, 2, 3),
-ranked AS (SELECT *, row_number() OVER (PARTITION BY label, repetition ORDER BY rank) AS draw FROM firsts),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY label, repetition ORDER BY rank, idx) AS draw FROM firsts),
 shots AS (SELECT label, repetition AS prompt_idx, draw, row_id, text FROM ranked JOIN examples USING (label, idx) WHERE draw <= 3)"""
 
 
@@ -263,12 +263,12 @@ def rewrite_requests(spark, sf):
 l AS (SELECT dataset_id, label, chunk, block, p.template AS t1, m.template AS t2 FROM chunks JOIN prompts p USING (label) JOIN more m USING (label)
   WHERE p.prompt_idx = 0 AND m.prompt_idx = 0),
 m AS (SELECT dataset_id, label, chunk, unnest(range(4)) AS place, unnest(['system', 'user', 'assistant', 'user']) AS role,
-  unnest(['You are a helpful assistant.', replace(t1, '{{{{answer}}}}', block), upper(block), t2]) AS content FROM l)
+  unnest(['You are a helpful assistant.', replace(t1, '{{{{answer}}}}', block), replace(block, 'e', 'E'), t2]) AS content FROM l)
 SELECT dataset_id, label, chunk, CAST(place AS INTEGER) AS place, role, content FROM m""")
 def rewrite_levels(spark, sf):
     _, requests = _requests(spark, sf, 3)
     keys = ["dataset_id", "label", "chunk"]
-    log = requests.select(*keys, F.upper("block").alias("answer"))
+    log = requests.select(*keys, F.replace("block", F.lit("e"), F.lit("E")).alias("answer"))
     first = prompt_set(spark, sf, "quality").filter("prompt_idx = 0").select("label", "template")
     second = prompt_set(spark, sf, "toxic").filter("prompt_idx = 0").select("label", "template")
     level1 = rewrite.run_level(requests.withColumnRenamed("block", "answer"), first, log, keys)
@@ -276,14 +276,14 @@ def rewrite_levels(spark, sf):
     return level2.select(*keys, F.posexplode("messages").alias("place", "m")).select(*keys, "place", "m.role", "m.content")
 
 
-_ANSWERS = f"""answers AS (SELECT dataset_id, label, rtrim(regexp_replace(upper(text), '^[\\p{{N}}.: )]*', ''), ' ') AS text FROM placed),
+_ANSWERS = f"""answers AS (SELECT dataset_id, label, rtrim(regexp_replace(replace(text, 'e', 'E'), '^[\\p{{N}}.: )]*', ''), ' ') AS text FROM placed),
 merged AS (SELECT dataset_id, label, text, 'unchosen' AS origin FROM flat WHERE NOT chosen
   UNION ALL SELECT dataset_id, label, text, 'answer' FROM answers WHERE length(text) > 0)"""
 
 
 def _merge(spark, sf, extend: bool) -> DataFrame:
     flat, requests = _requests(spark, sf, 3)
-    responses = requests.withColumn("text", F.upper("block"))
+    responses = requests.withColumn("text", F.replace("block", F.lit("e"), F.lit("E")))
     return rewrite.merge(flat, requests, responses, extract.numbered_answers("text", F.lit("stop")), extend)
 
 

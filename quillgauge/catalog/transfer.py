@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import HashingTF, StringIndexer
 from pyspark.sql import DataFrame
@@ -186,8 +188,8 @@ def _all_sql(tag: str, source: str, test: str) -> str:
     """Fold values of every portable measure for one dataset CTE against one test CTE."""
     parts = folds_sql(source)
     for cte in ("folds", "sizes", "rest", "parts", "tr", "va"):
-        parts = parts.replace(f"{cte} AS (", f"{tag}_{cte} AS (").replace(f"FROM {cte} ", f"FROM {tag}_{cte} ")
-        parts = parts.replace(f"JOIN {cte} ", f"JOIN {tag}_{cte} ")
+        parts = re.sub(rf"\b{cte}\b(?= AS \()", f"{tag}_{cte}", parts)
+        parts = re.sub(rf"\b(FROM|JOIN) {cte}\b", rf"\1 {tag}_{cte}", parts)
     tr, va = f"{tag}_tr", f"{tag}_va"
     return f"""{parts},
 {tag}_tokens AS (SELECT model AS dataset_id, unnest({TOKENS_SQL}) AS token FROM {tr}),

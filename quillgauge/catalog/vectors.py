@@ -43,7 +43,7 @@ def mean_pool(spark, sf):
 
 
 @query("vector_dedup_exact", """WITH v AS (SELECT CAST(label AS VARCHAR) AS dataset_id, vec_id AS row_id, embedding AS vector FROM embeddings
-UNION ALL SELECT CAST((label + k) % 10 AS VARCHAR), vec_id + 1000000000 * k, embedding FROM embeddings, (SELECT unnest([1, 2, 3]) AS k)),
+UNION ALL SELECT CAST((label + k) % 10 AS VARCHAR), vec_id + 1000000000 * k::BIGINT, embedding FROM embeddings, (SELECT unnest([1, 2, 3]) AS k)),
 k AS (SELECT *, min(row_id) OVER (PARTITION BY vector) AS kept_id FROM v)
 SELECT kept_id, dataset_id, count(*) AS copies FROM k GROUP BY 1, 2""")
 def vector_dedup_exact(spark, sf):
@@ -57,7 +57,7 @@ def vector_dedup_exact(spark, sf):
     return vectors.exact_copies(every)
 
 
-@query("vector_dedup_within", """WITH v AS (SELECT CAST((label + k) % 10 AS VARCHAR) AS dataset_id, vec_id + 1000000000 * k AS row_id,
+@query("vector_dedup_within", """WITH v AS (SELECT CAST((label + k) % 10 AS VARCHAR) AS dataset_id, vec_id + 1000000000 * k::BIGINT AS row_id,
   list_transform(CAST(embedding AS DOUBLE[]), lambda x: x + s) AS vector FROM embeddings,
   (SELECT unnest([0, 1, 2, 3]) AS k, unnest([0, 0, 1e-5, 1e-2]::DOUBLE[]) AS s)),
 near AS (SELECT a.row_id AS a, b.row_id AS b, b.dataset_id FROM v a JOIN v b ON list_distance(a.vector, b.vector) <= 1e-3),

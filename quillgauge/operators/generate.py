@@ -29,11 +29,12 @@ def request_plan(deficits: DataFrame, per_request: int = 20, retry: bool = False
     Large deficits are cut into blocks first, so that no task makes all requests of a label.
     """
     requests = F.ceil(F.col("deficit") / per_request)
+    spread = int(deficits.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     blocks = (
         deficits.filter(F.col("deficit") > 0)
         .withColumn("__n", requests)
         .withColumn("__from", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("__n") - 1, F.lit(block).cast("bigint"))))
-        .repartition("label", "__from")
+        .repartition(spread, "label", "__from")
     )
     single = blocks.withColumn(
         "request", F.explode(F.sequence("__from", F.least(F.col("__from") + block, F.col("__n")) - 1))

@@ -79,22 +79,27 @@ def draw_indices(groups: DataFrame, key: Sequence[str], size: str, m: int, repet
     """For each group and repetition, m of the numbers 0 … size−1 without replacement.
 
     Equal draws are dropped and the first m different ones kept, which is a simple random sample
-    in random order. Groups up to 4·m in size rank all their numbers instead. Work depends on m
+    in random order. Groups up to 2·m in size rank all their numbers instead. Work depends on m
     and the repetitions only, not on the size. Groups smaller than m yield nothing.
     """
-    small = F.col(size) <= 4 * m
+    small = F.col(size) <= 2 * m
     tries = F.when(small, F.col(size)).otherwise(F.lit(2 * m + 64)).cast("bigint")
+    # A fixed partition count: the few rows here grow by the tries, which no size estimate sees.
+    spread = int(groups.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     drawn = (
         groups.filter(F.col(size) >= m)
         .withColumn("repetition", F.explode(F.sequence(F.lit(0), F.lit(repetitions - 1)).cast("array<bigint>")))
+        .repartition(spread, *key, "repetition")
         .withColumn("__try", F.explode(F.sequence(F.lit(0).cast("bigint"), tries - 1)))
         .withColumn("__key", order_key(*key, "repetition", "__try", seed=seed))
     )
     wide = F.conv(F.substring("__key", 1, 15), 16, 10).cast("bigint")
-    picked = drawn.withColumn("index", F.when(small, F.col("__try")).otherwise(F.pmod(wide, F.col(size))))
-    rank = F.when(small, F.col("__key")).otherwise(F.lpad(F.col("__try").cast("string"), 12, "0"))
+    picked = drawn.withColumn("__wide", wide).withColumn(
+        "index", F.when(small, F.col("__try")).otherwise(F.pmod("__wide", F.col(size)))
+    )
+    rank = F.when(small, F.col("__wide")).otherwise(F.col("__try"))
     firsts = picked.groupBy(*key, "repetition", "index").agg(F.min(rank).alias("__rank"))
-    w = Window.partitionBy(*key, "repetition").orderBy("__rank")
+    w = Window.partitionBy(*key, "repetition").orderBy("__rank", "index")
     return (
         firsts.withColumn("draw", F.row_number().over(w).cast("bigint"))
         .filter(F.col("draw") <= m)

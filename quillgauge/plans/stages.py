@@ -70,11 +70,13 @@ def converter_chains(levels: Sequence[Column], skip_levels: bool = True) -> Colu
     the last level. No levels, or no full chain, give the empty chain alone.
     """
     empty = F.array(F.array().cast("array<string>"))
+
+    def extended(chains: Column, level: Column) -> Column:
+        return F.flatten(F.transform(chains, lambda head: F.transform(level, lambda c: F.concat(head, F.array(c)))))
+
     heads, ends = empty, None
     for level in levels:
-        ends = F.flatten(
-            F.transform(heads, lambda head, lv=level: F.transform(lv, lambda c: F.concat(head, F.array(c))))
-        )
+        ends = extended(heads, level)
         heads = F.concat(heads, ends)
     if ends is None:
         return empty
@@ -95,6 +97,8 @@ def config_grid(
     sweep = F.sequence(F.lit(low), F.lit(high - 1), F.lit(step))
     return (
         generators.withColumn("chain", F.explode(converter_chains(levels, skip_levels)))
-        .withColumn("temperature", F.explode(sweep) / 1000)
-        .withColumn("run", F.explode(F.sequence(F.lit(0), F.lit(runs - 1))).cast("bigint"))
+        .withColumn("__milli", F.explode(sweep))
+        .withColumn("temperature", F.col("__milli") / 1000)
+        .withColumn("run", F.explode(F.sequence(F.lit(0), F.lit(runs - 1)).cast("array<bigint>")))
+        .drop("__milli")
     )
