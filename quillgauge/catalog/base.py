@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillgauge.operators import report
+from quillgauge.session import spread
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -34,8 +35,13 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
     return add
 
 
+# Tables with long texts and the id their rows are dealt out by when they come in few files.
+_TEXT_TABLES = {"documents": ["doc_id"], "conversations": ["conv_id", "turn"], "pages": ["page_id"]}
+
+
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf}/{name}.parquet")
+    df = spark.read.parquet(f"{sf}/{name}.parquet")
+    return spread(df, *_TEXT_TABLES[name]) if name in _TEXT_TABLES else df
 
 
 def datasets(spark: SparkSession, sf: str) -> DataFrame:

@@ -73,8 +73,7 @@ SELECT model AS dataset_id, token, label, round(lp, 6) AS weight FROM m_lik UNIO
 def nb_model(spark, sf):
     train = sampling.halves(datasets(spark, sf)).filter("half = 1")
     model = classify.train(train, ["dataset_id"], classify.label_list(train))
-    names = F.array(*[F.struct(F.lit(v).alias("label"), F.col(f"w{i}").alias("weight")) for i, v in enumerate(model.labels)])
-    return rounded(model.weights.select("dataset_id", "token", F.inline(names)).filter("weight IS NOT NULL"))
+    return rounded(classify.likelihoods(model))
 
 
 @query("nb_predict", f"WITH {HALF_PRED} SELECT model AS dataset_id, row_id, label, predicted, round(confidence, 6) AS confidence FROM pred")

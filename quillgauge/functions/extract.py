@@ -43,27 +43,34 @@ def plain_answer(
     return F.when((F.length(t) > 0) & ~_mentions_any(t, excluded), t)
 
 
-def unquote(line: Column | str, marker: str) -> Column:
-    """Drop the leading ``marker`` characters, then the quotes around the sentence.
+def unquote_all(lines: Column, marker: str) -> Column:
+    """Drop each line's leading ``marker`` characters, then the quotes around the sentence.
 
     Text after the last closing quote is lost and an unclosed quote keeps the rest of the line;
     without an opening quote only spaces at the end go.
     """
-    raw = _col(line)
-    rest = F.regexp_replace(raw, f"^[{marker}]*", "")
-    inner = F.substring(rest, 2, 1 << 30)
+    # Two steps, so that the pattern runs once per line.
+    parts = F.transform(
+        lines, lambda line: F.struct(line.alias("raw"), F.regexp_replace(line, f"^[{marker}]+", "").alias("rest"))
+    )
 
-    def closed(quote: str) -> Column:
-        head = F.regexp_extract(inner, f"(?s)^(.*){quote}", 1)
-        return F.when(F.length(head) <= 1, inner).otherwise(head)
+    def sentence(part: Column) -> Column:
+        raw, rest = part["raw"], part["rest"]
+        inner = F.substring(rest, 2, 1 << 30)
 
-    return (
-        F.when(rest.startswith('"'), closed('"'))
-        .when(rest.startswith("'"), closed("'"))
-        .when(F.rtrim(raw) == "", raw)
-        .when(rest == "", F.regexp_replace(raw, " +$", ""))
-        .otherwise(F.regexp_replace(rest, " +$", ""))
-    )
+        def closed(quote: str) -> Column:
+            head = F.regexp_extract(inner, f"(?s)^(.*){quote}", 1)
+            return F.when(F.length(head) <= 1, inner).otherwise(head)
+
+        return (
+            F.when(rest.startswith('"'), closed('"'))
+            .when(rest.startswith("'"), closed("'"))
+            .when(rest != "", F.rtrim(rest))
+            .when(F.rtrim(raw) == "", raw)
+            .otherwise(F.rtrim(raw))
+        )
+
+    return F.transform(parts, sentence)
 
 
 def response_lines(text: Column | str) -> Column:
@@ -91,7 +98,7 @@ def numbered_answers(
         return (line.rlike(r"^\p{Nd}+[.:)]") & ok) if only_numbered else ok
 
     lines = F.filter(response_lines(text), keep)
-    found = F.filter(F.transform(lines, lambda x: unquote(x, r"\p{N}.: )")), lambda s: F.length(s) > 0)
+    found = F.filter(unquote_all(lines, r"\p{N}.: )"), lambda s: s != "")
     return _drop_last_if_cut(found, finish_reason)
 
 
@@ -101,31 +108,32 @@ def paired_answers(text: Column | str, finish_reason: Column | str) -> Column:
     The newest a and b are held; when both are there the pair is emitted and both are forgotten.
     An empty sentence forgets both. The numbers themselves are not compared.
     """
-    marker = {"a": r"^\p{Nd}+a+[.:)]\s?", "b": r"^\p{Nd}+b+[.:)]\s?"}
+    pair_type = "array<struct<text: string, other_text: string>>"
+    state_type = f"struct<a: string, b: string, pairs: {pair_type}>"
+    marker = r"^\p{Nd}+(a+|b+)[.:)]\s?"
+    marked = F.filter(response_lines(text), lambda line: line.rlike(marker))
+    kinds = F.transform(marked, lambda line: F.substring(F.regexp_extract(line, marker, 1), 1, 1))
+    sentences = unquote_all(F.transform(marked, lambda line: F.regexp_replace(line, marker, "")), ".: )")
+    items = F.arrays_zip(kinds.alias("kind"), sentences.alias("sentence"))
     nothing = F.lit(None).cast("string")
-    state_type = "struct<a: string, b: string, pairs: array<struct<text: string, other_text: string>>>"
-    start = F.struct(
-        nothing.alias("a"), nothing.alias("b"), F.array().cast("array<struct<text: string, other_text: string>>").alias("pairs")
-    ).cast(state_type)
 
     def state(a: Column, b: Column, pairs: Column) -> Column:
         return F.struct(a.alias("a"), b.alias("b"), pairs.alias("pairs")).cast(state_type)
 
-    def step(acc: Column, line: Column) -> Column:
-        is_a, is_b = line.rlike(marker["a"]), line.rlike(marker["b"])
-        pattern = F.when(is_a, F.lit(marker["a"])).otherwise(F.lit(marker["b"]))
-        sentence = unquote(F.regexp_replace(line, pattern, F.lit("")), ".: )")
-        a = F.when(is_a, sentence).otherwise(acc["a"])
-        b = F.when(is_a, acc["b"]).otherwise(sentence)
+    start = state(nothing, nothing, F.array().cast(pair_type))
+
+    def step(acc: Column, item: Column) -> Column:
+        is_a, said = item["kind"] == "a", item["sentence"]
+        a = F.when(is_a, said).otherwise(acc["a"])
+        b = F.when(is_a, acc["b"]).otherwise(said)
         pair = F.array(F.struct(a.alias("text"), b.alias("other_text")))
         return (
-            F.when(~is_a & ~is_b, acc)
-            .when(F.length(sentence) == 0, state(nothing, nothing, acc["pairs"]))
+            F.when(said == "", state(nothing, nothing, acc["pairs"]))
             .when(a.isNotNull() & b.isNotNull(), state(nothing, nothing, F.concat(acc["pairs"], pair)))
             .otherwise(state(a, b, acc["pairs"]))
         )
 
-    pairs = F.aggregate(response_lines(text), start, step, lambda acc: acc["pairs"])
+    pairs = F.aggregate(items, start, step, lambda acc: acc["pairs"])
     return _drop_last_if_cut(pairs, finish_reason)
 
 

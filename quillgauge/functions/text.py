@@ -21,13 +21,14 @@ STOP_WORDS = (
     "while who whom why will with would you your"
 ).split()
 
-# Fixed values: (pattern, replacement) suffix rules, the first match wins.
+# Suffix rules as (endings, endings that are exempt, least length, letters cut, letters
+# added). The first rule that fits is used.
 LEMMA_RULES = (
-    (r"^(.{3,})ies$", "y"),
-    (r"^(.{2,}(?:ss|sh|ch|x))es$", ""),
-    (r"^(.{2,}[^siu])s$", ""),
-    (r"^(.{3,})ing$", ""),
-    (r"^(.{3,})ed$", ""),
+    (("ies",), (), 6, 3, "y"),
+    (("sses", "shes", "ches", "xes"), (), 6, 2, ""),
+    (("s",), ("ss", "is", "us"), 4, 1, ""),
+    (("ing",), (), 6, 3, ""),
+    (("ed",), (), 5, 2, ""),
 )
 
 
@@ -60,17 +61,26 @@ def strip_parenthetical(text: Column | str) -> Column:
     return F.when(t.endswith(")"), F.regexp_extract(t, r"(?s)^(.*)\(", 1)).otherwise(t)
 
 
-def lemma_words(text: Column | str) -> Column:
-    """Lower-case words with the punctuation around them stripped; pure punctuation drops out."""
-    words = F.split(F.lower(_col(text)), f"[{WHITESPACE}]+", -1)
-    bare = F.transform(words, lambda w: F.regexp_replace(w, r"^[\p{P}\p{S}]+|[\p{P}\p{S}]+$", ""))
-    return F.filter(bare, lambda w: w != "")
+def raw_words(text: Column | str) -> Column:
+    """Lower-case words between white space, punctuation still on them."""
+    return F.split(F.lower(_col(text)), f"[{WHITESPACE}]+", -1)
+
+
+def strip_punctuation(word: Column | str) -> Column:
+    """A word without the punctuation around it; pure punctuation becomes empty."""
+    return F.regexp_replace(_col(word), r"^[\p{P}\p{S}]+|[\p{P}\p{S}]+$", "")
 
 
 def rule_lemma(word: Column | str) -> Column:
-    """The default lemma: the first suffix rule that matches, else the word."""
+    """The default lemma: the first suffix rule that fits, else the word."""
     w = _col(word)
     out = w
-    for pattern, ending in reversed(LEMMA_RULES):
-        out = F.when(w.rlike(pattern), F.concat(F.regexp_extract(w, pattern, 1), F.lit(ending))).otherwise(out)
+    for endings, exempt, least, cut, added in reversed(LEMMA_RULES):
+        fits = F.lit(False)
+        for ending in endings:
+            fits = fits | w.endswith(ending)
+        for ending in exempt:
+            fits = fits & ~w.endswith(ending)
+        stem = F.substring(w, F.lit(1), F.length(w) - cut)
+        out = F.when(fits & (F.length(w) >= least), F.concat(stem, F.lit(added)) if added else stem).otherwise(out)
     return out

@@ -1,9 +1,12 @@
 """Text classification as counting: many multinomial Naive Bayes models in one grouped job.
 
 A model is named by key columns (say dataset and run). Its label set is small and known on the
-driver, so weights are one row per (model, token) with a column per label, and scoring is one join
-on the token and one sum per (model, row). A third of all words being the same word is no trouble:
-counts are combined per partition, and the scoring join leaves splitting to adaptive execution.
+driver, so weights are one row per (model, token) with a column per label. Smoothed likelihoods
+ln((c+1)/(n+types)) are kept in two parts: ln(c+1) per token, and ln(n+types) once per model on
+the row of a token that every document has once. Training so needs no join at token level, and
+scoring is one join on the token and one sum per (model, row). A third of all words being the same
+word is no trouble: counts are combined per partition and per row before they are shuffled, and
+adaptive execution splits what is left.
 """
 
 from __future__ import annotations
@@ -17,13 +20,17 @@ from pyspark.sql import functions as F
 from quillgauge.functions.text import word_array
 
 
-# The token every document has once; its weights are the priors.
+# The token every document has once; its row holds the priors and the label sizes.
 PRIOR_TOKEN = ""
 
 
 @dataclass(frozen=True)
 class Model:
-    """Weights (key, token, w0…) with one column per label, labels in ascending order."""
+    """Rows (key, token, w0…, z0…), one column pair per label, labels in ascending order.
+
+    A word's row has ln(c+1) in w. The prior token's row has the log prior in w and ln(n+types)
+    in z, which is null for a label without training rows.
+    """
 
     weights: DataFrame
     labels: tuple[str, ...]
@@ -60,33 +67,55 @@ def train(rows: DataFrame, key: Sequence[str], labels: Sequence[str], words: Col
     keys = list(key)
     tokens = word_array("text") if words is None else words
     n = len(labels)
-    docs = rows.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("docs"),
-        *[F.count_if(F.col("label") == label).alias(f"d{i}") for i, label in enumerate(labels)],
-    )
+    is_prior = F.col("token") == PRIOR_TOKEN
+    # Every document has the prior token once, so its counts are the documents per label.
     counts = (
-        rows.select(*keys, "label", F.explode(tokens).alias("token"))
+        rows.select(*keys, "label", F.explode(F.concat(F.array(F.lit(PRIOR_TOKEN)), tokens)).alias("token"))
         .groupBy(*keys, "token")
         .agg(*[F.count_if(F.col("label") == label).alias(f"c{i}") for i, label in enumerate(labels)])
     )
     sizes = counts.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("types"), *[F.sum(f"c{i}").alias(f"n{i}") for i in range(n)]
+        F.count_if(~is_prior).alias("types"),
+        *[F.sum(F.when(~is_prior, F.col(f"c{i}")).otherwise(0)).alias(f"n{i}") for i in range(n)],
+        *[F.sum(F.when(is_prior, F.col(f"c{i}")).otherwise(0)).alias(f"d{i}") for i in range(n)],
     )
-    stats = docs.join(sizes, keys, "left")
-    weights = counts.join(stats, keys).select(
+    docs = F.lit(0)
+    for i in range(n):
+        docs = docs + F.col(f"d{i}")
+    words_rows = counts.filter(~is_prior).select(
         *keys,
         "token",
+        *[F.log(F.col(f"c{i}") + 1).alias(f"w{i}") for i in range(n)],
+        *[F.lit(None).cast("double").alias(f"z{i}") for i in range(n)],
+    )
+    prior_rows = sizes.select(
+        *keys,
+        F.lit(PRIOR_TOKEN).alias("token"),
+        *[F.when(F.col(f"d{i}") > 0, F.log(F.col(f"d{i}") / docs)).alias(f"w{i}") for i in range(n)],
         *[
-            F.when(F.col(f"d{i}") > 0, F.log((F.col(f"c{i}") + 1) / (F.col(f"n{i}") + F.col("types")))).alias(f"w{i}")
+            F.when(F.col(f"d{i}") > 0, F.log(F.greatest(F.col(f"n{i}") + F.col("types"), F.lit(1)))).alias(f"z{i}")
             for i in range(n)
         ],
     )
-    priors = docs.select(
-        *keys,
-        F.lit(PRIOR_TOKEN).alias("token"),
-        *[F.when(F.col(f"d{i}") > 0, F.log(F.col(f"d{i}") / F.col("docs"))).alias(f"w{i}") for i in range(n)],
+    return Model(words_rows.unionByName(prior_rows), tuple(labels), tuple(keys))
+
+
+def likelihoods(model: Model) -> DataFrame:
+    """(key, token, label, weight): smoothed log likelihoods, and the log priors under the prior token."""
+    keys, n = list(model.key), len(model.labels)
+    is_prior = F.col("token") == PRIOR_TOKEN
+    sizes = model.weights.filter(is_prior).select(*keys, *[F.col(f"z{i}").alias(f"s{i}") for i in range(n)])
+    entries = F.array(
+        *[
+            F.struct(
+                F.lit(label).alias("label"),
+                F.when(is_prior, F.col(f"w{i}")).otherwise(F.col(f"w{i}") - F.col(f"s{i}")).alias("weight"),
+            )
+            for i, label in enumerate(model.labels)
+        ]
     )
-    return Model(weights.unionByName(priors), tuple(labels), tuple(keys))
+    long = model.weights.join(sizes, keys).select(*keys, "token", F.inline(entries))
+    return long.filter(F.col("weight").isNotNull())
 
 
 def predict(model: Model, rows: DataFrame, row_key: Sequence[str], words: Column | None = None) -> DataFrame:
@@ -100,13 +129,25 @@ def predict(model: Model, rows: DataFrame, row_key: Sequence[str], words: Column
     tokens = word_array("text") if words is None else words
     n = len(model.labels)
     result_key = list(dict.fromkeys([*keys, *ids]))
-    words_of = rows.select(
-        *dict.fromkeys([*shared, *ids]), "label", F.explode(F.concat(F.array(F.lit(PRIOR_TOKEN)), tokens)).alias("token")
+    row = list(dict.fromkeys([*shared, *ids]))
+    # Counted per row first: a row's words sit in one task, so its repeats never reach the shuffle.
+    words_of = (
+        rows.select(*row, "label", F.explode(F.concat(F.array(F.lit(PRIOR_TOKEN)), tokens)).alias("token"))
+        .groupBy(*row, "label", "token")
+        .agg(F.count(F.lit(1)).alias("times"))
     )
-    scores = (
+    known = F.sum(F.when(F.col("token") != PRIOR_TOKEN, F.col("times")).otherwise(0))
+    summed = (
         words_of.join(model.weights, [*shared, "token"])
         .groupBy(*result_key, "label")
-        .agg(*[F.round(F.sum(f"w{i}"), 9).alias(f"s{i}") for i in range(n)])
+        .agg(
+            known.alias("known"),
+            *[F.sum(F.col(f"w{i}") * F.col("times")).alias(f"w{i}") for i in range(n)],
+            *[F.max(f"z{i}").alias(f"z{i}") for i in range(n)],
+        )
+    )
+    scores = summed.select(
+        *result_key, "label", *[F.round(F.col(f"w{i}") - F.col("known") * F.col(f"z{i}"), 9).alias(f"s{i}") for i in range(n)]
     )
     columns = [F.col(f"s{i}") for i in range(n)]
     top = F.greatest(*columns) if n > 1 else columns[0]

@@ -49,3 +49,12 @@ def checkpointed(df: DataFrame) -> DataFrame:
     """Cut the lineage of ``df`` by a reliable checkpoint in the shared folder."""
     scratch_base(df.sparkSession)
     return df.checkpoint()
+
+
+def spread(df: DataFrame, *columns: str) -> DataFrame:
+    """Deal the rows of a table out when its files give fewer tasks than there are cores.
+
+    A large table has more splits than cores and is left as it is, without a shuffle.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores, *columns)
