@@ -22,7 +22,8 @@ def stream_token_use(spark, sf):
     usage = _stream(spark, sf, "events").select(
         F.col("event_type").alias("model"), F.col("ts").cast("timestamp").alias("ts"), F.floor(F.col("value") * 100).alias("tokens")
     )
-    return jobs.token_use(usage, scratch_path(spark, "stream"))
+    used = jobs.token_use(usage, scratch_path(spark, "stream"))
+    return used.withColumn("window_start", F.col("window_start").cast("timestamp_ntz"))
 
 
 @query("stream_ingest", """WITH l AS (SELECT conv_id, turn, string_split(text, chr(10)) AS lines FROM conversations WHERE role = 'assistant'),

@@ -25,7 +25,8 @@ STOP_WORDS = (
 # added). The first rule that fits is used.
 LEMMA_RULES = (
     (("ies",), (), 6, 3, "y"),
-    (("sses", "shes", "ches", "xes"), (), 6, 2, ""),
+    (("sses", "shes", "ches"), (), 6, 2, ""),
+    (("xes",), (), 5, 2, ""),
     (("s",), ("ss", "is", "us"), 4, 1, ""),
     (("ing",), (), 6, 3, ""),
     (("ed",), (), 5, 2, ""),

@@ -30,7 +30,7 @@ def write_csv(df: DataFrame, path: str, partition_by: Sequence[str] = (), sep: s
 
 
 def read_csv(spark: SparkSession, path: str | list[str], schema: str, sep: str = ",") -> DataFrame:
-    """Read CSV whose backslashes escape the next character.
+    """Read CSV whose backslashes escape the next character; an empty value is null, quoted or not.
 
     A file in which a value ends in an unpaired backslash cannot have been written that way; its
     values are taken as they stand.
