@@ -8,12 +8,19 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quillgauge.functions import extract
 from quillgauge.functions import prompts as P
 from quillgauge.operators.ordering import number_by_id
 from quillgauge.operators.sampling import draw_indices, pick_number
-from quillgauge.session import checkpointed
+from quillgauge.session import stored
 
-Parser = Callable[[DataFrame], Column]
+# Ways to get answers out of a response, by name: (text, finish_reason) to an array.
+PARSERS: dict[str, Callable[..., Column]] = {
+    "plain": lambda text, _finish, **options: F.array_compact(F.array(extract.plain_answer(text, **options))),
+    "numbered": extract.numbered_answers,
+    "paired": extract.paired_answers,
+    "classification": lambda text, _finish, classes: F.array(extract.most_mentioned(text, classes)),
+}
 
 
 def label_deficit(df: DataFrame, quotas: DataFrame, group: Sequence[str] = ("dataset_id",)) -> DataFrame:
@@ -142,7 +149,7 @@ def top_up(
 ) -> tuple[DataFrame, list[int]]:
     """Ask for what is missing, append what comes back, and retry while labels lack rows.
 
-    ``answer(plan, round)`` returns rows shaped like ``df``. Each round's rows are checkpointed.
+    ``answer(plan, round)`` returns rows shaped like ``df``. Each round's new rows are written out.
     Returns the rows and the total deficit before every round.
     """
     deficits_seen: list[int] = []
@@ -153,7 +160,7 @@ def top_up(
         if missing == 0:
             break
         plan = request_plan(deficits, per_request, retry=turn > 0)
-        df = checkpointed(df.unionByName(answer(plan, turn), allowMissingColumns=True))
+        df = df.unionByName(stored(answer(plan, turn), "answers"), allowMissingColumns=True)
     return df, deficits_seen
 
 

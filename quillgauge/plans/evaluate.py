@@ -13,14 +13,18 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillgauge.operators import classify, diversity, mauve, metrics, sampling, vectors
-from quillgauge.session import checkpointed
+from quillgauge.session import stored
 
 KEY = ("dataset_id", "run")
+MODEL_KEY = (*KEY, "test_set")
 
 
 @dataclass(frozen=True)
 class Folds:
-    """Training and validation rows by (dataset, run), the test set, and all labels."""
+    """Training and validation rows by (dataset, run), test rows, and all labels.
+
+    ``test_set`` says which test rows a dataset is judged by.
+    """
 
     train: DataFrame
     valid: DataFrame
@@ -28,14 +32,18 @@ class Folds:
     labels: tuple[str, ...]
 
 
+def all_labels(datasets: DataFrame, real: DataFrame) -> tuple[str, ...]:
+    return classify.label_list(datasets.select("label").unionByName(real.select("label")))
+
+
 def make_folds(datasets: DataFrame, real: DataFrame, n_runs: int = 5, labels: Sequence[str] | None = None) -> Folds:
-    """Fold every dataset; labels are those of either side."""
+    """Fold every dataset; labels are those of either side. Without ``test_set`` all share one test set."""
     if labels is None:
-        labels = classify.label_list(datasets.select("label").unionByName(real.select("label")))
+        labels = all_labels(datasets, real)
+    if "test_set" not in datasets.columns:
+        datasets, real = (df.withColumn("test_set", F.lit("real")) for df in (datasets, real))
     parts = sampling.fold_parts(sampling.stratified_folds(datasets, n_runs), n_runs)
-    return Folds(
-        parts.filter(F.col("side") == "train"), parts.filter(F.col("side") == "valid"), real, tuple(labels)
-    )
+    return Folds(parts.filter(F.col("side") == "train"), parts.filter(F.col("side") == "valid"), real, tuple(labels))
 
 
 def _long(df: DataFrame, prefix: str) -> DataFrame:
@@ -43,18 +51,19 @@ def _long(df: DataFrame, prefix: str) -> DataFrame:
 
 
 def fold_model(folds: Folds, words: Column | None = None) -> classify.Model:
-    return classify.train(folds.train, KEY, folds.labels, words)
+    return classify.train(folds.train, MODEL_KEY, folds.labels, words)
 
 
 def fake_to_real(folds: Folds, words: Column | None = None) -> DataFrame:
     """Trained on each generated fold, tested on the real set."""
-    test = folds.test.select("row_id", "label", *[c for c in ("text", "other_text") if c in folds.test.columns])
+    texts = [c for c in ("text", "other_text") if c in folds.test.columns]
+    test = folds.test.select("test_set", "row_id", "label", *texts)
     return classify.transfer_scores(classify.predict(fold_model(folds, words), test, ["row_id"], words), KEY)
 
 
 def fake_to_fake(folds: Folds, words: Column | None = None) -> DataFrame:
     """Trained on each generated fold, tested on its held-out rows."""
-    guesses = classify.predict(fold_model(folds, words), folds.valid, [*KEY, "row_id"], words)
+    guesses = classify.predict(fold_model(folds, words), folds.valid, [*MODEL_KEY, "row_id"], words)
     return classify.transfer_scores(guesses, KEY)
 
 
@@ -99,17 +108,21 @@ def _lemma_distinctness(folds: Folds) -> DataFrame:
 def _mauve(folds: Folds) -> DataFrame:
     """Match of hashed text vectors of each fold with those of the test set."""
     name = F.concat_ws("|", *KEY)
-    rows = folds.train.select(name.alias("dataset_id"), "row_id", "text")
-    first = sampling.first_n(rows, 4000)
-    real = sampling.first_n(folds.test.select("row_id", "text"), 4000, []).withColumn("dataset_id", F.lit("__real"))
-    hashed = checkpointed(vectors.hash_vectors(first.unionByName(real.select(*first.columns))).drop("text"))
-    names = [r[0] for r in hashed.filter("dataset_id <> '__real'").select("dataset_id").distinct().collect()]
-    bins = mauve.quantise_pairs(
-        hashed.filter("dataset_id <> '__real'"), hashed.filter("dataset_id = '__real'"), sorted(names)
-    )
-    scored = mauve.mauve(bins)
+    rows = folds.train.select(name.alias("dataset_id"), "row_id", "text", "test_set")
+    tests = folds.test.select(F.lit("").alias("dataset_id"), "row_id", "text", "test_set")
+    first = sampling.first_n(rows.unionByName(tests), 4000, ["dataset_id", "test_set"])
+    hashed = stored(vectors.hash_vectors(first).drop("text"), "vectors")
+    is_test = F.col("dataset_id") == ""
+    names: dict[str, list[str]] = {}
+    for dataset, test_set in hashed.filter(~is_test).select("dataset_id", "test_set").distinct().collect():
+        names.setdefault(test_set, []).append(dataset)
+    bins = None
+    for test_set, members in sorted(names.items()):
+        mine = hashed.filter(F.col("test_set") == test_set)
+        part = mauve.quantise_pairs(mine.filter(~is_test), mine.filter(is_test), sorted(members))
+        bins = part if bins is None else bins.unionByName(part)
     cut = F.split("dataset_id", r"\|")
-    return scored.select(
+    return mauve.mauve(bins).select(
         F.array_join(F.slice(cut, 1, F.size(cut) - 1), "|").alias("dataset_id"),
         F.element_at(cut, -1).cast("bigint").alias("run"),
         F.lit("mauve").alias("metric"),
@@ -153,18 +166,18 @@ def evaluate_all(
 
     Measures are means over the folds' training parts with their published spread. The real set
     is judged by its first half against its second; its real-to-fake scores are its held-out ones.
-    The folds are checkpointed once and every measure reads them from there.
+    The folds are written once and every measure reads them from there.
     """
     if labels is None:
-        labels = classify.label_list(datasets.select("label").unionByName(real.select("label")))
+        labels = all_labels(datasets, real)
     first, second = real_halves(real)
-    generated, own = make_folds(datasets, real, n_runs, labels), make_folds(first, second, n_runs, labels)
-
-    def stored(folds: Folds) -> Folds:
-        both = checkpointed(folds.train.unionByName(folds.valid))
-        return Folds(both.filter("side = 'train'"), both.filter("side = 'valid'"), folds.test, folds.labels)
-
-    folded = measure_folds(stored(generated), exclude).unionByName(measure_folds(stored(own), exclude))
+    whole, half = F.lit("real"), F.lit("second half")
+    judged = datasets.withColumn("test_set", whole).unionByName(first.withColumn("test_set", half))
+    tests = real.withColumn("test_set", whole).unionByName(second.withColumn("test_set", half))
+    folds = make_folds(judged, tests, n_runs, labels)
+    parts = stored(folds.train.unionByName(folds.valid), "folds", ("side",))
+    written = Folds(parts.filter("side = 'train'"), parts.filter("side = 'valid'"), folds.test, folds.labels)
+    folded = measure_folds(written, exclude)
     summary = metrics.kfold_summary(folded).select(
         "dataset_id", "metric", F.col("mean").alias("value"), "std"
     )

@@ -47,10 +47,14 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{scratch_base(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Cut the lineage of ``df`` by a reliable checkpoint in the shared folder."""
-    scratch_base(df.sparkSession)
-    return df.checkpoint()
+def stored(df: DataFrame, name: str = "stored", partition_by: tuple[str, ...] = ()) -> DataFrame:
+    """Cut the lineage of ``df`` by a table in the shared folder.
+
+    Unlike a checkpoint this computes the rows once, and readers take only the columns they need.
+    """
+    path = scratch_path(df.sparkSession, name)
+    df.write.partitionBy(*partition_by).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def spread(df: DataFrame, *columns: str) -> DataFrame:
