@@ -36,11 +36,11 @@ def running_totals(
     shuffled, the buckets whose running sum already reaches the limit.
     """
     keys = list(part)
-    keyed = df.withColumn(_BUCKET, bucket)
-    for name, value in sums.items():
-        keyed = keyed.withColumn(f"__v_{name}", value.cast("bigint"))
+    # One call for all columns: every call analyses the whole plan again.
+    new = {_BUCKET: bucket} | {f"__v_{name}": value.cast("bigint") for name, value in sums.items()}
     if not keys:
-        keyed, keys = keyed.withColumn(_GROUP, F.lit(0)), [_GROUP]
+        keys, new[_GROUP] = [_GROUP], F.lit(0)
+    keyed = df.withColumns(new)
     per_bucket = keyed.groupBy(*keys, _BUCKET).agg(
         *[F.sum(f"__v_{name}").alias(f"__n_{name}") for name in sums]
     )
@@ -50,7 +50,7 @@ def running_totals(
         *keys,
         _BUCKET,
         *[F.coalesce(F.sum(f"__n_{n}").over(before), F.lit(0)).alias(f"__s_{n}") for n in sums],
-        *[F.sum(f"__n_{n}").over(whole).alias(new) for new, n in (totals or {}).items()],
+        *[F.sum(f"__n_{n}").over(whole).alias(total) for total, n in (totals or {}).items()],
     )
     if start_below is not None:
         name, limit = start_below
@@ -60,11 +60,9 @@ def running_totals(
         .orderBy(*order)
         .rowsBetween(Window.unboundedPreceding, Window.currentRow)
     )
-    out = keyed.join(starts, [*keys, _BUCKET])
-    for name in sums:
-        out = out.withColumn(name, F.sum(f"__v_{name}").over(inside) + F.col(f"__s_{name}"))
-    kept = [c for c in df.columns if c not in sums] + list(sums) + list(totals or {})
-    return out.select(*kept)
+    kept = [F.col(c) for c in df.columns if c not in sums]
+    running = [(F.sum(f"__v_{n}").over(inside) + F.col(f"__s_{n}")).alias(n) for n in sums]
+    return keyed.join(starts, [*keys, _BUCKET]).select(*kept, *running, *(totals or {}))
 
 
 def number_rows(

@@ -61,18 +61,11 @@ def fold_parts(df: DataFrame, n: int = 5, part: Sequence[str] = ("dataset_id",),
     counted = running_totals(
         df, list(part), ["row_id"], id_bucket("row_id"), sums, totals={f"__t{f}": f"__c{f}" for f in range(n)}
     )
-    seen = F.array(*[F.col(f"__c{f}") for f in range(n)])
-    size = F.array(*[F.col(f"__t{f}") for f in range(n)])
     at = (F.col("run") + 1).cast("int")
-    rank_in_rest = F.col("__pos") - F.element_at("__seen", at)
-    return (
-        counted.withColumn("__seen", seen)
-        .withColumn("__size", size)
-        .withColumn("run", F.explode(runs))
-        .filter(own | (rank_in_rest <= F.element_at("__size", at)))
-        .withColumn("side", F.when(own, "train").otherwise("valid"))
-        .select(*df.columns, "run", "side")
-    )
+    seen = F.element_at(F.array(*[F.col(f"__c{f}") for f in range(n)]), at)
+    size = F.element_at(F.array(*[F.col(f"__t{f}") for f in range(n)]), at)
+    spread = counted.withColumn("run", F.explode(runs)).filter(own | (F.col("__pos") - seen <= size))
+    return spread.select(*df.columns, "run", F.when(own, "train").otherwise("valid").alias("side"))
 
 
 def draw_indices(groups: DataFrame, key: Sequence[str], size: str, m: int, repetitions: int, seed: str) -> DataFrame:

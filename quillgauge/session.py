@@ -20,6 +20,8 @@ def local_session(cores: str = "*", app: str = "quillgauge", partitions: int = 8
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.driver.memory", "16g")
         .config("spark.ui.enabled", "false")
+        # No call-site bookkeeping for every column expression.
+        .config("spark.python.sql.dataFrameDebugging.enabled", "false")
         .getOrCreate()
     )
 
