@@ -82,10 +82,12 @@ def train(rows: DataFrame, key: Sequence[str], labels: Sequence[str], words: Col
     docs = F.lit(0)
     for i in range(n):
         docs = docs + F.col(f"d{i}")
-    words_rows = counts.filter(~is_prior).select(
+    # No filter here: it would be pushed below the counting and make it run once more. The counts
+    # row of the prior token has no weights instead.
+    words_rows = counts.select(
         *keys,
         "token",
-        *[F.log(F.col(f"c{i}") + 1).alias(f"w{i}") for i in range(n)],
+        *[F.when(~is_prior, F.log(F.col(f"c{i}") + 1)).alias(f"w{i}") for i in range(n)],
         *[F.lit(None).cast("double").alias(f"z{i}") for i in range(n)],
     )
     prior_rows = sizes.select(
@@ -104,7 +106,7 @@ def likelihoods(model: Model) -> DataFrame:
     """(key, token, label, weight): smoothed log likelihoods, and the log priors under the prior token."""
     keys, n = list(model.key), len(model.labels)
     is_prior = F.col("token") == PRIOR_TOKEN
-    sizes = model.weights.filter(is_prior).select(*keys, *[F.col(f"z{i}").alias(f"s{i}") for i in range(n)])
+    sizes = model.weights.groupBy(*keys).agg(*[F.max(f"z{i}").alias(f"s{i}") for i in range(n)])
     entries = F.array(
         *[
             F.struct(
