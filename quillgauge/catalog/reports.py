@@ -173,7 +173,7 @@ def leaderboard(spark, sf):
     generators = first_wins(scored.select("model", "position"), ["model"]).select("model", F.col("first_id").cast("string").alias("generator"))
     docs = table(spark, sf, "documents").groupBy(F.col("lang").alias("task"), F.col("source").alias("dataset_id")).agg(F.count(F.lit(1)).alias("size"))
     located = scored.join(docs, ["task", "dataset_id"]).join(generators, "model")
-    root = F.concat(F.lit("data/generations/"), "task", F.lit("/run"), F.col("position").cast("string"))
+    root = F.concat(F.lit("sets/generated/"), "task", F.lit("/run"), F.col("position").cast("string"))
     prefix = report.common_prefix(located.withColumn("path", root), "path").first()["prefix"]
     boards = located.select(
         F.concat_ws("/", "task", "dataset_id").alias("dataset_id"),
