@@ -89,7 +89,7 @@ def _listed(column: str):
 def op8_pii(spark: SparkSession, sf: str) -> DataFrame:
     docs = _table(spark, sf, "documents").select("doc_id", "text")
     found = pii.find(docs, pii.fit(docs), drop=("text",))
-    counts = [F.size(F.filter("base", lambda s, k=kind: s["kind"] == k)).cast("long").alias(f"n_{kind}") for kind in pii.KINDS]
+    counts = [F.expr(f"CAST(size(filter(base, s -> s.kind = '{kind}')) AS LONG)").alias(f"n_{kind}") for kind in pii.KINDS]
     return found.select("doc_id", *counts, F.sha2(_listed("base"), 256).alias("base_sha256"), _listed("found").alias("spans"))
 
 
