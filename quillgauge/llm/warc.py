@@ -3,7 +3,8 @@
 A page gives a transaction of three records: a request, a response (or a revisit, where an equal
 payload is archived already) and a metadata record. Request and metadata name the response in
 ``WARC-Concurrent-To``. Files are written and read by Spark alone, so any store that Spark reaches
-will do; each holds at most ``records_per_file`` records and is parsed record by record.
+will do; they are gzipped, and each holds at most ``records_per_file`` records and is parsed record by
+record.
 
 Reading joins the three kinds of records through the concurrent-to identifiers. A revisit names the
 record it refers to, which the metadata records resolve to its page.
@@ -17,9 +18,12 @@ that repeat the smallest id of a payload are all responses; an empty table gives
 from __future__ import annotations
 
 import base64
+import gzip
 import hashlib
+import io
 import uuid
 from collections.abc import Iterator
+from typing import BinaryIO
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -119,23 +123,22 @@ def write(
                 yield pa.RecordBatch.from_arrays([pa.array(out, pa.string())], names=["value"])
 
     # The writer ends every record with two line breaks, as the format asks.
-    wide.mapInArrow(records, "value string").write.option("lineSep", _END).option("maxRecordsPerFile", records_per_file).text(path)
+    wide.mapInArrow(records, "value string").write.option("lineSep", _END).option("maxRecordsPerFile", records_per_file).option("compression", "gzip").text(path)
 
 
-def parse(content: bytes) -> Iterator[tuple[dict[str, str], memoryview]]:
-    """The fields (names in lower case) and the block of every record."""
-    at, view = 0, memoryview(content)
-    while at < len(content):
-        head = content.index(b"\r\n\r\n", at)
-        first, *lines = content[at:head].decode().split(_CRLF)
-        if first != VERSION:
-            raise ValueError(f"no record at {at}: {first[:40]!r}")
-        fields = {name.lower(): value.strip() for name, _, value in (line.partition(":") for line in lines)}
-        end = head + 4 + int(fields["content-length"])
-        yield fields, view[head + 4 : end]
-        if content[end : end + 4] != b"\r\n\r\n":
-            raise ValueError(f"record at {at} does not end where its length says")
-        at = end + 4
+def parse(stream: BinaryIO) -> Iterator[tuple[dict[str, str], bytes]]:
+    """The fields (names in lower case) and the block of every record, one record at a time."""
+    while first := stream.readline():
+        if first.rstrip().decode() != VERSION:
+            raise ValueError(f"no record begins with {first[:40]!r}")
+        fields = {}
+        while line := stream.readline().rstrip(b"\r\n"):
+            name, _, value = line.decode().partition(":")
+            fields[name.lower()] = value.strip()
+        block = stream.read(int(fields["content-length"]))
+        if stream.read(4) != b"\r\n\r\n":
+            raise ValueError(f"record {fields.get('warc-record-id')} does not end where its length says")
+        yield fields, block
 
 
 def http_parts(block: bytes) -> tuple[dict[str, str], bytes]:
@@ -158,13 +161,13 @@ _KINDS = {
 }
 
 
-def _row(kind: str, fields: dict[str, str], block: memoryview) -> tuple:
+def _row(kind: str, fields: dict[str, str], block: bytes) -> tuple:
     if kind == "request":
-        return fields["warc-record-id"], fields["warc-concurrent-to"], bytes(block).decode()
+        return fields["warc-record-id"], fields["warc-concurrent-to"], block.decode()
     if kind == "metadata":
-        found = dict(line.split(": ", 1) for line in bytes(block).decode().split(_CRLF) if line)
+        found = dict(line.split(": ", 1) for line in block.decode().split(_CRLF) if line)
         return fields["warc-record-id"], fields["warc-concurrent-to"], int(found["page-id"]) if "page-id" in found else None
-    head, body = http_parts(bytes(block))
+    head, body = http_parts(block)
     whole = fields["warc-type"] == "response"
     if whole and base32(hashlib.sha1(body, usedforsecurity=False).digest()) != fields["warc-payload-digest"][5:]:
         raise ValueError(f"payload of {fields['warc-record-id']} does not have its digest")
@@ -184,7 +187,8 @@ def records(spark: SparkSession, path: str, kind: str) -> DataFrame:
         for batch in stream:
             for content in batch.column(0):
                 rows: list[tuple] = []
-                for fields, block in parse(content.as_py()):
+                packed = io.BytesIO(content.as_py())
+                for fields, block in parse(io.BufferedReader(gzip.GzipFile(fileobj=packed), 1 << 16)):
                     if fields["warc-type"] in types:
                         rows.append(_row(kind, fields, block))
                     if len(rows) == 512:
@@ -196,7 +200,7 @@ def records(spark: SparkSession, path: str, kind: str) -> DataFrame:
         columns = list(zip(*rows, strict=True)) or [()] * len(kinds)
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=names)
 
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.txt").load(path)
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.gz").load(path)
     return files.select("content").mapInArrow(run, schema)
 
 
