@@ -81,7 +81,7 @@ def model_matchers(spark, sf):
 
 
 @query("sort_models", f"""WITH {EXPERIMENTS} SELECT model, temperature, task, position,
-row_number() OVER (PARTITION BY task ORDER BY replace(model, 'gpt-3.5-turbo', 'zzzzzzz'), temperature, position) AS place FROM experiments""")
+row_number() OVER (PARTITION BY task ORDER BY model = 'gpt-3.5-turbo', model, temperature, position) AS place FROM experiments""")
 def sort_models(spark, sf):
     order = Window.partitionBy("task").orderBy(report.model_order(), "temperature", "position")
     place = F.row_number().over(order).cast("bigint")

@@ -10,7 +10,7 @@ from quillgauge.catalog.rows import RAGGED, ragged
 from quillgauge.catalog.texts import NUMBERED, numbered_responses
 from quillgauge.functions import extract
 from quillgauge.functions.text import clean_text
-from quillgauge.operators import generate, rewrite, rows, sampling
+from quillgauge.operators import generate, rewrite, rows
 from quillgauge.operators.ordering import number_by_id
 from quillgauge.plans import stages
 from quillgauge.session import scratch_path
@@ -19,7 +19,7 @@ from quillgauge.session import scratch_path
 def prompt_set(spark, sf, mark: str) -> DataFrame:
     """Prompt templates per language out of the documents with the given mark."""
     docs = table(spark, sf, "documents").join(table(spark, sf, "labels").filter(f"{mark} = 1"), "doc_id")
-    named = docs.select(F.col("lang").alias("label"), F.col("doc_id").alias("row_id"), F.substring("text", 1, 40).alias("head"))
+    named = docs.select(F.col("lang").alias("label"), F.col("doc_id").alias("row_id"), F.col("text").alias("head"))
     numbered = number_by_id(named, ["label"])
     template = F.concat(F.lit("Like "), "head", F.lit(": {{answer}}"))
     return numbered.select("label", (F.col("position") - 1).alias("prompt_idx"), template.alias("template"))
@@ -27,7 +27,7 @@ def prompt_set(spark, sf, mark: str) -> DataFrame:
 
 def prompt_sql(name: str, mark: str) -> str:
     return f"""{name} AS (SELECT lang AS label, row_number() OVER (PARTITION BY lang ORDER BY doc_id) - 1 AS prompt_idx,
-  'Like ' || substr(text, 1, 40) || ': {{{{answer}}}}' AS template FROM documents JOIN labels USING (doc_id) WHERE {mark} = 1)"""
+  'Like ' || text || ': {{{{answer}}}}' AS template FROM documents JOIN labels USING (doc_id) WHERE {mark} = 1)"""
 
 
 PROMPTS = prompt_sql("prompts", "quality")
@@ -63,7 +63,7 @@ def prompt_pick(spark, sf):
     return generate.pick_prompts(requests, prompt_set(spark, sf, "quality"))
 
 
-SHOTS = f"""examples AS (SELECT lang AS label, doc_id AS row_id, substr(text, 1, 60) AS text,
+SHOTS = f"""examples AS (SELECT lang AS label, doc_id AS row_id, text,
   row_number() OVER (PARTITION BY lang ORDER BY doc_id) - 1 AS idx, count(*) OVER (PARTITION BY lang) AS n FROM documents),
 sizes AS (SELECT label, count(*) AS n FROM examples GROUP BY 1),
 tries AS (SELECT label, n, repetition, t FROM (SELECT *, unnest(range(CASE WHEN n <= 6 THEN n ELSE 70 END)) AS t
@@ -78,7 +78,7 @@ shots AS (SELECT label, repetition AS prompt_idx, draw, row_id, text FROM ranked
 
 def _shots(spark, sf) -> DataFrame:
     examples = table(spark, sf, "documents").select(
-        F.col("lang").alias("label"), F.col("doc_id").alias("row_id"), F.substring("text", 1, 60).alias("text")
+        F.col("lang").alias("label"), F.col("doc_id").alias("row_id"), "text"
     )
     return generate.fewshot_sample(examples)
 
@@ -139,14 +139,14 @@ def request_response_join(spark, sf):
 
 
 @query("ingest_responses", f"""WITH {NUMBERED}
-SELECT request_id, 'label' || CAST(request_id % 3 AS VARCHAR) AS label, answer_idx, text FROM numbered WHERE request_id % 1000 > 0""")
+SELECT request_id, 'label' || CAST(request_id % 3 AS VARCHAR) AS label, answer_idx, text FROM numbered""")
 def ingest_responses(spark, sf):
-    turns = table(spark, sf, "conversations").filter("turn > 0")
+    turns = table(spark, sf, "conversations")
     request_id = F.col("conv_id") * 1000 + F.col("turn")
     label = F.concat(F.lit("label"), (request_id % 3).cast("string"))
     requests = turns.select(request_id.alias("request_id"), label.alias("label"))
     answered = generate.complete_from_log(requests, numbered_responses(spark, sf).drop("label"))
-    out = generate.ingest(answered, extract.numbered_answers("text", "finish_reason"), ["request_id", "label"])
+    out = generate.ingest(answered, extract.numbered_answers(extract.reply_text(), "finish_reason"), ["request_id", "label"])
     return out.withColumn("answer_idx", F.col("answer_idx").cast("bigint"))
 
 
@@ -159,7 +159,7 @@ t(dataset_id, label, wanted, have, turn) AS (
   FROM t WHERE turn <= 5 AND have < wanted)
 SELECT dataset_id, label, max(have) AS have, max(wanted) AS wanted, max(wanted) - least(max(have), max(wanted)) AS deficit FROM t GROUP BY 1, 2""")
 def topup_rounds(spark, sf):
-    pool = table(spark, sf, "conversations").filter("role = 'assistant'").select(
+    pool = table(spark, sf, "conversations").select(
         (F.col("conv_id") * 1000 + F.col("turn")).alias("row_id"), "text"
     )
     pool = number_by_id(pool, []).select((F.col("position") - 1).alias("pick"), "text")
@@ -260,8 +260,11 @@ def rewrite_requests(spark, sf):
 
 
 @query("rewrite_levels", f"""WITH {FLAT}, {chunks_sql(3)}, {PROMPTS}, {prompt_sql("more", "toxic")},
-l AS (SELECT dataset_id, label, chunk, block, p.template AS t1, m.template AS t2 FROM chunks JOIN prompts p USING (label) JOIN more m USING (label)
-  WHERE p.prompt_idx = 0 AND m.prompt_idx = 0),
+np AS (SELECT label, count(*) AS np FROM prompts GROUP BY 1), nm AS (SELECT label, count(*) AS nm FROM more GROUP BY 1),
+l AS (SELECT dataset_id, label, chunk, block, p.template AS t1, m.template AS t2 FROM chunks JOIN np USING (label) JOIN nm USING (label)
+  JOIN prompts p USING (label) JOIN more m USING (label)
+  WHERE p.prompt_idx = {key_number_sql(md5_sql("dataset_id", "label", "chunk", seed="first"))} % np
+  AND m.prompt_idx = {key_number_sql(md5_sql("dataset_id", "label", "chunk", seed="second"))} % nm),
 m AS (SELECT dataset_id, label, chunk, unnest(range(4)) AS place, unnest(['system', 'user', 'assistant', 'user']) AS role,
   unnest(['You are a helpful assistant.', replace(t1, '{{{{answer}}}}', block), replace(block, 'e', 'E'), t2]) AS content FROM l)
 SELECT dataset_id, label, chunk, CAST(place AS INTEGER) AS place, role, content FROM m""")
@@ -269,10 +272,9 @@ def rewrite_levels(spark, sf):
     _, requests = _requests(spark, sf, 3)
     keys = ["dataset_id", "label", "chunk"]
     log = requests.select(*keys, F.replace("block", F.lit("e"), F.lit("E")).alias("answer"))
-    first = prompt_set(spark, sf, "quality").filter("prompt_idx = 0").select("label", "template")
-    second = prompt_set(spark, sf, "toxic").filter("prompt_idx = 0").select("label", "template")
-    level1 = rewrite.run_level(requests.withColumnRenamed("block", "answer"), first, log, keys)
-    level2 = rewrite.run_level(level1, second, log, keys, messages="messages")
+    first, second = prompt_set(spark, sf, "quality"), prompt_set(spark, sf, "toxic")
+    level1 = rewrite.run_level(requests.withColumnRenamed("block", "answer"), first, log, keys, seed="first")
+    level2 = rewrite.run_level(level1, second, log, keys, messages="messages", seed="second")
     return level2.select(*keys, F.posexplode("messages").alias("place", "m")).select(*keys, "place", "m.role", "m.content")
 
 
@@ -312,15 +314,15 @@ def _stage_list() -> list[stages.Stage]:
         rows.load_normalise,
         lambda df: df.withColumn("text", clean_text("text")),
         rows.remove_empty,
-        lambda df: sampling.first_n(df, 10),
+        lambda df: df.withColumn("text", F.concat("label", F.lit(": "), "text")),
     ]
 
 
 _CHAIN = f"""{RAGGED}, s0 AS (SELECT * FROM ragged WHERE label IS NOT NULL AND length(text) >= 2),
 s1 AS (SELECT dataset_id, row_id, label, trim(regexp_replace(regexp_replace(regexp_replace(lower(text), '([a-z])-([a-z])', '\\1 \\2', 'g'),
   '[^a-z\\s]', '', 'g'), '\\s{{2,}}', ' ', 'g'), ' ' || chr(10)) AS text FROM s0),
-s3 AS (SELECT *, row_number() OVER (PARTITION BY dataset_id ORDER BY row_id) AS p FROM s1 WHERE length(text) >= 2)
-SELECT dataset_id, row_id, label, text FROM s3 WHERE p <= 10"""
+s3 AS (SELECT dataset_id, row_id, label, label || ': ' || text AS text FROM s1 WHERE length(text) >= 2)
+SELECT dataset_id, row_id, label, text FROM s3"""
 
 
 @query("stage_chain", f"WITH {_CHAIN}")

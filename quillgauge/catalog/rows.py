@@ -13,19 +13,24 @@ IDS = ["dataset_id", "row_id", "label"]
 
 
 def ragged(spark, sf) -> DataFrame:
-    """Documents with missing labels and with missing or very short texts."""
+    """All documents, some without labels, and as many rows again with missing or very short texts."""
     docs = table(spark, sf, "documents")
     marks = table(spark, sf, "labels").select("doc_id", F.col("quality").cast("string").alias("label"))
     n = F.col("n_chars")
-    text = F.when(n % 5 == 0, None).when(n % 5 == 1, F.substring("text", 1, 1)).when(n % 5 == 2, F.substring("text", 1, 2)).otherwise(F.col("text"))
-    return docs.join(marks, "doc_id", "left").select(
-        F.col("source").alias("dataset_id"), F.col("doc_id").alias("row_id"), text.alias("text"), "label"
+    short = F.when(n % 4 == 0, None).otherwise(F.substring(F.lit("abc"), 1, (n % 4 - 1).cast("int")))
+    marked = docs.join(marks, "doc_id", "left").select(F.col("source").alias("dataset_id"), "doc_id", "text", "label", short.alias("short"))
+    # Both rows of a document by one explode, so the texts are read once.
+    both = F.array(
+        F.struct(F.col("doc_id").alias("row_id"), F.col("text").alias("text")),
+        F.struct((F.col("doc_id") + F.lit(1_000_000_000)).alias("row_id"), F.col("short").alias("text")),
     )
+    return marked.select("dataset_id", "label", F.inline(both)).select("dataset_id", "row_id", "text", "label")
 
 
 RAGGED = """ragged AS (
-  SELECT source AS dataset_id, doc_id AS row_id, CAST(quality AS VARCHAR) AS label,
-    CASE n_chars % 5 WHEN 0 THEN NULL WHEN 1 THEN substr(text, 1, 1) WHEN 2 THEN substr(text, 1, 2) ELSE text END AS text
+  SELECT source AS dataset_id, doc_id AS row_id, CAST(quality AS VARCHAR) AS label, text FROM documents LEFT JOIN labels USING (doc_id)
+  UNION ALL SELECT source, doc_id + 1000000000, CAST(quality AS VARCHAR),
+    CASE n_chars % 4 WHEN 0 THEN NULL WHEN 1 THEN '' WHEN 2 THEN 'a' ELSE 'ab' END
   FROM documents LEFT JOIN labels USING (doc_id))"""
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from quillgauge.catalog.base import CONFIGS, DS, METRICS, datasets, metric_store, query, rounded, run_configs, table
+from quillgauge.catalog.base import _STAND_INS, CONFIGS, DS, METRICS, datasets, metric_store, query, rounded, run_configs, table
 from quillgauge.operators import metrics
 from quillgauge.sources import datasets as sources
 from quillgauge.sources import stores
@@ -12,41 +12,44 @@ from quillgauge.session import scratch_path
 
 
 @query("src_csv_roundtrip", """SELECT doc_id AS row_id, lang AS label,
-CASE WHEN doc_id % 2 = 0 THEN replace(text, 'e', '\\e"') || '\\' ELSE text END AS text FROM documents""")
+CASE WHEN doc_id % 2 = 0 THEN replace(text, 'e', '\\e"') || '\\' ELSE replace(text, 'e', '"e, ') END AS text FROM documents""")
 def src_csv_roundtrip(spark, sf):
-    path = scratch_path(spark, "csv")
+    """Even rows in files with doubled quotes, odd ones in files with escaped quotes."""
+    own, foreign = scratch_path(spark, "csv"), scratch_path(spark, "csv")
+    rows, even = datasets(spark, sf), F.col("row_id") % 2 == 0
     marked = F.concat(F.replace("text", F.lit("e"), F.lit('\\e"')), F.lit("\\"))
-    text = F.when(F.col("row_id") % 2 == 0, marked).otherwise(F.col("text"))
-    sources.write_csv(datasets(spark, sf).select("row_id", text.alias("text"), "label"), path)
-    return sources.read_csv(spark, path, "row_id bigint, text string, label string")
+    sources.write_csv(rows.filter(even).select("row_id", marked.alias("text"), "label"), own)
+    quoted = F.replace("text", F.lit("e"), F.lit('"e, '))
+    rows.filter(~even).select("row_id", quoted.alias("text"), "label").write.options(header=True, quote='"', escape="\\").csv(foreign)
+    return sources.read_csv(spark, [own, foreign], "row_id bigint, text string, label string")
 
 
-@query("features_roundtrip", """SELECT source AS dataset_id, doc_id AS row_id, len(string_split(text, ' ')) AS n_tokens, md5(text) AS digest FROM documents WHERE source IN ('src3', 'src5')""")
+@query("features_roundtrip", """SELECT source AS dataset_id, doc_id AS row_id, len(string_split(text, ' ')) AS n_tokens, md5(text) AS digest FROM documents""")
 def features_roundtrip(spark, sf):
     path = scratch_path(spark, "features")
     featured = datasets(spark, sf).withColumn("tokens", F.split("text", " ", -1))
     sources.write_features(featured, path)
-    back = sources.read_features(spark, path).filter(F.col("dataset_id").isin("src3", "src5"))
+    back = sources.read_features(spark, path)
     return back.select("dataset_id", "row_id", F.size("tokens").cast("bigint").alias("n_tokens"), F.md5("text").alias("digest"))
 
 
-@query("norm_news", """WITH t AS (SELECT doc_id, n_chars % 4 + 1 AS class, substr(text, 1, 80) || CASE doc_id % 3 WHEN 0 THEN ' (' || lang || ')' WHEN 1 THEN ')' ELSE '' END AS title FROM documents),
+@query("norm_news", """WITH t AS (SELECT doc_id, n_chars % 4 + 1 AS class, text || CASE doc_id % 3 WHEN 0 THEN ' (' || lang || ')' WHEN 1 THEN ')' ELSE '' END AS title FROM documents),
 c AS (SELECT doc_id, ['World', 'Sports', 'Business', 'Sci/Tech'][class] AS label, CASE WHEN ends_with(title, ')') THEN regexp_extract(title, '^(.*)\\(', 1, 's') ELSE title END AS text FROM t)
 SELECT * FROM c WHERE length(text) >= 2""")
 def norm_news(spark, sf):
     tail = F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit(" ("), "lang", F.lit(")"))).when(F.col("doc_id") % 3 == 1, ")").otherwise("")
     raw = table(spark, sf, "documents").select(
-        "doc_id", (F.col("n_chars") % 4 + 1).alias("class"), F.concat(F.substring("text", 1, 80), tail).alias("title")
+        "doc_id", (F.col("n_chars") % 4 + 1).alias("class"), F.concat("text", tail).alias("title")
     )
     return sources.news(raw, "class", "title").select("doc_id", "label", "text")
 
 
-@query("norm_qa", """SELECT doc_id, substr(text, 1, 100) AS text, CASE WHEN n_chars % 7 <> 0 THEN source END AS label FROM documents
+@query("norm_qa", """SELECT doc_id, text, CASE WHEN n_chars % 7 <> 0 THEN source END AS label FROM documents
 WHERE n_chars % 5 <> 0 AND n_chars % 7 <> 0 AND length(text) >= 2""")
 def norm_qa(spark, sf):
     raw = table(spark, sf, "documents").select(
         "doc_id",
-        F.when(F.col("n_chars") % 5 != 0, F.substring("text", 1, 100)).alias("title"),
+        F.when(F.col("n_chars") % 5 != 0, F.col("text")).alias("title"),
         F.when(F.col("n_chars") % 7 != 0, F.col("source")).alias("subreddit"),
         F.when(F.col("n_chars") % 2 == 0, F.col("text")).alias("document"),
     )
@@ -78,13 +81,14 @@ def manifest_datasets(spark, sf):
     return stores.manifest_datasets(table(spark, sf, "pages").select(F.col("page_id").alias("position"), F.to_json(entry).alias("entry")))
 
 
-@query("metric_shards", f"""WITH {CONFIGS}, {METRICS}, s AS (SELECT position, metric, value FROM store WHERE task = 'en'),
+@query("metric_shards", f"""WITH {CONFIGS}, {METRICS}, s AS (SELECT position * 4 + list_position(['de', 'en', 'es', 'fr'], task) - 1 AS position, metric, value FROM store),
 late AS (SELECT position, metric, value + 1 AS value FROM s WHERE position % 3 <> 0)
 SELECT position, metric, round(value, 6) AS value FROM late
 UNION ALL SELECT position, metric, round(value, 6) FROM s WHERE position NOT IN (SELECT position FROM late)""")
 def metric_shards(spark, sf):
     early, later = scratch_path(spark, "shards"), scratch_path(spark, "shards")
-    store = metric_store(spark, sf).filter("task = 'en'").select("position", "metric", "value")
+    language = F.array_position(F.array(*[F.lit(v) for v in ("de", "en", "es", "fr")]), F.col("task")) - 1
+    store = metric_store(spark, sf).select((F.col("position") * 4 + language).alias("position"), "metric", "value")
     stores.write_metric_shards(store, early, 7)
     stores.write_metric_shards(store.filter("position % 3 <> 0").withColumn("value", F.col("value") + 1), later, 4)
     return rounded(stores.read_metric_shards(spark, [early, later]))
@@ -100,11 +104,12 @@ def metric_upsert(spark, sf):
     return rounded(metrics.upsert(old, changed.union(added).drop("position"), ["task", "dataset_id", "metric"]))
 
 
-@query("metric_gaps", f"""WITH {CONFIGS}, {METRICS} SELECT task, position FROM configs WHERE position >= 2 AND position < 18
-EXCEPT SELECT task, position FROM store WHERE metric = 'mauve'""")
+@query("metric_gaps", f"""WITH {CONFIGS}, {METRICS} SELECT task, position, metric FROM configs, (SELECT DISTINCT metric FROM store)
+EXCEPT SELECT task, position, metric FROM store""")
 def metric_gaps(spark, sf):
-    expected = run_configs(spark, sf).filter("position >= 2 AND position < 18").select("task", "position")
-    return metrics.gaps(expected, metric_store(spark, sf).filter("metric = 'mauve'"), ["task", "position"])
+    names = F.array(*[F.lit(name) for name in _STAND_INS])
+    expected = run_configs(spark, sf).select("task", "position", F.explode(names).alias("metric"))
+    return metrics.gaps(expected, metric_store(spark, sf), ["task", "position", "metric"])
 
 
 @query("metric_matrix", f"""WITH {CONFIGS}, {METRICS}, k AS (SELECT DISTINCT metric FROM store)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from quillgauge.catalog.base import query, table
-from quillgauge.catalog.generation import DEFICITS, STATUS, quotas, raw_log
+from quillgauge.catalog.requests import DEFICITS, STATUS, quotas, raw_log
 from quillgauge.functions import extract
 from quillgauge.session import scratch_path
 from quillgauge.streaming import jobs
@@ -26,11 +26,11 @@ def stream_token_use(spark, sf):
     return used.withColumn("window_start", F.col("window_start").cast("timestamp_ntz"))
 
 
-@query("stream_ingest", """WITH l AS (SELECT conv_id, turn, string_split(text, chr(10)) AS lines FROM conversations WHERE role = 'assistant'),
+@query("stream_ingest", """WITH l AS (SELECT conv_id, turn, string_split(text, chr(10)) AS lines FROM conversations),
 i AS (SELECT conv_id, turn, rtrim(regexp_replace(unnest(lines), '^[\\p{N}.: )]*', ''), ' ') AS text, unnest(range(len(lines))) AS i FROM l)
 SELECT conv_id, turn, CAST(row_number() OVER (PARTITION BY conv_id, turn ORDER BY i) - 1 AS INTEGER) AS answer_idx, text FROM i WHERE text <> ''""")
 def stream_ingest(spark, sf):
-    said = _stream(spark, sf, "conversations").filter("role = 'assistant'")
+    said = _stream(spark, sf, "conversations")
     answers = extract.numbered_answers("text", F.lit("stop"), only_numbered=False)
     return jobs.ingest(said, answers, ["conv_id", "turn"], scratch_path(spark, "stream"))
 

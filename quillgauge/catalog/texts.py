@@ -29,11 +29,11 @@ def clean_text_sql(spark, sf):
     )
 
 
-@query("strip_paren", """WITH t AS (SELECT page_id, url || '(' || substr(html, 1, 200) || CASE WHEN page_id % 3 = 0 THEN ')' ELSE '' END AS title FROM pages)
+@query("strip_paren", """WITH t AS (SELECT page_id, url || '(' || html || CASE WHEN page_id % 3 = 0 THEN ')' ELSE '' END AS title FROM pages)
 SELECT page_id, CASE WHEN ends_with(title, ')') THEN regexp_extract(title, '^(.*)\\(', 1, 's') ELSE title END AS text FROM t""")
 def strip_paren(spark, sf):
     tail = F.when(F.col("page_id") % 3 == 0, ")").otherwise("")
-    title = F.concat("url", F.lit("("), F.substring("html", 1, 200), tail)
+    title = F.concat("url", F.lit("("), "html", tail)
     return table(spark, sf, "pages").select("page_id", text.strip_parenthetical(title).alias("text"))
 
 
@@ -42,10 +42,10 @@ _STRIP_SQL = "'\"'' .' || chr(10)"
 
 
 @query("extract_plain", f"""WITH t AS (SELECT conv_id, turn, trim(CASE WHEN turn % 2 = 0 THEN text ELSE ' "' || text || '" ' END, {_STRIP_SQL}) AS text
-  FROM conversations WHERE role = 'assistant')
+  FROM conversations)
 SELECT * FROM t WHERE length(text) > 0 AND NOT contains(text, 'AI language model') AND NOT contains(text, 'xx')""")
 def extract_plain(spark, sf):
-    said = table(spark, sf, "conversations").filter("role = 'assistant'")
+    said = table(spark, sf, "conversations")
     even = F.col("turn") % 2 == 0
     responses = said.select(
         "conv_id",
@@ -58,7 +58,10 @@ def extract_plain(spark, sf):
 
 
 def numbered_responses(spark, sf):
-    """Each turn as a numbered list of its lines, in changing quote styles; some are cut for length."""
+    """Each turn as a numbered list of its lines, in changing quote styles; some are cut for length.
+
+    Odd turns are chat replies, which have a message and no text.
+    """
     style = F.array(F.lit('"'), F.lit("'"), F.lit(""))
     lines = F.split("text", "\n", -1)
     one = F.transform(
@@ -72,10 +75,12 @@ def numbered_responses(spark, sf):
             F.lit("  "),
         ),
     )
+    said, chat = F.concat(F.lit("Sure:\n\n"), F.concat_ws("\n\n", one)), F.col("turn") % 2 == 1
     return table(spark, sf, "conversations").select(
         (F.col("conv_id") * 1000 + F.col("turn")).alias("request_id"),
         F.col("role").alias("label"),
-        F.concat(F.lit("Sure:\n\n"), F.concat_ws("\n\n", one)).alias("text"),
+        F.when(~chat, said).alias("text"),
+        F.when(chat, F.struct(F.lit("assistant").alias("role"), said.alias("content"))).alias("message"),
         F.when(F.col("turn") % 3 == 0, "length").otherwise("stop").alias("finish_reason"),
     )
 
@@ -99,7 +104,7 @@ numbered AS (SELECT request_id, label, answer_idx, text FROM answers1 WHERE NOT
 
 @query("extract_numbered", f"WITH {NUMBERED} SELECT * FROM numbered")
 def extract_numbered(spark, sf):
-    answers = extract.numbered_answers("text", "finish_reason")
+    answers = extract.numbered_answers(extract.reply_text(), "finish_reason")
     out = generate.ingest(numbered_responses(spark, sf), answers, ["request_id", "label"])
     return out.withColumn("answer_idx", F.col("answer_idx").cast("bigint"))
 

@@ -6,6 +6,7 @@ import re
 
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import HashingTF, StringIndexer
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -154,13 +155,18 @@ REAL_TRAIN = f"""ho AS (SELECT *, 'real' AS model, row_number() OVER (ORDER BY {
 rtr AS (SELECT * FROM ho WHERE p > ceil(size * 0.3::DOUBLE))"""
 
 
-@query("real_to_fake", f"""WITH {GEN}, {REAL_HALVES}, {REAL_TRAIN}, {predict_sql("pred", "rtr", "gen", False)},
+# Some generated rows get a label that the real set lacks; they must not be scored.
+_STRANGE = "CASE WHEN row_id % 10 = 0 THEN 'strange' ELSE label END"
+KNOWN_GEN = f"""{GEN.replace("gen AS", "all_gen AS")},
+gen AS (SELECT dataset_id, row_id, text, {_STRANGE} AS label FROM all_gen WHERE {_STRANGE} IN (SELECT label FROM real_set))"""
+
+
+@query("real_to_fake", f"""WITH {REAL_HALVES}, {KNOWN_GEN}, {REAL_TRAIN}, {predict_sql("pred", "rtr", "gen", False)},
 byset AS (SELECT dataset_id AS model, p.row_id, p.label, predicted, confidence FROM pred p JOIN gen USING (row_id)), {scores_sql("s", "byset")}
 SELECT model AS dataset_id, {_SCORES} FROM s""")
 def real_to_fake(spark, sf):
-    fake, true = generated(spark, sf), real(spark, sf)
-    labels = classify.label_list(fake.select("label").union(true.select("label")))
-    return rounded(evaluate.real_to_fake(fake, true, labels))
+    fake = generated(spark, sf).withColumn("label", F.expr(_STRANGE))
+    return rounded(evaluate.real_to_fake(fake, real(spark, sf)))
 
 
 @query("real_baseline", f"""WITH {REAL_HALVES}, {folds_sql("h1")}, {predict_sql("pred", "tr", "h2", False)}, {scores_sql("s", "pred")}
@@ -202,13 +208,14 @@ def _all_sql(tag: str, source: str, test: str) -> str:
 {predict_sql(f"{tag}_pf", tr, va, True)}, {scores_sql(f"{tag}_sf", f"{tag}_pf")},
 {tag}_long AS (
   SELECT {_RUN_KEY.replace("model", "dataset_id")}, 'average_distinctness.3' AS metric, coalesce(value, d) AS value FROM {tag}_plain LEFT JOIN {tag}_rare USING (dataset_id)
+  UNION ALL SELECT {_RUN_KEY.replace("model", "dataset_id")}, 'distinctness.3', d FROM {tag}_plain
   UNION ALL SELECT {_RUN_KEY.replace("model", "dataset_id")}, 'average_distinctness_spacy.1', coalesce(value, d) FROM {tag}_plain LEFT JOIN {tag}_lrare USING (dataset_id)
   UNION ALL {_long_sql(f"{tag}_sr", "finetune_temporal_fake_to_real")}
   UNION ALL {_long_sql(f"{tag}_sf", "finetune_temporal_fake_to_fake")})"""
 
 
 @query("evaluate_all", f"""WITH {GEN}, {REAL_HALVES}, {REAL_TRAIN}, {_all_sql("g", "gen", "real_set")}, {_all_sql("r", "h1", "h2")},
-{predict_sql("rf", "rtr", "gen", False)}, rfset AS (SELECT dataset_id AS model, p.row_id, p.label, predicted, confidence FROM rf p JOIN gen USING (row_id)), {scores_sql("rfs", "rfset")},
+{predict_sql("rf", "rtr", "gen", False)}, rfset AS (SELECT dataset_id AS model, p.row_id, p.label, predicted, confidence FROM rf p JOIN gen USING (row_id) WHERE p.label IN (SELECT label FROM real_set)), {scores_sql("rfs", "rfset")},
 summary AS (SELECT dataset_id, metric, avg(value) AS value, stddev_pop(value) / count(value) AS std FROM (SELECT * FROM g_long UNION ALL SELECT * FROM r_long) GROUP BY 1, 2),
 every AS (SELECT * FROM summary
   UNION ALL SELECT model, 'finetune_temporal_real_to_fake.accuracy', accuracy, NULL FROM rfs
@@ -217,7 +224,7 @@ every AS (SELECT * FROM summary
   UNION ALL SELECT dataset_id, replace(metric, '_fake_to_fake', '_real_to_fake'), value, std FROM summary WHERE dataset_id = 'real' AND metric LIKE 'finetune_temporal_fake_to_fake%')
 SELECT dataset_id, metric, round(value, 6) AS value, round(std, 6) AS std FROM every""")
 def evaluate_all(spark, sf):
-    out = evaluate.evaluate_all(generated(spark, sf), real(spark, sf), exclude=("distinctness", "mauve"))
+    out = evaluate.evaluate_all(generated(spark, sf), real(spark, sf), exclude=("mauve",))
     return rounded(out)
 
 
@@ -243,6 +250,6 @@ def lr_eval(spark, sf):
         "dataset_id",
         "label",
         F.element_at(names, F.col("prediction").cast("int") + 1).alias("predicted"),
-        F.array_max(F.transform(F.split(F.translate(F.col("probability").cast("string"), "[]", ""), ","), lambda p: p.cast("double"))).alias("confidence"),
+        F.array_max(vector_to_array("probability")).alias("confidence"),
     )
     return rounded(classify.transfer_scores(guesses, ["dataset_id"]))

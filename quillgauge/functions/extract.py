@@ -166,9 +166,15 @@ def variable_answers(variables: Column | str, prefixes: Sequence[str] = ("OUTPUT
     return F.filter(flat, lambda v: F.length(v) > 0)
 
 
+def reply_text(text: Column | str = "text", message: Column | str = "message") -> Column:
+    """What a response says: the content of its chat message, else its text."""
+    return F.coalesce(_col(message)["content"], _col(text))
+
+
 def decode_responses(df: DataFrame, raw: str = "raw") -> DataFrame:
     """Decode a log of raw JSON responses: a status, the first choice and the token use.
 
+    ``text`` is the content of a chat reply's message, else the text, so every parser serves both.
     ``error`` answers and undecodable ones are told apart; a missing body counts as an API error.
     """
     body = F.from_json(F.col(raw), RESPONSE_SCHEMA)
@@ -182,7 +188,7 @@ def decode_responses(df: DataFrame, raw: str = "raw") -> DataFrame:
     good = status == "ok"
     return (
         parsed.withColumn("status", status)
-        .withColumn("text", F.when(good, choice["text"]))
+        .withColumn("text", F.when(good, reply_text(choice["text"], choice["message"])))
         .withColumn("message", F.when(good, choice["message"]))
         .withColumn("finish_reason", F.when(good, choice["finish_reason"]))
         .withColumn("total_tokens", F.when(good, F.col("__body.usage.total_tokens")))

@@ -6,8 +6,6 @@ from pyspark.sql import SparkSession
 
 from quillgauge.functions.text import WHITESPACE
 
-_LETTER_HYPHEN = r"r'([a-z])-([a-z])'"
-
 
 def register(spark: SparkSession) -> list[str]:
     """Create ``clean_text``, ``token_array`` and ``numbered_lines``; return their names."""
@@ -16,7 +14,7 @@ def register(spark: SparkSession) -> list[str]:
         "clean_text": (
             "STRING",
             "regexp_replace(regexp_replace(regexp_replace(regexp_replace("
-            f"lower(t), {_LETTER_HYPHEN}, '$1 $2'), r'[^a-z{ws}]', ''), r'[{ws}]{{2,}}', ' '), "
+            f"lower(t), r'([a-z])-([a-z])', '$1 $2'), r'[^a-z{ws}]', ''), r'[{ws}]{{2,}}', ' '), "
             f"r'^[{ws}]+|[{ws}]+$', '')",
         ),
         "token_array": ("ARRAY<STRING>", "split(regexp_replace(t, '[^a-zA-Z ]', ''), ' ', -1)"),

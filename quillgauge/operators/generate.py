@@ -1,4 +1,4 @@
-"""Generation as table steps: quotas, request plans, prompts, recorded responses, ingestion."""
+"""Making datasets as table steps: quotas, request plans, prompts, recorded responses, ingestion."""
 
 from __future__ import annotations
 
@@ -41,7 +41,7 @@ def request_plan(deficits: DataFrame, per_request: int = 20, retry: bool = False
         deficits.filter(F.col("deficit") > 0)
         .withColumn("__n", requests)
         .withColumn("__from", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("__n") - 1, F.lit(block).cast("bigint"))))
-        .repartition(spread, "label", "__from")
+        .repartition(spread, *deficits.columns, "__from")
     )
     single = blocks.withColumn(
         "request", F.explode(F.sequence("__from", F.least(F.col("__from") + block, F.col("__n")) - 1))
@@ -173,15 +173,15 @@ def token_budget(
 ) -> DataFrame:
     """Tokens used in the 60 s before each completion, and the requests that may start after it.
 
-    ``usage`` has the group, ``ts`` (microseconds) and ``tokens``. Time is cut into slices; the
-    last minute of a slice is repeated in the next one, so the window of a busy model is spread
-    over many tasks and still exact.
+    ``usage`` has the group, ``ts`` (microseconds) and ``tokens``. Time is cut into slices; every
+    completion is repeated in each later slice that its minute reaches, so the window of a busy
+    model is spread over many tasks and still exact, also for slices shorter than a minute.
     """
     minute, width = 60_000_000, slice_seconds * 1_000_000
     own = F.floor(F.col("ts") / width)
     spread = usage.withColumn("__slice", own).withColumn("__echo", F.lit(False))
     echo = (
-        usage.withColumn("__slice", own + 1)
+        usage.withColumn("__slice", F.explode(F.sequence(own + 1, own + -(-60 // slice_seconds))))
         .withColumn("__echo", F.lit(True))
         .filter(F.col("__slice") * width - F.col("ts") < minute)
     )

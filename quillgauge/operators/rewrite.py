@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 from quillgauge.functions import prompts as P
 from quillgauge.functions.keys import key_below, order_key
-from quillgauge.operators.generate import numbered_block
+from quillgauge.operators.generate import numbered_block, prompt_counts
 from quillgauge.operators.ordering import number_by_hash, number_by_id
+from quillgauge.operators.sampling import pick_number
 
 
 def mark_chosen(df: DataFrame, probability: float = 1.0, seed: str = "rewrite") -> DataFrame:
@@ -36,21 +37,30 @@ def numbered_chunks(
 
 
 def run_level(
-    previous: DataFrame, prompts: DataFrame, log: DataFrame, key: list[str], answer: str = "answer", messages: str | None = None
+    previous: DataFrame,
+    prompts: DataFrame,
+    log: DataFrame,
+    key: list[str],
+    answer: str = "answer",
+    messages: str | None = None,
+    seed: str = "level",
 ) -> DataFrame:
     """One level: prompts built from the previous answers, joined with their recorded responses.
 
-    ``prompts`` holds one template per label with the slot ``{{answer}}``. With ``messages`` the
-    prompt continues that chat instead: messages so far, the answer, the new prompt.
+    ``prompts`` holds (label, prompt_idx, template) with the slot ``{{answer}}``; each request draws
+    one of its label's. With ``messages`` the prompt continues that chat instead: messages so far,
+    the answer, the new prompt. A request without a recorded response stays, with a null answer.
     """
-    named = previous.join(prompts, "label")
+    sized = previous.join(prompt_counts(prompts), "label")
+    drawn = sized.withColumn("prompt_idx", pick_number(*key, size=F.col("n_prompts"), seed=seed)).drop("n_prompts")
+    named = drawn.join(prompts, ["label", "prompt_idx"]).drop("prompt_idx")
     if messages is None:
         text = P.render("template", F.create_map(F.lit("answer"), F.col(answer)))
         asked = named.withColumn("messages", P.chat_from_text(text))
     else:
         reply = P.message(answer, F.lit("assistant"))
         asked = named.withColumn("messages", P.extend_chat(messages, reply, "template"))
-    return asked.drop("template", answer).join(log, key)
+    return asked.drop("template", answer).join(log, key, "left")
 
 
 def merge(

@@ -30,6 +30,8 @@ class Folds:
     valid: DataFrame
     test: DataFrame
     labels: tuple[str, ...]
+    # Vectors of either side that the distribution match looks at: its sample size.
+    mauve_rows: int = 4000
 
 
 def all_labels(datasets: DataFrame, real: DataFrame) -> tuple[str, ...]:
@@ -67,11 +69,12 @@ def fake_to_fake(folds: Folds, words: Column | None = None) -> DataFrame:
     return classify.transfer_scores(guesses, KEY)
 
 
-def real_to_fake(datasets: DataFrame, real: DataFrame, labels: Sequence[str], words: Column | None = None) -> DataFrame:
+def real_to_fake(datasets: DataFrame, real: DataFrame, words: Column | None = None) -> DataFrame:
     """Trained once, on the training part of the first real half, tested on every dataset.
 
     Rows whose label the real set lacks are left out.
     """
+    labels = classify.label_list(real.select("label"))
     first = sampling.halves(real, []).filter(F.col("half") == 1)
     train = sampling.holdout(first, []).filter(F.col("side") == "train")
     model = classify.train(train.withColumn("model", F.lit("real")), ["model"], labels, words)
@@ -110,7 +113,7 @@ def _mauve(folds: Folds) -> DataFrame:
     name = F.concat_ws("|", *KEY)
     rows = folds.train.select(name.alias("dataset_id"), "row_id", "text", "test_set")
     tests = folds.test.select(F.lit("").alias("dataset_id"), "row_id", "text", "test_set")
-    first = sampling.first_n(rows.unionByName(tests), 4000, ["dataset_id", "test_set"])
+    first = sampling.first_n(rows.unionByName(tests), folds.mauve_rows, ["dataset_id", "test_set"])
     hashed = stored(vectors.hash_vectors(first).drop("text"), "vectors")
     is_test = F.col("dataset_id") == ""
     names: dict[str, list[str]] = {}
@@ -161,22 +164,26 @@ def evaluate_all(
     n_runs: int = 5,
     exclude: Sequence[str] = DEFAULT_EXCLUDE,
     labels: Sequence[str] | None = None,
+    mauve_rows: int = 4000,
 ) -> DataFrame:
     """(dataset, metric, value, std) for every dataset and for the real set itself.
 
     Measures are means over the folds' training parts with their published spread. The real set
     is judged by its first half against its second; its real-to-fake scores are its held-out ones.
+    Against a real set with one label there are no transfer scores.
     The folds are written once and every measure reads them from there.
     """
     if labels is None:
         labels = all_labels(datasets, real)
+    if len(classify.label_list(real.select("label"))) < 2:
+        exclude = (*exclude, "finetune_temporal")
     first, second = real_halves(real)
     whole, half = F.lit("real"), F.lit("second half")
     judged = datasets.withColumn("test_set", whole).unionByName(first.withColumn("test_set", half))
     tests = real.withColumn("test_set", whole).unionByName(second.withColumn("test_set", half))
     folds = make_folds(judged, tests, n_runs, labels)
     parts = stored(folds.train.unionByName(folds.valid), "folds", ("side",))
-    written = Folds(parts.filter("side = 'train'"), parts.filter("side = 'valid'"), folds.test, folds.labels)
+    written = Folds(parts.filter("side = 'train'"), parts.filter("side = 'valid'"), folds.test, folds.labels, mauve_rows)
     folded = measure_folds(written, exclude)
     summary = metrics.kfold_summary(folded).select(
         "dataset_id", "metric", F.col("mean").alias("value"), "std"
@@ -184,7 +191,7 @@ def evaluate_all(
     if "finetune_temporal" in exclude:
         return summary
     faithful = metrics.wide_to_long(
-        real_to_fake(datasets, real, labels), ["dataset_id"], "finetune_temporal_real_to_fake."
+        real_to_fake(datasets, real), ["dataset_id"], "finetune_temporal_real_to_fake."
     ).withColumn("std", F.lit(None).cast("double"))
     copied = summary.filter(
         (F.col("dataset_id") == "real") & F.col("metric").startswith("finetune_temporal_fake_to_fake")

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import io
+from collections.abc import Iterator, Sequence
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -29,28 +31,55 @@ def write_csv(df: DataFrame, path: str, partition_by: Sequence[str] = (), sep: s
     )
 
 
+def _chunks(content: bytes, names: list[str], sep: str, escape: str | None) -> Iterator[pd.DataFrame]:
+    """The values of a CSV file as strings, a bounded number of rows at a time."""
+    if content.strip():
+        yield from pd.read_csv(
+            io.BytesIO(content), sep=sep, header=0, names=names, index_col=False, dtype=str,
+            keep_default_na=False, na_values=[""], escapechar=escape, chunksize=5000,
+        )
+
+
+def _survey(content: bytes, names: list[str], sep: str, escape: str | None) -> tuple[int, bool]:
+    """Rows (-1: malformed), and whether a value ends in an unpaired backslash."""
+    rows, dangling = 0, False
+    try:
+        for chunk in _chunks(content, names, sep, escape):
+            rows += len(chunk)
+            tails = chunk.stack().str.extract(r"(\\*)$")[0].str.len()
+            dangling = dangling or bool((tails % 2 == 1).any())
+    except pd.errors.ParserError:
+        return -1, False
+    return rows, dangling
+
+
+def _escape_of(content: bytes, names: list[str], sep: str) -> str | None:
+    """Backslash, unless the file is malformed with it or loses rows to a backslash that ends a value."""
+    escaped, _ = _survey(content, names, sep, "\\")
+    plain, dangling = _survey(content, names, sep, None)
+    return None if escaped < 0 or (dangling and plain > escaped) else "\\"
+
+
 def read_csv(spark: SparkSession, path: str | list[str], schema: str, sep: str = ",") -> DataFrame:
     """Read CSV whose backslashes escape the next character; an empty value is null, quoted or not.
 
-    A file in which a value ends in an unpaired backslash cannot have been written that way; its
-    values are taken as they stand.
+    Quotes inside values may be doubled or escaped. A file in which a value ends in an unpaired
+    backslash cannot have been written that way; its values are taken as they stand. A file that is
+    malformed both ways fails. Values with line breaks keep a file in one piece, so a dataset of
+    size should come in many files.
     """
     fields = T.StructType.fromDDL(schema)
-    raw = (
-        spark.read.schema(fields)
-        .options(header=True, quote='"', escape='"', sep=sep, multiLine=True, mode="PERMISSIVE")
-        .csv(path)
-        .withColumn("__file", F.col("_metadata.file_path"))
-    )
-    strings = [f.name for f in fields if isinstance(f.dataType, T.StringType)]
-    dangling = F.lit(False)
-    for c in strings:
-        dangling = dangling | F.coalesce(F.length(F.regexp_extract(c, r"(\\*)$", 1)) % 2 == 1, F.lit(False))
-    plain_files = raw.filter(dangling).select("__file").distinct().withColumn("__plain", F.lit(True))
-    marked = raw.join(plain_files, "__file", "left")
-    return marked.withColumns(
-        {c: F.when(F.col("__plain"), F.col(c)).otherwise(F.regexp_replace(c, r"(?s)\\(.)", "$1")) for c in strings}
-    ).select(*fields.names)
+    names = fields.names
+
+    def parse(files: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in files:
+            for content in batch["content"]:
+                for chunk in _chunks(content, names, sep, _escape_of(content, names, sep)):
+                    yield chunk.astype(object).where(chunk.notna(), None)
+
+    text = T.StructType([T.StructField(n, T.StringType()) for n in names])
+    values = spark.read.format("binaryFile").load(path).select("content").mapInPandas(parse, text)
+    return values.select(*[F.col(f.name).cast(f.dataType) for f in fields])
 
 
 def load(spark: SparkSession, path: str | list[str], dual: bool = False) -> DataFrame:

@@ -23,6 +23,10 @@ def test_csv_round_trip_and_foreign_files(spark, tmp_path):
     plain.write_text('text,label\n"a ""b"" c\\d",x\n"ends \\",y\n')
     escaped = tmp_path / "escaped.csv"
     escaped.write_text('text,label\n"a\\\\b, ""q""",x\nplain,y\n,z\nlost,\n')
+    quoted = tmp_path / "quoted.csv"
+    quoted.write_text('text,label\n"he said \\"hi\\", ok",x\n"a \\"b\\"\nc",y\n')
+    back = sources.read_csv(spark, str(quoted), "text string, label string").collect()
+    assert [tuple(r) for r in back] == [('he said "hi", ok', "x"), ('a "b"\nc', "y")]
     got = sources.read_csv(spark, [str(plain), str(escaped)], "text string, label string").collect()
     assert {r["text"] for r in got} == {'a "b" c\\d', "ends \\", 'a\\b, "q"', "plain", None, "lost"}
     assert {r["text"] for r in sources.load(spark, str(escaped)).collect()} == {'a\\b, "q"', "plain"}
@@ -119,15 +123,33 @@ def test_prompts_round_robin_and_pick(spark):
     assert len(picked) == 10 and {r["label"] for r in picked} == {"x", "y"}
 
 
-def test_token_budget_equals_direct_sum(spark):
+@pytest.mark.parametrize("seconds", [100, 20, 7])
+def test_token_budget_equals_direct_sum(spark, seconds):
     usage = [("m", t * 7_000_000 + (t % 3), t % 50) for t in range(300)]
     df = spark.createDataFrame(usage, "model string, ts bigint, tokens bigint")
-    got = {r["ts"]: (r["used"], r["admitted"]) for r in generate.token_budget(df, 200, 10, slice_seconds=100).collect()}
+    got = {r["ts"]: (r["used"], r["admitted"]) for r in generate.token_budget(df, 200, 10, slice_seconds=seconds).collect()}
     for _, ts, _ in usage:
         used = sum(k for _, s, k in usage if s <= ts and ts - s < 60_000_000)
         assert got[ts] == (used, (200 - min(used, 200)) // 10)
 
 
+def test_chat_replies_are_read(spark):
+    raw = '{"choices": [{"message": {"role": "assistant", "content": "1. one\\n2. two"}, "finish_reason": "stop"}], "usage": {"total_tokens": 3}}'
+    decoded = extract.decode_responses(spark.createDataFrame([(1, raw)], "request_id int, raw string"))
+    out = generate.ingest(decoded, extract.numbered_answers("text", "finish_reason"), ["request_id"])
+    assert sorted(r["text"] for r in out.collect()) == ["one", "two"]
+
+
+def test_rewrite_level_draws_one_prompt_and_keeps_the_unanswered(spark):
+    requests = spark.createDataFrame([(c, "x", f"block {c}") for c in range(30)], "chunk int, label string, answer string")
+    prompts = spark.createDataFrame([("x", i, f"p{i} {{{{answer}}}}") for i in range(2)], "label string, prompt_idx bigint, template string")
+    log = spark.createDataFrame([(0, "x", "done")], "chunk int, label string, answer string")
+    out = rewrite.run_level(requests, prompts, log, ["chunk", "label"]).collect()
+    assert sorted(r["chunk"] for r in out) == list(range(30))
+    assert [r["answer"] for r in out if r["chunk"] == 0] == ["done"] and all(r["answer"] is None for r in out if r["chunk"])
+    assert len({r["messages"][-1]["content"][:2] for r in out}) == 2
+
+
 def test_complete_with_user_function(spark):
     def shout(batches):
         for b in batches:
@@ -227,6 +249,5 @@ def test_evaluate_with_one_label_and_excludes(spark):
     df = spark.createDataFrame(rows, "dataset_id string, row_id bigint, text string, label string")
     out = evaluate.evaluate_all(df.filter("dataset_id = 'a'"), df.filter("dataset_id = 'real'"), exclude=("mauve",))
     got = {(r["dataset_id"], r["metric"]): r["value"] for r in out.collect()}
-    assert got["a", "finetune_temporal_fake_to_real.accuracy"] == 1.0
-    assert got["real", "finetune_temporal_real_to_fake.f1"] == 1.0
+    assert not any(metric.startswith("finetune") for _, metric in got)
     assert ("a", "distinctness.3") in got and ("a", "average_distinctness_spacy.1") in got
