@@ -23,6 +23,10 @@ from quillgauge.functions.text import word_array
 # The token every document has once; its row holds the priors and the label sizes.
 PRIOR_TOKEN = ""
 
+# Names under which rows meet the prior token: words cannot begin with a null character.
+SALTS = 64
+_SALTED = "\0"
+
 
 @dataclass(frozen=True)
 class Model:
@@ -125,6 +129,9 @@ def predict(model: Model, rows: DataFrame, row_key: Sequence[str], words: Column
 
     Model key columns that ``rows`` has are joined on; those it lacks multiply, which is the test
     of every model on one shared set. Rows without a known word get the top prior.
+
+    Every row meets the priors of its models. It does so under one of ``SALTS`` names of the prior
+    token, chosen by its key, so that no join key holds all rows.
     """
     keys, ids = list(model.key), list(row_key)
     shared = [k for k in keys if k in rows.columns]
@@ -132,15 +139,19 @@ def predict(model: Model, rows: DataFrame, row_key: Sequence[str], words: Column
     n = len(model.labels)
     result_key = list(dict.fromkeys([*keys, *ids]))
     row = list(dict.fromkeys([*shared, *ids]))
+    prior_name = F.concat(F.lit(_SALTED), F.pmod(F.xxhash64(*row), F.lit(SALTS)).cast("string"))
+    names = F.transform(F.sequence(F.lit(0), F.lit(SALTS - 1)), lambda i: F.concat(F.lit(_SALTED), i.cast("string")))
+    named = F.when(F.col("token") == PRIOR_TOKEN, names).otherwise(F.array("token"))
+    weights = model.weights.withColumn("token", F.explode(named))
     # Counted per row first: a row's words sit in one task, so its repeats never reach the shuffle.
     words_of = (
-        rows.select(*row, "label", F.explode(F.concat(F.array(F.lit(PRIOR_TOKEN)), tokens)).alias("token"))
+        rows.select(*row, "label", F.explode(F.concat(F.array(prior_name), tokens)).alias("token"))
         .groupBy(*row, "label", "token")
         .agg(F.count(F.lit(1)).alias("times"))
     )
-    known = F.sum(F.when(F.col("token") != PRIOR_TOKEN, F.col("times")).otherwise(0))
+    known = F.sum(F.when(~F.col("token").startswith(_SALTED), F.col("times")).otherwise(0))
     summed = (
-        words_of.join(model.weights, [*shared, "token"])
+        words_of.join(weights, [*shared, "token"])
         .groupBy(*result_key, "label")
         .agg(
             known.alias("known"),
@@ -168,27 +179,35 @@ def confusion(predictions: DataFrame, key: Sequence[str]) -> DataFrame:
     )
 
 
-def macro_f1(cells: DataFrame, key: Sequence[str]) -> DataFrame:
-    """Mean F1 over the labels that occur as truth or prediction."""
+def cell_scores(cells: DataFrame, key: Sequence[str]) -> DataFrame:
+    """accuracy, complexity_abs and f1 per key, from the confusion cells in one pass.
+
+    f1 is the mean over the labels that occur as truth or prediction. Every row counts once as
+    truth and once as prediction, so the sums over the labels hold each row twice.
+    """
     hit = F.when(F.col("label") == F.col("predicted"), F.col("n")).otherwise(0)
     sides = cells.select(
         *key,
         F.explode(
             F.array(
-                F.struct(F.col("label").alias("class"), (2 * hit).alias("tp2"), F.col("n").alias("seen")),
-                F.struct(F.col("predicted").alias("class"), F.lit(0).cast("bigint").alias("tp2"), F.col("n").alias("seen")),
+                F.struct(F.col("label").alias("class"), (2 * hit).alias("tp2"), F.col("n").alias("seen"), F.col("doubt").alias("doubt")),
+                F.struct(F.col("predicted").alias("class"), F.lit(0).cast("bigint").alias("tp2"), F.col("n").alias("seen"), F.lit(0.0).alias("doubt")),
             )
         ).alias("s"),
     )
-    per_class = sides.groupBy(*key, "s.class").agg((F.sum("s.tp2") / F.sum("s.seen")).alias("class_f1"))
-    return per_class.groupBy(*key).agg(F.avg("class_f1").alias("f1"))
+    per_class = sides.groupBy(*key, "s.class").agg(
+        F.sum("s.tp2").alias("tp2"), F.sum("s.seen").alias("seen"), F.sum("s.doubt").alias("doubt")
+    )
+    return per_class.groupBy(*key).agg(
+        (F.sum("tp2") / F.sum("seen")).alias("accuracy"),
+        (2 * F.sum("doubt") / F.sum("seen")).alias("complexity_abs"),
+        F.avg(F.col("tp2") / F.col("seen")).alias("f1"),
+    )
+
+
+def macro_f1(cells: DataFrame, key: Sequence[str]) -> DataFrame:
+    return cell_scores(cells, key).select(*key, "f1")
 
 
 def transfer_scores(predictions: DataFrame, key: Sequence[str]) -> DataFrame:
-    """accuracy, f1 and complexity_abs per key, from the confusion cells."""
-    cells = confusion(predictions, key)
-    right = F.sum(F.when(F.col("label") == F.col("predicted"), F.col("n")).otherwise(0))
-    plain = cells.groupBy(*key).agg(
-        (right / F.sum("n")).alias("accuracy"), (F.sum("doubt") / F.sum("n")).alias("complexity_abs")
-    )
-    return plain.join(macro_f1(cells, key), list(key))
+    return cell_scores(confusion(predictions, key), key)
