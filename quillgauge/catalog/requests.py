@@ -333,11 +333,14 @@ def stage_chain(spark, sf):
 
 @query("stage_resume", f"WITH {_CHAIN}")
 def stage_resume(spark, sf):
-    folder = scratch_path(spark, "stages")
-    stages.run_stored(ragged(spark, sf), _stage_list()[:2], folder)
-    done, ran = stages.run_stored(ragged(spark, sf), _stage_list(), folder)
-    if ran != [2, 3]:
-        raise RuntimeError(f"stages {ran} ran again")
+    """Resumed behind its first two stages; a chain with another second stage shares only the first."""
+    folder, chain, keys = scratch_path(spark, "stages"), _stage_list(), ["load", "clean", "remove", "mark"]
+    stages.run_stored(ragged(spark, sf), chain[:2], folder, keys=keys[:2])
+    other = [chain[0], lambda df: df.withColumn("text", F.upper("text")), *chain[2:]]
+    _, changed = stages.run_stored(ragged(spark, sf), other, folder, keys=["load", "upper", *keys[2:]])
+    done, ran = stages.run_stored(ragged(spark, sf), chain, folder, keys=keys)
+    if (changed, ran) != ([1, 2, 3], [2, 3]):
+        raise RuntimeError(f"stages {changed} and {ran} ran")
     return done
 
 

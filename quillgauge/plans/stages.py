@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+import json
 from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -23,14 +25,20 @@ def _finished(spark: SparkSession, path: str) -> bool:
     return marker.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(marker)
 
 
-def run_stored(df: DataFrame, stages: Sequence[Stage], folder: str, resume: bool = True) -> tuple[DataFrame, list[int]]:
+def run_stored(
+    df: DataFrame, stages: Sequence[Stage], folder: str, resume: bool = True, keys: Sequence[str] | None = None
+) -> tuple[DataFrame, list[int]]:
     """Run a chain and store each stage's output; finished outputs are read, not made again.
 
-    Returns the last output and the numbers of the stages that ran.
+    ``keys`` identify the stages, by their settings for instance. An output is kept under the keys
+    of all stages up to it, so a changed stage and all behind it run anew; without keys a stage is
+    known by its place alone. Returns the last output and the numbers of the stages that ran.
     """
     spark, ran = df.sparkSession, []
+    keys = list(keys) if keys is not None else [""] * len(stages)
     for i, stage in enumerate(stages):
-        path = f"{folder}/stage={i}"
+        prefix = hashlib.sha256(json.dumps(keys[: i + 1]).encode()).hexdigest()
+        path = f"{folder}/stage={i}/key={prefix}"
         if not (resume and _finished(spark, path)):
             df.transform(stage).write.mode("overwrite").parquet(path)
             ran.append(i)
