@@ -228,8 +228,13 @@ def held_out(doc_id: str = "doc_id"):
     return F.coalesce(F.crc32(F.col(doc_id).cast("string")) % 5 == 0, F.lit(False))
 
 
-def keep_known(df: DataFrame, model: Model, text: str = "text", least: float = 0.3) -> DataFrame:
-    """The rows with a known language of at least the given probability, with the columns of ``df``."""
+def keep_known(df: DataFrame, model: Model, text: str = "text", least: float | None = None) -> DataFrame:
+    """The rows with a known language of at least the given probability, with the columns of ``df``.
+
+    By default that is 0.3, or 1.2 times an even share where there are more than four languages.
+    """
+    if least is None:
+        least = min(0.3, 1.2 / max(1, len(model.labels)))
     names = [f"__own_{i}" for i in range(len(df.columns))]
     told = predict(df.toDF(*names), model, names[df.columns.index(text)])
     return told.filter((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= least)).select(*names).toDF(*df.columns)
