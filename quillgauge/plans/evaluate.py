@@ -30,8 +30,6 @@ class Folds:
     valid: DataFrame
     test: DataFrame
     labels: tuple[str, ...]
-    # Vectors of either side that the distribution match looks at: its sample size.
-    mauve_rows: int = 4000
 
 
 def all_labels(datasets: DataFrame, real: DataFrame) -> tuple[str, ...]:
@@ -109,21 +107,12 @@ def _lemma_distinctness(folds: Folds) -> DataFrame:
 
 
 def _mauve(folds: Folds) -> DataFrame:
-    """Match of hashed text vectors of each fold with those of the test set."""
+    """Match of hashed text vectors of each fold with those of its test set, which also weighs the words."""
     name = F.concat_ws("|", *KEY)
     rows = folds.train.select(name.alias("dataset_id"), "row_id", "text", "test_set")
-    tests = folds.test.select(F.lit("").alias("dataset_id"), "row_id", "text", "test_set")
-    first = sampling.first_n(rows.unionByName(tests), folds.mauve_rows, ["dataset_id", "test_set"])
-    hashed = stored(vectors.hash_vectors(first).drop("text"), "vectors")
-    is_test = F.col("dataset_id") == ""
-    names: dict[str, list[str]] = {}
-    for dataset, test_set in hashed.filter(~is_test).select("dataset_id", "test_set").distinct().collect():
-        names.setdefault(test_set, []).append(dataset)
-    bins = None
-    for test_set, members in sorted(names.items()):
-        mine = hashed.filter(F.col("test_set") == test_set)
-        part = mauve.quantise_pairs(mine.filter(~is_test), mine.filter(is_test), sorted(members))
-        bins = part if bins is None else bins.unionByName(part)
+    tests = folds.test.select("row_id", "text", "test_set")
+    own, real = (vectors.hash_vectors(df, fit_on=tests, by=["test_set"]).drop("text") for df in (rows, tests))
+    bins = mauve.quantise(own, real)
     cut = F.split("dataset_id", r"\|")
     return mauve.mauve(bins).select(
         F.array_join(F.slice(cut, 1, F.size(cut) - 1), "|").alias("dataset_id"),
@@ -164,7 +153,6 @@ def evaluate_all(
     n_runs: int = 5,
     exclude: Sequence[str] = DEFAULT_EXCLUDE,
     labels: Sequence[str] | None = None,
-    mauve_rows: int = 4000,
 ) -> DataFrame:
     """(dataset, metric, value, std) for every dataset and for the real set itself.
 
@@ -183,7 +171,7 @@ def evaluate_all(
     tests = real.withColumn("test_set", whole).unionByName(second.withColumn("test_set", half))
     folds = make_folds(judged, tests, n_runs, labels)
     parts = stored(folds.train.unionByName(folds.valid), "folds", ("side",))
-    written = Folds(parts.filter("side = 'train'"), parts.filter("side = 'valid'"), folds.test, folds.labels, mauve_rows)
+    written = Folds(parts.filter("side = 'train'"), parts.filter("side = 'valid'"), folds.test, folds.labels)
     folded = measure_folds(written, exclude)
     summary = metrics.kfold_summary(folded).select(
         "dataset_id", "metric", F.col("mean").alias("value"), "std"

@@ -142,7 +142,7 @@ def test_mauve_properties(spark):
     assert got["ab"] == pytest.approx(got["ba"]) and 0 < got["ab"] < 1
 
 
-def test_quantise_pairs_separates_clusters(spark):
+def test_quantise_separates_clusters(spark):
     rng = np.random.default_rng(1)
     near, far = np.eye(8)[0], np.eye(8)[1]
     def make(centre, d, start):
@@ -150,7 +150,7 @@ def test_quantise_pairs_separates_clusters(spark):
     schema = "dataset_id string, row_id bigint, vector array<double>"
     real = spark.createDataFrame(make(near, "real", 0), schema)
     sets = spark.createDataFrame(make(near, "close", 0) + make(far, "away", 100), schema)
-    got = {r[0]: r[1] for r in mauve.mauve(mauve.quantise_pairs(sets, real, ["away", "close"])).collect()}
+    got = {r[0]: r[1] for r in mauve.mauve(mauve.quantise(sets, real)).collect()}
     assert got["away"] < 0.05 < got["close"]
 
 
