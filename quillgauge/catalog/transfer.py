@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from quillgauge.catalog.base import DS, GEN, REAL, WORDS_SQL, TOKENS_SQL, datasets, generated, query, real, rounded, table
 from quillgauge.catalog.diversity import _STOP, _lemma_sql, rarefied_sql
 from quillgauge.catalog.rows import _KEY, PARTS
+from quillgauge.catalog.vectors import hash_sql, match_sql
 from quillgauge.functions.text import WHITESPACE, word_array
 from quillgauge.operators import classify, metrics, sampling
 from quillgauge.plans import evaluate
@@ -189,12 +190,26 @@ def kfold_summary(spark, sf):
     return rounded(metrics.kfold_summary(metrics.wide_to_long(scores, evaluate.KEY, "fake.")))
 
 
-def _all_sql(tag: str, source: str, test: str) -> str:
-    """Fold values of every portable measure for one dataset CTE against one test CTE."""
+def _match_cte(tag: str, train: str, test: str) -> str:
+    """CTE {tag}_match_score: the match of hashed texts of every fold with the test set."""
+    own, real = f"{tag}_own", f"{tag}_base"
+    return f"""{hash_sql(own, f"(SELECT model AS dataset_id, row_id, text FROM {train})", test, "dataset_id, 0 AS test_set, row_id")},
+{hash_sql(real, test, test, "0 AS test_set, row_id")},
+{match_sql(f"{tag}_match", own, real)}"""
+
+
+def _fold_parts_sql(tag: str, source: str) -> str:
+    """``folds_sql`` with ``tag`` before the names of its CTEs."""
     parts = folds_sql(source)
     for cte in ("folds", "sizes", "rest", "parts", "tr", "va"):
         parts = re.sub(rf"\b{cte}\b(?= AS \()", f"{tag}_{cte}", parts)
         parts = re.sub(rf"\b(FROM|JOIN) {cte}\b", rf"\1 {tag}_{cte}", parts)
+    return parts
+
+
+def _all_sql(tag: str, source: str, test: str) -> str:
+    """Fold values of every measure for one dataset CTE against one test CTE."""
+    parts = _fold_parts_sql(tag, source)
     tr, va = f"{tag}_tr", f"{tag}_va"
     return f"""{parts},
 {tag}_tokens AS (SELECT model AS dataset_id, unnest({TOKENS_SQL}) AS token FROM {tr}),
@@ -204,12 +219,14 @@ def _all_sql(tag: str, source: str, test: str) -> str:
   FROM (SELECT model AS dataset_id, unnest(regexp_split_to_array(lower(text), '[{WHITESPACE}]+')) AS w FROM {tr})),
 {tag}_lemmas AS (SELECT dataset_id, regexp_replace({_lemma_sql("word")}, '[^a-zA-Z]', '', 'g') AS token FROM {tag}_words WHERE word <> '' AND word NOT IN ({_STOP})),
 {tag}_lcounts AS (SELECT dataset_id, token, count(*) AS n FROM {tag}_lemmas GROUP BY 1, 2), {rarefied_sql(f"{tag}_lcounts", f"{tag}_lrare")},
+{_match_cte(tag, tr, test)},
 {predict_sql(f"{tag}_pr", tr, test, False)}, {scores_sql(f"{tag}_sr", f"{tag}_pr")},
 {predict_sql(f"{tag}_pf", tr, va, True)}, {scores_sql(f"{tag}_sf", f"{tag}_pf")},
 {tag}_long AS (
   SELECT {_RUN_KEY.replace("model", "dataset_id")}, 'average_distinctness.3' AS metric, coalesce(value, d) AS value FROM {tag}_plain LEFT JOIN {tag}_rare USING (dataset_id)
   UNION ALL SELECT {_RUN_KEY.replace("model", "dataset_id")}, 'distinctness.3', d FROM {tag}_plain
   UNION ALL SELECT {_RUN_KEY.replace("model", "dataset_id")}, 'average_distinctness_spacy.1', coalesce(value, d) FROM {tag}_plain LEFT JOIN {tag}_lrare USING (dataset_id)
+  UNION ALL SELECT {_RUN_KEY.replace("model", "dataset_id")}, 'mauve', mauve FROM {tag}_match_score
   UNION ALL {_long_sql(f"{tag}_sr", "finetune_temporal_fake_to_real")}
   UNION ALL {_long_sql(f"{tag}_sf", "finetune_temporal_fake_to_fake")})"""
 
@@ -224,13 +241,15 @@ every AS (SELECT * FROM summary
   UNION ALL SELECT dataset_id, replace(metric, '_fake_to_fake', '_real_to_fake'), value, std FROM summary WHERE dataset_id = 'real' AND metric LIKE 'finetune_temporal_fake_to_fake%')
 SELECT dataset_id, metric, round(value, 6) AS value, round(std, 6) AS std FROM every""")
 def evaluate_all(spark, sf):
-    out = evaluate.evaluate_all(generated(spark, sf), real(spark, sf), exclude=("mauve",))
-    return rounded(out)
+    return rounded(evaluate.evaluate_all(generated(spark, sf), real(spark, sf), exclude=()))
 
 
-@query("mauve_documents")
+@query("mauve_documents", f"""WITH {GEN}, {REAL_HALVES}, {_fold_parts_sql("g", "gen")}, {_match_cte("g", "g_tr", "real_set")},
+{_fold_parts_sql("r", "h1")}, {_match_cte("r", "r_tr", "h2")},
+l AS (SELECT {_RUN_KEY.replace("model", "dataset_id")}, mauve FROM (SELECT * FROM g_match_score UNION ALL SELECT * FROM r_match_score))
+SELECT dataset_id, 'mauve' AS metric, round(avg(mauve), 6) AS value, round(stddev_pop(mauve) / count(mauve), 6) AS std FROM l GROUP BY 1""")
 def mauve_documents(spark, sf):
-    """Distribution match of hashed text vectors; clusters depend on the fit, so rows only."""
+    """Distribution match of hashed text vectors alone."""
     exclude = tuple(m for m in evaluate.MEASURES if m != "mauve")
     return rounded(evaluate.evaluate_all(generated(spark, sf), real(spark, sf), exclude=exclude))
 
