@@ -24,6 +24,22 @@ def src_csv_roundtrip(spark, sf):
     return sources.read_csv(spark, [own, foreign], "row_id bigint, text string, label string")
 
 
+@query("manifest_load", """SELECT source AS dataset_id, row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS row_id, text, lang AS label,
+'run' AS settings, 1::BIGINT AS depth FROM documents WHERE lang IS NOT NULL AND length(text) >= 2""")
+def manifest_load(spark, sf):
+    """Every dataset written as CSV, listed in a manifest and loaded through it."""
+    folder = scratch_path(spark, "runs")
+    rows = datasets(spark, sf).repartition("dataset_id").sortWithinPartitions("dataset_id", "row_id")
+    sources.write_csv(rows.select("dataset_id", "text", "label"), folder, ["dataset_id"])
+    path = F.concat(F.lit(f"{folder}/dataset_id="), "dataset_id")
+    entries = datasets(spark, sf).select("dataset_id").distinct().select(
+        F.abs(F.xxhash64("dataset_id")).alias("position"),
+        F.to_json(F.struct(F.lit("run").alias("settings"), F.array(path).alias("datasets"))).alias("entry"),
+    )
+    loaded = sources.load_manifest(spark, stores.manifest_datasets(entries))
+    return loaded.withColumn("dataset_id", F.regexp_extract("dataset_id", "=(.*)$", 1))
+
+
 @query("features_roundtrip", """SELECT source AS dataset_id, doc_id AS row_id, len(string_split(text, ' ')) AS n_tokens, md5(text) AS digest FROM documents""")
 def features_roundtrip(spark, sf):
     path = scratch_path(spark, "features")

@@ -10,13 +10,15 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillgauge.catalog.base import DS, GEN, REAL, WORDS_SQL, TOKENS_SQL, datasets, generated, query, real, rounded, table
+from quillgauge.catalog.base import CONFIGS, DS, GEN, REAL, WORDS_SQL, TOKENS_SQL, datasets, generated, query, real, rounded, run_configs, table
 from quillgauge.catalog.diversity import _STOP, _lemma_sql, rarefied_sql
 from quillgauge.catalog.rows import _KEY, PARTS
 from quillgauge.catalog.vectors import hash_sql, match_sql
 from quillgauge.functions.text import WHITESPACE, word_array
-from quillgauge.operators import classify, metrics, sampling
+from quillgauge.operators import classify, metrics, report, sampling
 from quillgauge.plans import evaluate
+from quillgauge.session import scratch_path
+from quillgauge.sources import stores
 
 
 def model_sql(name: str, train: str, words: str = WORDS_SQL) -> str:
@@ -231,19 +233,59 @@ def _all_sql(tag: str, source: str, test: str) -> str:
   UNION ALL {_long_sql(f"{tag}_sf", "finetune_temporal_fake_to_fake")})"""
 
 
-@query("evaluate_all", f"""WITH {GEN}, {REAL_HALVES}, {REAL_TRAIN}, {_all_sql("g", "gen", "real_set")}, {_all_sql("r", "h1", "h2")},
+EVERY = f"""WITH {GEN}, {REAL_HALVES}, {REAL_TRAIN}, {_all_sql("g", "gen", "real_set")}, {_all_sql("r", "h1", "h2")},
 {predict_sql("rf", "rtr", "gen", False)}, rfset AS (SELECT dataset_id AS model, p.row_id, p.label, predicted, confidence FROM rf p JOIN gen USING (row_id) WHERE p.label IN (SELECT label FROM real_set)), {scores_sql("rfs", "rfset")},
 summary AS (SELECT dataset_id, metric, avg(value) AS value, stddev_pop(value) / count(value) AS std FROM (SELECT * FROM g_long UNION ALL SELECT * FROM r_long) GROUP BY 1, 2),
 every AS (SELECT * FROM summary
   UNION ALL SELECT model, 'finetune_temporal_real_to_fake.accuracy', accuracy, NULL FROM rfs
   UNION ALL SELECT model, 'finetune_temporal_real_to_fake.f1', f1, NULL FROM rfs
   UNION ALL SELECT model, 'finetune_temporal_real_to_fake.complexity_abs', complexity_abs, NULL FROM rfs
-  UNION ALL SELECT dataset_id, replace(metric, '_fake_to_fake', '_real_to_fake'), value, std FROM summary WHERE dataset_id = 'real' AND metric LIKE 'finetune_temporal_fake_to_fake%')
+  UNION ALL SELECT dataset_id, replace(metric, '_fake_to_fake', '_real_to_fake'), value, std FROM summary WHERE dataset_id = 'real' AND metric LIKE 'finetune_temporal_fake_to_fake%')"""
+
+
+@query("evaluate_all", f"""{EVERY}
 SELECT dataset_id, metric, round(value, 6) AS value, round(std, 6) AS std FROM every""")
 def evaluate_all(spark, sf):
     return rounded(evaluate.evaluate_all(generated(spark, sf), real(spark, sf), exclude=()))
 
 
+# All but the match, which costs most; half the sources first, one of them with a value of its own.
+_STEPWISE = """long_rows AS (SELECT dataset_id, metric, value FROM every UNION ALL SELECT dataset_id, metric || '_std', std FROM every WHERE std IS NOT NULL)
+SELECT dataset_id, metric, CASE WHEN dataset_id = 'src5' AND metric = 'distinctness.3' THEN -1 ELSE round(value, 6) END AS value
+FROM long_rows WHERE metric NOT LIKE 'mauve%' AND NOT (dataset_id = 'src5' AND metric = 'distinctness.3_std')"""
+
+
+@query("evaluate_incremental", f"{EVERY}, {_STEPWISE}")
+def evaluate_incremental(spark, sf):
+    """A store filled in two steps: the second takes only what the first left out."""
+    path = scratch_path(spark, "metrics")
+    fake, true = generated(spark, sf), real(spark, sf)
+    stores.write_store(spark.createDataFrame([("src5", "distinctness.3", -1.0)], stores.STORE), path, 1)
+    evaluate.evaluate_into(path, fake.filter(F.col("dataset_id").rlike("[02468]$")), true, exclude=("mauve",))
+    return rounded(evaluate.evaluate_into(path, fake, true, exclude=("mauve",)))
+
+
+_STD_MEASURES = ", ".join(
+    f"{'1 - ' if m == 'complexity' else ''}max({v}) FILTER (WHERE metric = '{n}') AS {m}{suffix}"
+    for v, suffix in (("value", ""), ("std", "_std")) for m, n in report.MEASURES.items()
+).replace("1 - max(std)", "max(std)")
+_TABLE_COLUMNS = [f"{m}{suffix}" for suffix in ("", "_std") for m in report.MEASURES]
+
+
+@query("experiment_table_std", f"""{EVERY}, {CONFIGS}, settings AS (SELECT DISTINCT * EXCLUDE (task) FROM configs),
+wide AS (SELECT dataset_id, {_STD_MEASURES} FROM every GROUP BY 1)
+SELECT position, model, temperature, top_p, {", ".join(f"round({c}, 6) AS {c}" for c in _TABLE_COLUMNS)} FROM wide JOIN settings USING (dataset_id)
+UNION ALL SELECT -1, 'real', 1.0, 1.0, {", ".join(f"round({c}, 6)" for c in _TABLE_COLUMNS)} FROM wide WHERE dataset_id = 'real'""")
+def experiment_table_std(spark, sf):
+    """From documents to the table of runs, every measure computed, with its spread."""
+    path = scratch_path(spark, "metrics")
+    store = evaluate.evaluate_into(path, generated(spark, sf), real(spark, sf), exclude=())
+    runs = report.run_flags(run_configs(spark, sf)).drop("task").distinct()
+    by_run = store.join(runs.select("dataset_id", "position"), "dataset_id")
+    out = report.experiment_table(by_run, runs, store.filter("dataset_id = 'real'"), key=("position",), include_std=True)
+    return rounded(out.select("position", "model", "temperature", "top_p", *_TABLE_COLUMNS))
+
+
 @query("mauve_documents", f"""WITH {GEN}, {REAL_HALVES}, {_fold_parts_sql("g", "gen")}, {_match_cte("g", "g_tr", "real_set")},
 {_fold_parts_sql("r", "h1")}, {_match_cte("r", "r_tr", "h2")},
 l AS (SELECT {_RUN_KEY.replace("model", "dataset_id")}, mauve FROM (SELECT * FROM g_match_score UNION ALL SELECT * FROM r_match_score))

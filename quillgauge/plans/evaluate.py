@@ -7,13 +7,15 @@ measures are added to ``MEASURES`` by name.
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillgauge.operators import classify, diversity, mauve, metrics, sampling, vectors
 from quillgauge.session import stored
+from quillgauge.sources import stores
 
 KEY = ("dataset_id", "run")
 MODEL_KEY = (*KEY, "test_set")
@@ -139,12 +141,20 @@ MEASURES: dict[str, Callable[[Folds], DataFrame]] = {
 DEFAULT_EXCLUDE = ("distinctness",)
 
 
-def measure_folds(folds: Folds, exclude: Sequence[str]) -> DataFrame:
+def _planned(df: DataFrame, plan: DataFrame | None, measure: str) -> DataFrame:
+    """The rows of the datasets for which a measure is planned; all of them without a plan."""
+    if plan is None:
+        return df
+    return df.join(plan.filter(F.col("metric") == measure).select("dataset_id"), "dataset_id", "left_semi").select(*df.columns)
+
+
+def measure_folds(folds: Folds, exclude: Sequence[str], plan: DataFrame | None = None) -> DataFrame:
     names = [n for n in MEASURES if n not in exclude]
-    out = MEASURES[names[0]](folds)
-    for name in names[1:]:
-        out = out.unionByName(MEASURES[name](folds))
-    return out
+    parts = []
+    for name in names:
+        train, valid = (_planned(side, plan, name) for side in (folds.train, folds.valid))
+        parts.append(MEASURES[name](replace(folds, train=train, valid=valid)))
+    return reduce(DataFrame.unionByName, parts)
 
 
 def evaluate_all(
@@ -153,13 +163,15 @@ def evaluate_all(
     n_runs: int = 5,
     exclude: Sequence[str] = DEFAULT_EXCLUDE,
     labels: Sequence[str] | None = None,
+    plan: DataFrame | None = None,
 ) -> DataFrame:
     """(dataset, metric, value, std) for every dataset and for the real set itself.
 
     Measures are means over the folds' training parts with their published spread. The real set
     is judged by its first half against its second; its real-to-fake scores are its held-out ones.
     Against a real set with one label there are no transfer scores.
-    The folds are written once and every measure reads them from there.
+    The folds are written once and every measure reads them from there. ``plan``
+    (``dataset_id, metric``) names the measures to take of each dataset; the real set is ``real``.
     """
     if labels is None:
         labels = all_labels(datasets, real)
@@ -172,16 +184,58 @@ def evaluate_all(
     folds = make_folds(judged, tests, n_runs, labels)
     parts = stored(folds.train.unionByName(folds.valid), "folds", ("side",))
     written = Folds(parts.filter("side = 'train'"), parts.filter("side = 'valid'"), folds.test, folds.labels)
-    folded = measure_folds(written, exclude)
+    folded = measure_folds(written, exclude, plan)
     summary = metrics.kfold_summary(folded).select(
         "dataset_id", "metric", F.col("mean").alias("value"), "std"
     )
     if "finetune_temporal" in exclude:
         return summary
     faithful = metrics.wide_to_long(
-        real_to_fake(datasets, real), ["dataset_id"], "finetune_temporal_real_to_fake."
+        real_to_fake(_planned(datasets, plan, "finetune_temporal"), real), ["dataset_id"], "finetune_temporal_real_to_fake."
     ).withColumn("std", F.lit(None).cast("double"))
     copied = summary.filter(
         (F.col("dataset_id") == "real") & F.col("metric").startswith("finetune_temporal_fake_to_fake")
     ).withColumn("metric", F.replace("metric", F.lit("_fake_to_fake"), F.lit("_real_to_fake")))
     return summary.unionByName(faithful.select(*summary.columns)).unionByName(copied)
+
+
+def spread_rows(scores: DataFrame) -> DataFrame:
+    """(dataset, metric, value): the spread of a metric becomes the metric ``<name>_std``."""
+    std = scores.filter(F.col("std").isNotNull()).select(
+        "dataset_id", F.concat("metric", F.lit("_std")).alias("metric"), F.col("std").alias("value")
+    )
+    return scores.select("dataset_id", "metric", "value").unionByName(std)
+
+
+def evaluate_into(
+    path: str,
+    datasets: DataFrame,
+    real: DataFrame,
+    n_runs: int = 5,
+    exclude: Sequence[str] = DEFAULT_EXCLUDE,
+    force: bool = False,
+) -> DataFrame:
+    """Bring the metric store at ``path`` up to date and return it: (dataset, metric, value).
+
+    Only measures that a dataset lacks are taken, all of them with ``force``. Without real rows
+    only diversity is measured, and a dataset with one label gets no transfer scores. New values win
+    over stored ones; the store is then written anew as its next generation, which readers see
+    only when it is complete.
+    """
+    spark = datasets.sparkSession
+    store, generation = stores.read_store(spark, path)
+    has_real = not real.isEmpty()
+    every = datasets.unionByName(real.withColumn("dataset_id", F.lit("real")).select(*datasets.columns))
+    sizes = every.groupBy("dataset_id", "label").count().groupBy("dataset_id").agg(
+        F.count("label").alias("n_labels"), F.lit(has_real).alias("has_real")
+    )
+    known = store.filter(F.lit(not force))
+    plan = stored(metrics.metric_plan(sizes, list(MEASURES), known, exclude), "plan")
+    needed = {r["metric"] for r in plan.select("metric").distinct().collect()}
+    if not needed:
+        return store
+    skipped = tuple(name for name in MEASURES if name not in needed)
+    wanted = datasets.join(plan.select("dataset_id").distinct(), "dataset_id", "left_semi").select(*datasets.columns)
+    scores = evaluate_all(wanted, real, n_runs, skipped, plan=plan)
+    stores.write_store(metrics.upsert(store, spread_rows(scores)), path, generation + 1)
+    return stores.read_store(spark, path)[0]

@@ -10,8 +10,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from quillgauge.functions.keys import id_bucket
 from quillgauge.functions.text import strip_parenthetical
+from quillgauge.operators.ordering import number_rows
 from quillgauge.operators.rows import load_normalise, remove_empty, unpivot_flags
+from quillgauge.session import stored
 
 # Class numbers of the news source.
 NEWS_CLASSES = {1: "World", 2: "Sports", 3: "Business", 4: "Sci/Tech"}
@@ -60,26 +63,30 @@ def _escape_of(content: bytes, names: list[str], sep: str) -> str | None:
     return None if escaped < 0 or (dangling and plain > escaped) else "\\"
 
 
-def read_csv(spark: SparkSession, path: str | list[str], schema: str, sep: str = ",") -> DataFrame:
+def read_csv(spark: SparkSession, path: str | list[str], schema: str, sep: str = ",", origin: bool = False) -> DataFrame:
     """Read CSV whose backslashes escape the next character; an empty value is null, quoted or not.
 
     Quotes inside values may be doubled or escaped. A file in which a value ends in an unpaired
     backslash cannot have been written that way; its values are taken as they stand. A file that is
     malformed both ways fails. Values with line breaks keep a file in one piece, so a dataset of
-    size should come in many files.
+    size should come in many files. With ``origin`` each row has its ``file`` and its place there, ``at``.
     """
     fields = T.StructType.fromDDL(schema)
     names = fields.names
 
     def parse(files: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in files:
-            for content in batch["content"]:
+            for file, content in zip(batch["path"], batch["content"], strict=True):
+                at = 0
                 for chunk in _chunks(content, names, sep, _escape_of(content, names, sep)):
-                    yield chunk.astype(object).where(chunk.notna(), None)
+                    values = chunk.astype(object).where(chunk.notna(), None)
+                    yield values.assign(file=file, at=range(at, at + len(values))) if origin else values
+                    at += len(values)
 
-    text = T.StructType([T.StructField(n, T.StringType()) for n in names])
-    values = spark.read.format("binaryFile").load(path).select("content").mapInPandas(parse, text)
-    return values.select(*[F.col(f.name).cast(f.dataType) for f in fields])
+    places = [T.StructField("file", T.StringType()), T.StructField("at", T.LongType())] if origin else []
+    text = T.StructType([T.StructField(n, T.StringType()) for n in names] + places)
+    values = spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(parse, text)
+    return values.select(*[F.col(f.name).cast(f.dataType) for f in fields], *[f.name for f in places])
 
 
 def load(spark: SparkSession, path: str | list[str], dual: bool = False) -> DataFrame:
@@ -87,6 +94,36 @@ def load(spark: SparkSession, path: str | list[str], dual: bool = False) -> Data
     return load_normalise(read_csv(spark, path, "text string, label string" + (", other_text string" if dual else "")))
 
 
+def load_many(spark: SparkSession, paths: Sequence[str], dual: bool = False) -> DataFrame:
+    """Many labelled CSVs as the long table: (dataset_id, row_id, text, label[, other_text]).
+
+    Each path is a file or a folder of files and is the id of its dataset. Rows are normalised and
+    numbered from 0 in the order of file and place, so the ids are the same on every run.
+    """
+    columns = "text string, label string" + (", other_text string" if dual else "")
+    rows = read_csv(spark, list(paths), columns, origin=True)
+    listed = spark.createDataFrame([(p.rstrip("/"),) for p in paths], "dataset_id string").distinct()
+    file = F.regexp_replace("file", "^file:/+", "/")
+    named = rows.withColumn("file", file).withColumn("dataset_id", F.col("file"))
+    folder = F.regexp_replace("file", "/[^/]*$", "")
+    whole = named.join(listed, "dataset_id", "left_semi")
+    parts = named.withColumn("dataset_id", folder).join(listed, "dataset_id", "left_semi")
+    block = F.struct("file", id_bucket("at").alias("block"))
+    # The files are parsed once; numbering reads them twice.
+    clean = stored(load_normalise(whole.unionByName(parts)), "loaded")
+    numbered = number_rows(clean, ["dataset_id"], ["file", "at"], block, name="row_id")
+    others = ["other_text"] if dual else []
+    return numbered.select("dataset_id", (F.col("row_id") - 1).alias("row_id"), "text", "label", *others)
+
+
+def load_manifest(spark: SparkSession, manifest: DataFrame, dual: bool = False) -> DataFrame:
+    """The datasets that a manifest names (``stores.manifest_datasets``), with run settings and stage depth."""
+    named = manifest.select(F.regexp_replace("path", "/+$", "").alias("dataset_id"), "settings", "depth")
+    # One name per dataset of the run goes to the driver: a reader is made of names.
+    paths = [r["dataset_id"] for r in named.select("dataset_id").distinct().collect()]
+    return load_many(spark, paths, dual).join(named, "dataset_id")
+
+
 def write_features(df: DataFrame, path: str) -> None:
     """Rows with their derived columns (vectors, tokens) as Parquet, one folder per dataset."""
     df.write.partitionBy("dataset_id").parquet(path)
