@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import json
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -344,6 +347,30 @@ def stage_resume(spark, sf):
     return done
 
 
+@query("grid_run", """WITH m AS (SELECT source AS dataset_id, doc_id AS row_id, replace(text, 'e', '3') AS text FROM documents)
+SELECT 'even' AS run, 2::BIGINT AS depth, dataset_id, row_id, md5(text) AS digest FROM m WHERE length(text) % 2 = 0
+UNION ALL SELECT 'joined', 2, dataset_id, row_id, md5(replace(text, ' ', '_')) FROM m
+UNION ALL SELECT 'joined marked', 3, dataset_id, row_id, md5(replace(text, ' ', '_') || '!') FROM m""")
+def grid_run(spark, sf):
+    """Three chains that share prefixes, the last outputs found through the manifest."""
+    digits = ("digits", lambda df: df.withColumn("text", F.replace("text", F.lit("e"), F.lit("3"))))
+    joined = ("joined", lambda df: df.withColumn("text", F.replace("text", F.lit(" "), F.lit("_"))))
+    even = ("even", lambda df: df.filter(F.length("text") % 2 == 0))
+    mark = ("mark", lambda df: df.withColumn("text", F.concat("text", F.lit("!"))))
+    chains = {"even": [digits, even], "joined": [digits, joined], "joined marked": [digits, joined, mark]}
+    manifest, ran = stages.run_grid(datasets(spark, sf), chains, scratch_path(spark, "grid"))
+    if ran != {"even": [0, 1], "joined": [1], "joined marked": [2]}:
+        raise RuntimeError(f"stages {ran} ran")
+    parts = []
+    for (entry,) in manifest.orderBy("position").select("entry").collect():
+        run = json.loads(entry)
+        last = spark.read.parquet(run["datasets"][-1])
+        parts.append(last.select(
+            F.lit(run["settings"]).alias("run"), F.lit(len(run["datasets"])).cast("bigint").alias("depth"), "dataset_id", "row_id", F.md5("text").alias("digest")
+        ))
+    return reduce(DataFrame.unionByName, parts)
+
+
 @query("stage_key", f"""WITH {CONFIGS} SELECT task, dataset_id, sha256('{{"generator":{{"class":"' || generator_class || '","n_prompts":' || CAST(n_prompts AS VARCHAR)
 || '}},"querier":{{"model":"' || model || '","tpm":30000}}}}') AS key FROM configs""")
 def stage_key(spark, sf):

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import json
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -25,6 +25,12 @@ def _finished(spark: SparkSession, path: str) -> bool:
     return marker.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(marker)
 
 
+def stage_path(folder: str, keys: Sequence[str]) -> str:
+    """Where the output of the last of these stages is kept."""
+    prefix = hashlib.sha256(json.dumps(list(keys)).encode()).hexdigest()
+    return f"{folder}/stage={len(keys) - 1}/key={prefix}"
+
+
 def run_stored(
     df: DataFrame, stages: Sequence[Stage], folder: str, resume: bool = True, keys: Sequence[str] | None = None
 ) -> tuple[DataFrame, list[int]]:
@@ -37,8 +43,7 @@ def run_stored(
     spark, ran = df.sparkSession, []
     keys = list(keys) if keys is not None else [""] * len(stages)
     for i, stage in enumerate(stages):
-        prefix = hashlib.sha256(json.dumps(keys[: i + 1]).encode()).hexdigest()
-        path = f"{folder}/stage={i}/key={prefix}"
+        path = stage_path(folder, keys[: i + 1])
         if not (resume and _finished(spark, path)):
             df.transform(stage).write.mode("overwrite").parquet(path)
             ran.append(i)
@@ -71,6 +76,27 @@ def longest_prefix_match(runs: DataFrame, run_id: str = "run", chain: str = "cha
     )
 
 
+def run_grid(
+    df: DataFrame, chains: Mapping[str, Sequence[tuple[str, Stage]]], folder: str, source: str = "input"
+) -> tuple[DataFrame, dict[str, list[int]]]:
+    """Run many chains of (key, stage) on one input; a prefix that chains share is run once.
+
+    ``source`` names the input, and equal keys must mean equal stages. Outputs are kept under
+    their prefix, so a grid that was cut short, or has grown, runs only what is missing. Returns the
+    manifest, which is also written to ``folder/manifest``, as (position, entry), and the numbers of
+    the stages that ran by run. An entry lists the outputs of a run from its first stage on.
+    """
+    entries, ran = [], {}
+    for position, (run, chain) in enumerate(chains.items()):
+        keys = [json.dumps([source, key]) if i == 0 else key for i, (key, _) in enumerate(chain)]
+        _, ran[run] = run_stored(df, [stage for _, stage in chain], folder, keys=keys)
+        paths = [stage_path(folder, keys[: i + 1]) for i in range(len(keys))]
+        entries.append((position, json.dumps({"settings": run, "datasets": paths})))
+    manifest = df.sparkSession.createDataFrame(entries, "position bigint, entry string")
+    manifest.coalesce(1).write.mode("overwrite").parquet(f"{folder}/manifest")
+    return df.sparkSession.read.parquet(f"{folder}/manifest"), ran
+
+
 def converter_chains(levels: Sequence[Column], skip_levels: bool = True) -> Column:
     """All chains over array columns of converters, one per level.
 

@@ -251,3 +251,54 @@ def test_evaluate_with_one_label_and_excludes(spark):
     got = {(r["dataset_id"], r["metric"]): r["value"] for r in out.collect()}
     assert not any(metric.startswith("finetune") for _, metric in got)
     assert ("a", "distinctness.3") in got and ("a", "average_distinctness_spacy.1") in got
+
+
+def test_load_many_numbers_rows_by_file_and_place(spark, tmp_path):
+    (tmp_path / "a").mkdir()
+    (tmp_path / "a" / "1.csv").write_text('text,label\n"one, two",x\nz,x\nthree,\n"four ""five""",y\n')
+    (tmp_path / "a" / "2.csv").write_text("text,label\nsix six,y\n")
+    (tmp_path / "b.csv").write_text('text,label\n"line\nbreak",x\n,y\n')
+    paths = [f"{tmp_path}/a", f"{tmp_path}/b.csv"]
+    got = sorted(tuple(r) for r in sources.load_many(spark, paths).collect())
+    assert got == [
+        (paths[0], 0, "one, two", "x"), (paths[0], 1, 'four "five"', "y"), (paths[0], 2, "six six", "y"), (paths[1], 0, "line\nbreak", "x"),
+    ]
+
+
+def test_store_generations(spark, tmp_path):
+    path = str(tmp_path / "store")
+    empty, number = stores.read_store(spark, path)
+    assert (empty.count(), number) == (0, 0)
+    for generation, value in ((1, 0.5), (2, 0.7)):
+        stores.write_store(spark.createDataFrame([("d", "m", value)], stores.STORE), path, generation)
+    # Rows without an entry as complete are not part of the store.
+    spark.createDataFrame([("d", "m", 9.0)], stores.STORE).write.parquet(f"{path}/data/torn")
+    store, number = stores.read_store(spark, path)
+    assert (number, [tuple(r) for r in store.collect()]) == (2, [("d", "m", 0.7)])
+
+
+def test_evaluate_into_takes_only_what_lacks(spark, tmp_path):
+    rows = [(d, i + 100 * k, f"word{i % 7} other{i % 3} text{d}", "xy"[i % 2]) for k, d in enumerate(("a", "b", "real")) for i in range(20)]
+    df = spark.createDataFrame(rows, "dataset_id string, row_id bigint, text string, label string")
+    fake, real, path = df.filter("dataset_id <> 'real'"), df.filter("dataset_id = 'real'"), str(tmp_path / "metrics")
+    stores.write_store(spark.createDataFrame([("a", "distinctness.3", -1.0)], stores.STORE), path, 1)
+    others = ("mauve", "finetune_temporal", "average_distinctness", "average_distinctness_spacy")
+    got = {(r["dataset_id"], r["metric"]): r["value"] for r in evaluate.evaluate_into(path, fake, real, exclude=others).collect()}
+    assert set(got) == {("a", "distinctness.3")} | {(d, f"distinctness.3{end}") for d in ("b", "real") for end in ("", "_std")}
+    assert got["a", "distinctness.3"] == -1
+    again = evaluate.evaluate_into(path, fake, real, exclude=others, force=True)
+    assert again.filter("dataset_id = 'a' AND metric = 'distinctness.3'").first()["value"] > 0
+    assert stores.read_store(spark, path)[1] == 3
+    alone = evaluate.evaluate_into(str(tmp_path / "alone"), fake, real.limit(0), exclude=("average_distinctness_spacy",))
+    assert {r[0] for r in alone.select("metric").distinct().collect()} == {f"{m}.3{end}" for m in ("distinctness", "average_distinctness") for end in ("", "_std")}
+
+
+def test_grid_runs_what_is_missing(spark):
+    folder, df = scratch_path(spark, "grid"), spark.range(3)
+    one, two = ("one", lambda d: d.withColumn("a", F.lit(1))), ("two", lambda d: d.withColumn("b", F.lit(2)))
+    _, ran = stages.run_grid(df, {"short": [one], "long": [one, two]}, folder)
+    assert ran == {"short": [0], "long": [1]}
+    manifest, ran = stages.run_grid(df, {"short": [one], "long": [one, two], "other": [two]}, folder)
+    assert ran == {"short": [], "long": [], "other": [0]}
+    found = stores.manifest_datasets(manifest)
+    assert {(r["settings"], r["depth"]) for r in found.collect()} == {("short", 1), ("long", 2), ("other", 1)}

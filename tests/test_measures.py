@@ -154,6 +154,24 @@ def test_quantise_separates_clusters(spark):
     assert got["away"] < 0.05 < got["close"]
 
 
+def test_quantise_does_not_depend_on_blocks_or_neighbours(spark):
+    rng = np.random.default_rng(2)
+    rows = [(f"d{i % 3}", i, [float(x) for x in rng.normal(0, 1, 4)]) for i in range(150)]
+    rows += [("d0", 900, None), ("d0", 901, [1.0, None, 0.0, 0.0]), ("d1", 902, [float("nan")] * 4), ("d2", 903, [0.0] * 4)]
+    df = spark.createDataFrame(rows, "dataset_id string, row_id bigint, vector array<double>")
+    real = df.filter("dataset_id = 'd2'").drop("dataset_id")
+
+    def bins(sets, **kw):
+        return {tuple(r) for r in mauve.quantise(sets, real, rounds=3, **kw).collect()}
+
+    both = bins(df.filter("dataset_id <> 'd2'"))
+    assert both == bins(df.filter("dataset_id <> 'd2'"), block=8, chunk=1)
+    assert {r for r in both if r[0] == "d0"} == bins(df.filter("dataset_id = 'd0'"))
+    assert sum(r[3] for r in both if r[0] == "d0" and r[1] == "p") == 50
+    assert sum(r[3] for r in both if r[0] == "d0" and r[1] == "q") == 51
+    assert bins(df.limit(0)) == set()
+
+
 def greedy(points, epsilon):
     kept = []
     for i, v in points:
