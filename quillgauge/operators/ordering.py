@@ -19,6 +19,27 @@ _BUCKET = "__bucket"
 _GROUP = "__group"
 
 
+def _starts(per_bucket: DataFrame, keys: list[str], levels: list[str], sums: list[str], totals: dict[str, str]) -> DataFrame:
+    """What comes before each bucket; windows reach over the buckets of one next coarser bucket."""
+    outer = [*keys, *levels[1:2]]
+    before = Window.partitionBy(*outer).orderBy(levels[0]).rowsBetween(Window.unboundedPreceding, -1)
+    inner = {n: F.coalesce(F.sum(f"__n_{n}").over(before), F.lit(0)) for n in sums}
+    if len(levels) == 1:
+        whole = Window.partitionBy(*keys)
+        return per_bucket.select(
+            *keys,
+            *levels,
+            *[start.alias(f"__s_{n}") for n, start in inner.items()],
+            *[F.sum(f"__n_{n}").over(whole).alias(total) for total, n in totals.items()],
+        )
+    coarse = per_bucket.groupBy(*keys, *levels[1:]).agg(*[F.sum(f"__n_{n}").alias(f"__n_{n}") for n in sums])
+    above = _starts(coarse, keys, levels[1:], sums, totals).select(*outer, *[F.col(f"__s_{n}").alias(f"__a_{n}") for n in sums], *totals)
+    here = per_bucket.select(*keys, *levels, *[start.alias(f"__s_{n}") for n, start in inner.items()])
+    return here.join(above, outer).select(
+        *keys, *levels, *[(F.col(f"__s_{n}") + F.col(f"__a_{n}")).alias(f"__s_{n}") for n in sums], *totals
+    )
+
+
 def running_totals(
     df: DataFrame,
     part: Sequence[str],
@@ -27,31 +48,28 @@ def running_totals(
     sums: dict[str, Column],
     totals: dict[str, str] | None = None,
     start_below: tuple[str, int] | None = None,
+    coarser: Sequence[Column] = (),
 ) -> DataFrame:
     """Add inclusive running sums per ``part`` in ``order``.
 
     ``bucket`` must be monotone in ``order``; together, ``part``, ``bucket`` and ``order`` must
     name one row. The part columns must not be null. ``totals`` maps a new column to the name of
     the sum whose group total it holds. ``start_below=(name, limit)`` drops, before any row is
-    shuffled, the buckets whose running sum already reaches the limit.
+    shuffled, the buckets whose running sum already reaches the limit. ``coarser`` are buckets of
+    the buckets, from fine to coarse, for groups with too many buckets for one window.
     """
     keys = list(part)
     # One call for all columns: every call analyses the whole plan again.
     new = {_BUCKET: bucket} | {f"__v_{name}": value.cast("bigint") for name, value in sums.items()}
     if not keys:
         keys, new[_GROUP] = [_GROUP], F.lit(0)
-    keyed = df.withColumns(new)
-    per_bucket = keyed.groupBy(*keys, _BUCKET).agg(
+    levels = [_BUCKET, *[f"{_BUCKET}{i}" for i in range(1, len(coarser) + 1)]]
+    keyed = df.withColumns(new | dict(zip(levels[1:], coarser, strict=True)))
+    per_bucket = keyed.groupBy(*keys, *levels).agg(
         *[F.sum(f"__v_{name}").alias(f"__n_{name}") for name in sums]
     )
-    before = Window.partitionBy(*keys).orderBy(_BUCKET).rowsBetween(Window.unboundedPreceding, -1)
-    whole = Window.partitionBy(*keys)
-    starts = per_bucket.select(
-        *keys,
-        _BUCKET,
-        *[F.coalesce(F.sum(f"__n_{n}").over(before), F.lit(0)).alias(f"__s_{n}") for n in sums],
-        *[F.sum(f"__n_{n}").over(whole).alias(total) for total, n in (totals or {}).items()],
-    )
+    starts = _starts(per_bucket, keys, levels, list(sums), totals or {}).drop(*levels[1:])
+    keyed = keyed.drop(*levels[1:])
     if start_below is not None:
         name, limit = start_below
         starts = starts.filter(F.col(f"__s_{name}") < limit)
@@ -73,6 +91,7 @@ def number_rows(
     name: str = "position",
     total: str | None = None,
     at_most: int | None = None,
+    coarser: Sequence[Column] = (),
 ) -> DataFrame:
     """Number the rows of each group from 1; keep only the first ``at_most`` when given."""
     out = running_totals(
@@ -83,13 +102,21 @@ def number_rows(
         {name: F.lit(1)},
         totals={total: name} if total else None,
         start_below=(name, at_most) if at_most is not None else None,
+        coarser=coarser,
     )
     return out if at_most is None else out.filter(F.col(name) <= at_most)
 
 
-def number_by_id(df: DataFrame, part: Sequence[str], row_id: str = "row_id", width: int = 1 << 16, **kw) -> DataFrame:
-    """Number rows in the order of a unique integer id."""
-    return number_rows(df, part, [row_id], id_bucket(row_id, width), **kw)
+def number_by_id(df: DataFrame, part: Sequence[str], row_id: str = "row_id", width: int = 1 << 16, dense: bool = True, **kw) -> DataFrame:
+    """Number rows in the order of a unique integer id.
+
+    Dense ids fill their buckets. For ids of any kind, hashes for instance, ``dense=False`` cuts the
+    64 bits into four levels, so that no window reaches over more than 65536 rows or buckets.
+    """
+    if dense:
+        return number_rows(df, part, [row_id], id_bucket(row_id, width), **kw)
+    level = [F.shiftright(F.col(row_id).cast("bigint"), bits) for bits in (16, 32, 48)]
+    return number_rows(df, part, [row_id], level[0], coarser=level[1:], **kw)
 
 
 def number_by_hash(

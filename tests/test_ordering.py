@@ -1,3 +1,5 @@
+import random
+
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import Window
@@ -126,3 +128,19 @@ def test_first_wins(spark):
     df = spark.createDataFrame([("b", 3), ("a", 5), ("b", 9), ("c", 1)], "k string, position bigint")
     got = {r["k"]: (r["first_position"], r["first_id"]) for r in rows.first_wins(df, ["k"]).collect()}
     assert got == {"c": (1, 0), "b": (3, 1), "a": (5, 2)}
+
+
+def test_numbers_of_ids_of_any_kind(spark):
+    rng = random.Random(7)
+    ids = {rng.randrange(-(1 << 63), 1 << 63) for _ in range(300)} | set(range(-40, 40)) | {65535, 65536, 1 << 32, (1 << 63) - 1, -(1 << 63)}
+    rows = [(f"g{i % 3}", i) for i in ids]
+    df = spark.createDataFrame(rows, "g string, row_id bigint")
+    want = {}
+    for g in ("g0", "g1", "g2"):
+        mine = sorted(i for h, i in rows if h == g)
+        want |= {(g, i): (k, len(mine)) for k, i in enumerate(mine, 1)}
+    for dense in (False, True):
+        out = ordering.number_by_id(df, ["g"], dense=dense, total="size").collect()
+        assert {(r["g"], r["row_id"]): (r["position"], r["size"]) for r in out} == want
+    first = ordering.number_by_id(df, [], dense=False, at_most=7).collect()
+    assert {r["row_id"]: r["position"] for r in first} == {i: k for k, i in enumerate(sorted(ids)[:7], 1)}
