@@ -10,9 +10,10 @@ document is taken once, and a rest. For the rest every document has an Efraimidi
 an exponential variate divided by the document's quality; documents are taken by rising key while
 the middle of the document lies within the rest, so the words taken end nearest to the target.
 
-Keys fall into buckets that follow their order. Bucket sums are aggregated before the shuffle, and
-only the one bucket per source in which the rest ends is sorted: about ``bucket_rows`` rows,
-however large the source. Texts are read once, for sizes and keys; what follows handles narrow rows,
+Keys fall into buckets that follow their order: a key's bucket is the share of the source's keys
+expected below it, by the number of its documents of each quality. Bucket sums are aggregated before
+the shuffle, and only the one bucket per source in which the rest ends is sorted: about
+``bucket_rows`` rows, however large the source and however its qualities are spread. Texts are read once, for sizes and keys; what follows handles narrow rows,
 and the table of sources (a row each) joins by the size Spark measured in storage.
 
 Edge cases: null and empty texts have size 0 and are taken for 0 words, and so is everything in an
@@ -23,6 +24,8 @@ than the rest is taken if its middle lies within the rest.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -30,6 +33,8 @@ from quillgauge.session import stored
 
 WORD = r"[^\x20\x09-\x0D]+"
 _BITS = 52
+# The values ``quality`` can have.
+QUALITIES = (0.25, 0.5, 0.75, 1.0)
 
 
 def words(text: Column) -> Column:
@@ -54,6 +59,12 @@ def order_key(doc_id: Column, weight: Column, seed: str) -> Column:
     return -F.ln((number + 0.5) / float(2**_BITS)) / rate
 
 
+def key_share(key: Column, n: Column, counts: list[Column]) -> Column:
+    """The share of ``n`` keys expected below ``key``, from their counts by quality; it rises with the key."""
+    below = [c * (1 - F.exp(-rate * key)) for rate, c in zip(QUALITIES, counts, strict=True)]
+    return reduce(Column.__add__, below) / n
+
+
 def targets(sources: DataFrame, weights: tuple[float, ...], most: int) -> DataFrame:
     """Add ``target`` to (source, source_size, ...), a row per source.
 
@@ -87,21 +98,22 @@ def mix(
 ) -> DataFrame:
     """(doc_id, source, size, source_size, target, repeats, taken) of every row."""
     base = df.select(F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), F.col(text).alias("t"))
-    sized = base.withColumn("size", words(F.col("t")))
+    sized = base.withColumn("size", words(F.col("t"))).withColumn("quality", quality(F.col("t"), F.col("size")))
     keyed = stored(
-        sized.select("doc_id", "source", "size", order_key(F.col("doc_id"), quality(F.col("t"), F.col("size")), seed).alias("key")),
+        sized.select("doc_id", "source", "size", "quality", order_key(F.col("doc_id"), F.col("quality"), seed).alias("key")),
         "sizes",
     )
-    sums = keyed.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n"))
+    by_quality = [F.count_if(F.col("quality") == q).alias(f"n_{i}") for i, q in enumerate(QUALITIES)]
+    sums = keyed.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n"), *by_quality)
     plan = targets(sums, weights, most)
     size = F.greatest("source_size", F.lit(1))
     epochs = F.floor(F.col("target") / size)
     plan = plan.withColumn("epochs", epochs).withColumn("rest", F.col("target") - F.col("epochs") * F.col("source_size"))
-    plan = stored(plan.withColumn("buckets", F.ceil(F.col("n") / bucket_rows)).drop("n"), "targets")
+    plan = stored(plan.withColumn("buckets", F.ceil(F.col("n") / bucket_rows)), "targets")
     same = F.col("source").eqNullSafe(F.col("p_source"))
     renamed = plan.withColumnRenamed("source", "p_source")
-    # 1 - exp(-key) rises with the key and spreads the keys evenly over the buckets.
-    bucketed = keyed.join(renamed, same).withColumn("bucket", F.floor((1 - F.exp(-F.col("key"))) * F.col("buckets")))
+    share = key_share(F.col("key"), F.col("n"), [F.col(f"n_{i}") for i in range(len(QUALITIES))])
+    bucketed = keyed.join(renamed, same).withColumn("bucket", F.floor(share * F.col("buckets")))
     totals = bucketed.groupBy("source", "bucket").agg(F.sum("size").alias("words"), F.first("rest").alias("rest"))
     upto = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     ends = totals.withColumn("end", F.sum("words").over(upto))

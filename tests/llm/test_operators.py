@@ -14,6 +14,7 @@ import pytest
 import xxhash
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from quillgauge.llm import chat, decontaminate, langid, linededup, mixing, pii, queries, sharding, simhash, topk, warc
@@ -273,6 +274,17 @@ def test_mix_documents(real, bucket_rows):
     assert sorted(map(tuple, rows)) == sorted(map(tuple, again))
 
 
+def test_key_share_is_even(spark):
+    """Buckets of keys are about equal, however the qualities are spread, and follow the keys."""
+    low = F.when(F.col("id") % 10 == 0, 1.0).otherwise(0.25)
+    keys = spark.range(20000).withColumn("q", low).withColumn("key", mixing.order_key(F.col("id"), F.col("q"), "mix"))
+    counts = [F.lit(n) for n in (18000, 0, 0, 2000)]
+    rows = keys.withColumn("share", mixing.key_share(F.col("key"), F.lit(20000), counts)).orderBy("key").collect()
+    assert [r["share"] for r in rows] == sorted(r["share"] for r in rows)
+    sizes = Counter(math.floor(r["share"] * 100) for r in rows)
+    assert set(sizes) <= set(range(101)) and max(sizes.values()) < 300
+
+
 def test_mix_awkward(docs):
     rows = mixing.mix(docs).collect()
     assert len(rows) == len(DOCS) and all(r["taken"] == 0 for r in rows if r["doc_id"] in (4, 5, 6))
