@@ -91,7 +91,7 @@ def brute_scan(texts, items, width=10):
     return out
 
 
-@pytest.mark.parametrize("block_bytes", [64 << 20, 1])
+@pytest.mark.parametrize("block_bytes", [8 << 20, 1])
 def test_scan(docs, bench, block_bytes):
     found = decontaminate.scan(docs.select("doc_id", "text"), bench, block_bytes=block_bytes)
     got = [(r[0], r["n_words"], r["n_hit"], r["items"], [list(s) for s in r["spans"]]) for r in found.collect()]
