@@ -67,8 +67,7 @@ HALF_PRED = f"{HALVES}, {predict_sql('pred', 'tr', 'te', True)}"
 
 def _half_predictions(spark, sf) -> DataFrame:
     split = sampling.halves(datasets(spark, sf))
-    labels = classify.label_list(split)
-    model = classify.train(split.filter("half = 1"), ["dataset_id"], labels)
+    model = classify.train(split.filter("half = 1"), ["dataset_id"])
     return classify.predict(model, split.filter("half = 2"), ["row_id"])
 
 
@@ -76,7 +75,7 @@ def _half_predictions(spark, sf) -> DataFrame:
 SELECT model AS dataset_id, token, label, round(lp, 6) AS weight FROM m_lik UNION ALL SELECT model, '', label, round(prior, 6) FROM m_cls""")
 def nb_model(spark, sf):
     train = sampling.halves(datasets(spark, sf)).filter("half = 1")
-    model = classify.train(train, ["dataset_id"], classify.label_list(train))
+    model = classify.train(train, ["dataset_id"])
     return rounded(classify.likelihoods(model))
 
 
@@ -125,7 +124,7 @@ def nb_pairs(spark, sf):
         F.lit("pairs").alias("model"),
     )
     words = classify.pair_words()
-    model = classify.train(rows.filter("half = 0"), ["model"], classify.label_list(rows), words)
+    model = classify.train(rows.filter("half = 0"), ["model"], words)
     return rounded(classify.predict(model, rows.filter("half = 1"), ["row_id"], words).drop("model"))
 
 

@@ -1,11 +1,12 @@
 """Text classification as counting: many multinomial Naive Bayes models in one grouped job.
 
-A model is named by key columns (say dataset and run). Its label set is small and known on the
-driver, so weights are one row per (model, token) with a column per label. Smoothed likelihoods
-ln((c+1)/(n+types)) are kept in two parts: ln(c+1) per token, and ln(n+types) once per model on
-the row of a token that every document has once. Training so needs no join at token level, and
-scoring is one join on the token and one sum per (model, row). A third of all words being the same
-word is no trouble: counts are combined per partition and per row before they are shuffled, and
+A model is named by key columns (say dataset and run). Its weights are one row per (model, token)
+with an array of the labels the token occurs with, so labels are rows of data: there may be any
+number of them, and none passes through the driver. Smoothed likelihoods ln((c+1)/(n+types)) are
+kept in two parts: ln(c+1) per token and label, nothing where c is 0, and ln(n+types) once per model
+on the row of a token that every document has once. Training so needs no join at token level, and
+scoring is one join on the token and one sum per (model, row, label). A third of all words being the
+same word is no trouble: counts are combined per partition and per row before they are shuffled, and
 adaptive execution splits what is left.
 """
 
@@ -30,14 +31,14 @@ _SALTED = "\0"
 
 @dataclass(frozen=True)
 class Model:
-    """Rows (key, token, w0…, z0…), one column pair per label, labels in ascending order.
+    """Rows (key, token, entries), entries an array of (label, w, z).
 
-    A word's row has ln(c+1) in w. The prior token's row has the log prior in w and ln(n+types)
-    in z, which is null for a label without training rows.
+    A word's row has ln(c+1) in w for the labels it occurs with, and an entry without a label and
+    with a w of 1, whose sum over a text is its number of known words. The prior token's row has, for
+    every label with training rows, the log prior in w and ln(n+types) in z.
     """
 
     weights: DataFrame
-    labels: tuple[str, ...]
     key: tuple[str, ...]
 
 
@@ -47,14 +48,6 @@ def label_table(df: DataFrame, group: Sequence[str] = ()) -> DataFrame:
     return df.select(*group, "label").distinct().withColumn("code", rank.cast("bigint"))
 
 
-def label_list(df: DataFrame, limit: int = 1000) -> tuple[str, ...]:
-    """The sorted labels on the driver; refuses a column that is no label column."""
-    found = [r[0] for r in df.select("label").distinct().limit(limit + 1).collect()]
-    if len(found) > limit:
-        raise ValueError(f"more than {limit} labels")
-    return tuple(sorted(found))
-
-
 def pair_words(text: Column | str = "text", other: Column | str = "other_text") -> Column:
     """Words of a sentence pair, tagged by the side they are on."""
     left = F.transform(word_array(text), lambda w: F.concat(F.lit("a:"), w))
@@ -62,73 +55,74 @@ def pair_words(text: Column | str = "text", other: Column | str = "other_text")
     return F.concat(left, right)
 
 
-def train(rows: DataFrame, key: Sequence[str], labels: Sequence[str], words: Column | None = None) -> Model:
+def _entry(label: Column, w: Column, z: Column) -> Column:
+    return F.struct(label.alias("label"), w.cast("double").alias("w"), z.cast("double").alias("z"))
+
+
+def train(rows: DataFrame, key: Sequence[str], words: Column | None = None) -> Model:
     """Add-one smoothed token likelihoods and document priors per key.
 
-    ``rows`` has the key columns, ``text`` and ``label``. A label without training rows has null
-    prior and is never predicted.
+    ``rows`` has the key columns, ``text`` and ``label``. The labels of a model are those of its rows;
+    rows without a label teach nothing.
     """
-    keys = list(key)
+    keys, none = list(key), F.lit(None)
     tokens = word_array("text") if words is None else words
-    n = len(labels)
     is_prior = F.col("token") == PRIOR_TOKEN
     # Every document has the prior token once, so its counts are the documents per label.
     counts = (
-        rows.select(*keys, "label", F.explode(F.concat(F.array(F.lit(PRIOR_TOKEN)), tokens)).alias("token"))
+        rows.filter(F.col("label").isNotNull())
+        .select(*keys, "label", F.explode(F.concat(F.array(F.lit(PRIOR_TOKEN)), tokens)).alias("token"))
+        .groupBy(*keys, "token", "label")
+        .agg(F.count(F.lit(1)).alias("c"))
         .groupBy(*keys, "token")
-        .agg(*[F.count_if(F.col("label") == label).alias(f"c{i}") for i, label in enumerate(labels)])
+        .agg(F.collect_list(F.struct("label", "c")).alias("counts"))
     )
-    sizes = counts.groupBy(*keys).agg(
-        F.count_if(~is_prior).alias("types"),
-        *[F.sum(F.when(~is_prior, F.col(f"c{i}")).otherwise(0)).alias(f"n{i}") for i in range(n)],
-        *[F.sum(F.when(is_prior, F.col(f"c{i}")).otherwise(0)).alias(f"d{i}") for i in range(n)],
+    # The entry without a label counts the types.
+    type_entry = F.array(F.struct(F.lit(None).cast("string").alias("label"), F.when(~is_prior, 1).otherwise(0).cast("bigint").alias("c")))
+    sizes = (
+        counts.select(*keys, is_prior.alias("prior"), F.inline(F.concat("counts", type_entry)))
+        .groupBy(*keys, "label")
+        .agg(F.sum(F.when(~F.col("prior"), F.col("c")).otherwise(0)).alias("n"), F.sum(F.when(F.col("prior"), F.col("c")).otherwise(0)).alias("d"))
+        .groupBy(*keys)
+        .agg(
+            F.sum("d").alias("docs"),
+            F.max(F.when(F.col("label").isNull(), F.col("n"))).alias("types"),
+            F.collect_list(F.when(F.col("label").isNotNull(), F.struct("label", "n", "d"))).alias("labels"),
+        )
     )
-    docs = F.lit(0)
-    for i in range(n):
-        docs = docs + F.col(f"d{i}")
     # No filter here: it would be pushed below the counting and make it run once more. The counts
-    # row of the prior token has no weights instead.
-    words_rows = counts.select(
-        *keys,
-        "token",
-        *[F.when(~is_prior, F.log(F.col(f"c{i}") + 1)).alias(f"w{i}") for i in range(n)],
-        *[F.lit(None).cast("double").alias(f"z{i}") for i in range(n)],
+    # row of the prior token has no entries instead.
+    own = F.transform("counts", lambda x: _entry(x["label"], F.log(x["c"] + 1), none))
+    known = F.array(_entry(none.cast("string"), F.lit(1.0), none))
+    words_rows = counts.select(*keys, "token", F.when(~is_prior, F.concat(own, known)).alias("entries"))
+    prior = F.transform(
+        "labels",
+        lambda x: _entry(x["label"], F.log(x["d"] / F.col("docs")), F.log(F.greatest(x["n"] + F.col("types"), F.lit(1)))),
     )
-    prior_rows = sizes.select(
-        *keys,
-        F.lit(PRIOR_TOKEN).alias("token"),
-        *[F.when(F.col(f"d{i}") > 0, F.log(F.col(f"d{i}") / docs)).alias(f"w{i}") for i in range(n)],
-        *[
-            F.when(F.col(f"d{i}") > 0, F.log(F.greatest(F.col(f"n{i}") + F.col("types"), F.lit(1)))).alias(f"z{i}")
-            for i in range(n)
-        ],
-    )
-    return Model(words_rows.unionByName(prior_rows), tuple(labels), tuple(keys))
+    prior_rows = sizes.select(*keys, F.lit(PRIOR_TOKEN).alias("token"), prior.alias("entries"))
+    return Model(words_rows.unionByName(prior_rows), tuple(keys))
 
 
 def likelihoods(model: Model) -> DataFrame:
     """(key, token, label, weight): smoothed log likelihoods, and the log priors under the prior token."""
-    keys, n = list(model.key), len(model.labels)
+    keys = list(model.key)
     is_prior = F.col("token") == PRIOR_TOKEN
-    sizes = model.weights.groupBy(*keys).agg(*[F.max(f"z{i}").alias(f"s{i}") for i in range(n)])
-    entries = F.array(
-        *[
-            F.struct(
-                F.lit(label).alias("label"),
-                F.when(is_prior, F.col(f"w{i}")).otherwise(F.col(f"w{i}") - F.col(f"s{i}")).alias("weight"),
-            )
-            for i, label in enumerate(model.labels)
-        ]
-    )
-    long = model.weights.join(sizes, keys).select(*keys, "token", F.inline(entries))
-    return long.filter(F.col("weight").isNotNull())
+    priors = model.weights.filter(is_prior & F.col("entries").isNotNull()).select(*keys, F.col("entries").alias("labels"))
+    # A word that a label lacks has ln(1) there.
+    seen = F.map_from_entries(F.transform(F.filter("entries", lambda x: x["label"].isNotNull()), lambda x: F.struct(x["label"], x["w"])))
+    words = model.weights.filter(~is_prior).select(*keys, "token", seen.alias("seen"))
+    smoothed = words.join(priors, keys).select(*keys, "token", "seen", F.inline("labels"))
+    weight = F.coalesce(F.try_element_at("seen", F.col("label")), F.lit(0.0)) - F.col("z")
+    own = priors.select(*keys, F.lit(PRIOR_TOKEN).alias("token"), F.inline("labels")).select(*keys, "token", "label", F.col("w").alias("weight"))
+    return smoothed.select(*keys, "token", "label", weight.alias("weight")).unionByName(own)
 
 
 def predict(model: Model, rows: DataFrame, row_key: Sequence[str], words: Column | None = None) -> DataFrame:
     """Predicted label and confidence for each row under each model that applies to it.
 
     Model key columns that ``rows`` has are joined on; those it lacks multiply, which is the test
-    of every model on one shared set. Rows without a known word get the top prior.
+    of every model on one shared set. Rows without a known word get the top prior. Scores that agree
+    to nine digits are ties, which go to the label that sorts first.
 
     Every row meets the priors of its models. It does so under one of ``SALTS`` names of the prior
     token, chosen by its key, so that no join key holds all rows.
@@ -136,7 +130,6 @@ def predict(model: Model, rows: DataFrame, row_key: Sequence[str], words: Column
     keys, ids = list(model.key), list(row_key)
     shared = [k for k in keys if k in rows.columns]
     tokens = word_array("text") if words is None else words
-    n = len(model.labels)
     result_key = list(dict.fromkeys([*keys, *ids]))
     row = list(dict.fromkeys([*shared, *ids]))
     prior_name = F.concat(F.lit(_SALTED), F.pmod(F.xxhash64(*row), F.lit(SALTS)).cast("string"))
@@ -145,32 +138,26 @@ def predict(model: Model, rows: DataFrame, row_key: Sequence[str], words: Column
     weights = model.weights.withColumn("token", F.explode(named))
     # Counted per row first: a row's words sit in one task, so its repeats never reach the shuffle.
     words_of = (
-        rows.select(*row, "label", F.explode(F.concat(F.array(prior_name), tokens)).alias("token"))
-        .groupBy(*row, "label", "token")
+        rows.select(*row, F.col("label").alias("__truth"), F.explode(F.concat(F.array(prior_name), tokens)).alias("token"))
+        .groupBy(*row, "__truth", "token")
         .agg(F.count(F.lit(1)).alias("times"))
     )
-    known = F.sum(F.when(~F.col("token").startswith(_SALTED), F.col("times")).otherwise(0))
     summed = (
         words_of.join(weights, [*shared, "token"])
-        .groupBy(*result_key, "label")
-        .agg(
-            known.alias("known"),
-            *[F.sum(F.col(f"w{i}") * F.col("times")).alias(f"w{i}") for i in range(n)],
-            *[F.max(f"z{i}").alias(f"z{i}") for i in range(n)],
-        )
-    )
-    scores = summed.select(
-        *result_key, "label", *[F.round(F.col(f"w{i}") - F.col("known") * F.col(f"z{i}"), 9).alias(f"s{i}") for i in range(n)]
+        .select(*result_key, "__truth", "times", F.inline("entries"))
+        .groupBy(*result_key, "__truth", "label")
+        .agg(F.sum(F.col("w") * F.col("times")).alias("w"), F.max("z").alias("z"))
     )
-    columns = [F.col(f"s{i}") for i in range(n)]
-    top = F.greatest(*columns) if n > 1 else columns[0]
-    pred = F.coalesce(*[F.when(c == F.col("__top"), F.lit(label)) for c, label in zip(columns, model.labels)])
-    spread = F.lit(0.0)
-    for c in columns:
-        spread = spread + F.coalesce(F.exp(c - F.col("__top")), F.lit(0.0))
-    return scores.withColumn("__top", top).select(
-        *result_key, "label", pred.alias("predicted"), (1 / spread).alias("confidence")
+    known = F.coalesce(F.max(F.when(F.col("label").isNull(), F.col("w"))), F.lit(0.0))
+    by_row = summed.groupBy(*result_key, "__truth").agg(
+        known.alias("known"),
+        F.array_sort(F.collect_list(F.when(F.col("label").isNotNull(), F.struct("label", "w", "z")))).alias("labels"),
     )
+    scores = by_row.withColumn("scores", F.transform("labels", lambda x: F.round(x["w"] - F.col("known") * x["z"], 9)))
+    top = scores.withColumn("top", F.array_max("scores"))
+    best = F.element_at("labels", F.array_position("scores", F.col("top")).cast("int"))["label"]
+    others = F.aggregate("scores", F.lit(0.0), lambda total, x: total + F.exp(x - F.col("top")))
+    return top.select(*result_key, F.col("__truth").alias("label"), best.alias("predicted"), (1 / others).alias("confidence"))
 
 
 def confusion(predictions: DataFrame, key: Sequence[str]) -> DataFrame:

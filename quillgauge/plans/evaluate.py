@@ -13,7 +13,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillgauge.operators import classify, diversity, mauve, metrics, sampling, vectors
+from quillgauge.operators import classify, diversity, mauve, metrics, rows, sampling, vectors
 from quillgauge.session import stored
 from quillgauge.sources import stores
 
@@ -23,7 +23,7 @@ MODEL_KEY = (*KEY, "test_set")
 
 @dataclass(frozen=True)
 class Folds:
-    """Training and validation rows by (dataset, run), test rows, and all labels.
+    """Training and validation rows by (dataset, run), and test rows.
 
     ``test_set`` says which test rows a dataset is judged by.
     """
@@ -31,21 +31,14 @@ class Folds:
     train: DataFrame
     valid: DataFrame
     test: DataFrame
-    labels: tuple[str, ...]
 
 
-def all_labels(datasets: DataFrame, real: DataFrame) -> tuple[str, ...]:
-    return classify.label_list(datasets.select("label").unionByName(real.select("label")))
-
-
-def make_folds(datasets: DataFrame, real: DataFrame, n_runs: int = 5, labels: Sequence[str] | None = None) -> Folds:
-    """Fold every dataset; labels are those of either side. Without ``test_set`` all share one test set."""
-    if labels is None:
-        labels = all_labels(datasets, real)
+def make_folds(datasets: DataFrame, real: DataFrame, n_runs: int = 5) -> Folds:
+    """Fold every dataset. Without ``test_set`` all share one test set."""
     if "test_set" not in datasets.columns:
         datasets, real = (df.withColumn("test_set", F.lit("real")) for df in (datasets, real))
     parts = sampling.fold_parts(sampling.stratified_folds(datasets, n_runs), n_runs)
-    return Folds(parts.filter(F.col("side") == "train"), parts.filter(F.col("side") == "valid"), real, tuple(labels))
+    return Folds(parts.filter(F.col("side") == "train"), parts.filter(F.col("side") == "valid"), real)
 
 
 def _long(df: DataFrame, prefix: str) -> DataFrame:
@@ -53,7 +46,7 @@ def _long(df: DataFrame, prefix: str) -> DataFrame:
 
 
 def fold_model(folds: Folds, words: Column | None = None) -> classify.Model:
-    return classify.train(folds.train, MODEL_KEY, folds.labels, words)
+    return classify.train(folds.train, MODEL_KEY, words)
 
 
 def fake_to_real(folds: Folds, words: Column | None = None) -> DataFrame:
@@ -74,11 +67,10 @@ def real_to_fake(datasets: DataFrame, real: DataFrame, words: Column | None = No
 
     Rows whose label the real set lacks are left out.
     """
-    labels = classify.label_list(real.select("label"))
     first = sampling.halves(real, []).filter(F.col("half") == 1)
     train = sampling.holdout(first, []).filter(F.col("side") == "train")
-    model = classify.train(train.withColumn("model", F.lit("real")), ["model"], labels, words)
-    known = datasets.filter(F.col("label").isin(list(labels)))
+    model = classify.train(train.withColumn("model", F.lit("real")), ["model"], words)
+    known = rows.known_labels(datasets, real)
     guesses = classify.predict(model, known, ["dataset_id", "row_id"], words)
     return classify.transfer_scores(guesses, ["dataset_id"])
 
@@ -162,7 +154,6 @@ def evaluate_all(
     real: DataFrame,
     n_runs: int = 5,
     exclude: Sequence[str] = DEFAULT_EXCLUDE,
-    labels: Sequence[str] | None = None,
     plan: DataFrame | None = None,
 ) -> DataFrame:
     """(dataset, metric, value, std) for every dataset and for the real set itself.
@@ -173,17 +164,15 @@ def evaluate_all(
     The folds are written once and every measure reads them from there. ``plan``
     (``dataset_id, metric``) names the measures to take of each dataset; the real set is ``real``.
     """
-    if labels is None:
-        labels = all_labels(datasets, real)
-    if len(classify.label_list(real.select("label"))) < 2:
+    if real.select("label").distinct().limit(2).count() < 2:
         exclude = (*exclude, "finetune_temporal")
     first, second = real_halves(real)
     whole, half = F.lit("real"), F.lit("second half")
     judged = datasets.withColumn("test_set", whole).unionByName(first.withColumn("test_set", half))
     tests = real.withColumn("test_set", whole).unionByName(second.withColumn("test_set", half))
-    folds = make_folds(judged, tests, n_runs, labels)
+    folds = make_folds(judged, tests, n_runs)
     parts = stored(folds.train.unionByName(folds.valid), "folds", ("side",))
-    written = Folds(parts.filter("side = 'train'"), parts.filter("side = 'valid'"), folds.test, folds.labels)
+    written = Folds(parts.filter("side = 'train'"), parts.filter("side = 'valid'"), folds.test)
     folded = measure_folds(written, exclude, plan)
     summary = metrics.kfold_summary(folded).select(
         "dataset_id", "metric", F.col("mean").alias("value"), "std"

@@ -106,7 +106,7 @@ def naive_bayes(train, test, labels):
 def test_naive_bayes_against_plain_python(spark, corpus):
     train, test = corpus.filter("row_id < 40"), corpus.filter("row_id >= 40")
     labels = ("neg", "pos", "zero")
-    model = classify.train(train.withColumn("m", F.lit("one")), ["m"], labels)
+    model = classify.train(train.withColumn("m", F.lit("one")), ["m"])
     got = classify.predict(model, test, ["row_id"]).orderBy("row_id").collect()
     want = naive_bayes(
         [(r["text"], r["label"]) for r in train.collect()], [r["text"] for r in test.orderBy("row_id").collect()], labels
@@ -118,7 +118,7 @@ def test_naive_bayes_against_plain_python(spark, corpus):
 def test_unknown_words_take_the_top_prior(spark):
     train = spark.createDataFrame([("m", 1, "a b", "x"), ("m", 2, "c", "x"), ("m", 3, "d", "y")], "m string, row_id bigint, text string, label string")
     test = spark.createDataFrame([(9, "zzz 1", "y"), (10, "", "x")], "row_id bigint, text string, label string")
-    got = classify.predict(classify.train(train, ["m"], ("x", "y")), test, ["row_id"]).collect()
+    got = classify.predict(classify.train(train, ["m"]), test, ["row_id"]).collect()
     assert {(r["row_id"], r["predicted"], round(r["confidence"], 6)) for r in got} == {(9, "x", 0.666667), (10, "x", 0.666667)}
 
 
