@@ -92,12 +92,12 @@ def _distinctness(folds: Folds) -> DataFrame:
 
 def _average_distinctness(folds: Folds) -> DataFrame:
     out = diversity.average_distinctness(folds.train, KEY)
-    return _long(out.withColumnRenamed("average_distinctness", "3"), "average_distinctness.")
+    return _long(out.drop("basis").withColumnRenamed("average_distinctness", "3"), "average_distinctness.")
 
 
 def _lemma_distinctness(folds: Folds) -> DataFrame:
     out = diversity.lemma_distinctness(folds.train, KEY)
-    return _long(out.withColumnRenamed("lemma_distinctness", "1"), "average_distinctness_spacy.")
+    return _long(out.drop("basis").withColumnRenamed("lemma_distinctness", "1"), "average_distinctness_spacy.")
 
 
 def _mauve(folds: Folds) -> DataFrame:

@@ -46,7 +46,9 @@ def test_rarefied_equals_exact_expectation(spark, corpus):
 
 def test_rarefied_edge_sizes(spark):
     df = spark.createDataFrame([("a", 1, "x x x y"), ("b", 2, "x y"), ("c", 3, "x x x x x")], "dataset_id string, row_id bigint, text string")
-    got = {r[0]: r[1] for r in diversity.average_distinctness(df, m=4).collect()}
+    found = diversity.average_distinctness(df, m=4).collect()
+    got = {r[0]: r[1] for r in found}
+    assert {r[0]: r["basis"] for r in found} == {"a": "rarefied", "b": "plain", "c": "rarefied"}
     assert got == pytest.approx({"a": 0.5, "b": 1.0, "c": 0.25})
 
 
