@@ -109,6 +109,17 @@ def extract_numbered(spark, sf):
     return out.withColumn("answer_idx", F.col("answer_idx").cast("bigint"))
 
 
+@query("extract_numbered_sql", f"WITH {NUMBERED} SELECT * FROM numbered")
+def extract_numbered_sql(spark, sf):
+    sql_functions.register(spark)
+    return spark.sql(
+        "SELECT request_id, label, cast(answer_idx AS bigint) AS answer_idx, answer AS text FROM "
+        "(SELECT request_id, label, extract_numbered(coalesce(text, message.content), finish_reason) AS answers FROM {said}) "
+        "LATERAL VIEW posexplode(answers) AS answer_idx, answer",
+        said=numbered_responses(spark, sf),
+    )
+
+
 @query("extract_pairs", """WITH lined AS (SELECT doc_id AS request_id, doc_id % 4 = 0 AS cut, string_split(text, chr(10)) AS lines FROM documents),
 raws AS (SELECT request_id, cut, i, lines[i + 1] AS raw FROM (SELECT *, unnest(range(len(lines))) AS i FROM lined)),
 items AS (SELECT request_id, cut, i, CASE WHEN trim(raw, ' ') = '' THEN raw || '   ' WHEN regexp_matches(raw, '^[.: )]*$') THEN rtrim(raw, ' ')

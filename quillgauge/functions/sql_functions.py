@@ -4,12 +4,29 @@ from __future__ import annotations
 
 from pyspark.sql import SparkSession
 
+from quillgauge.functions.extract import EXCLUDED_PHRASES
 from quillgauge.functions.text import WHITESPACE
 
+# The sentence of a line, given as (raw, rest): without its marker and the quotes around it.
+_SENTENCE = r"""CASE
+  WHEN startswith(p.rest, '"') THEN if(length(regexp_extract(substring(p.rest, 2), r'(?s)^(.*)"', 1)) <= 1,
+    substring(p.rest, 2), regexp_extract(substring(p.rest, 2), r'(?s)^(.*)"', 1))
+  WHEN startswith(p.rest, "'") THEN if(length(regexp_extract(substring(p.rest, 2), r"(?s)^(.*)'", 1)) <= 1,
+    substring(p.rest, 2), regexp_extract(substring(p.rest, 2), r"(?s)^(.*)'", 1))
+  WHEN p.rest <> '' THEN rtrim(p.rest)
+  WHEN rtrim(p.raw) = '' THEN p.raw
+  ELSE rtrim(p.raw) END"""
+
 
 def register(spark: SparkSession) -> list[str]:
-    """Create ``clean_text``, ``token_array`` and ``numbered_lines``; return their names."""
+    """Create ``clean_text``, ``token_array``, ``numbered_lines`` and ``extract_numbered``; return their names.
+
+    ``extract_numbered(text, finish_reason)`` gives the sentences of a numbered list.
+    """
     ws = WHITESPACE
+    refusal = " OR ".join(f"contains(x, '{phrase}')" for phrase in EXCLUDED_PHRASES)
+    parts = r"transform(filter(numbered_lines(t), x -> NOT (REFUSAL)), x -> named_struct('raw', x, 'rest', regexp_replace(x, r'^[\p{N}.: )]+', '')))"
+    found = f"filter(transform({parts.replace('REFUSAL', refusal)}, p -> {_SENTENCE}), s -> s <> '')"
     bodies = {
         "clean_text": (
             "STRING",
@@ -25,4 +42,7 @@ def register(spark: SparkSession) -> list[str]:
     }
     for name, (result, body) in bodies.items():
         spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {name}(t STRING) RETURNS {result} RETURN {body}")
-    return list(bodies)
+    # An answer that was cut for length loses its last sentence; the list is bound once as f.
+    uncut = f"transform(array({found}), f -> if(reason <=> 'length', slice(f, 1, greatest(size(f) - 1, 0)), f))[0]"
+    spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION extract_numbered(t STRING, reason STRING) RETURNS ARRAY<STRING> RETURN {uncut}")
+    return [*bodies, "extract_numbered"]

@@ -25,8 +25,14 @@ PARSERS: dict[str, Callable[..., Column]] = {
 
 def label_deficit(df: DataFrame, quotas: DataFrame, group: Sequence[str] = ("dataset_id",)) -> DataFrame:
     """Rows each label still lacks: quotas has (group, label, wanted)."""
-    have = df.groupBy(*group, "label").agg(F.count(F.lit(1)).alias("have"))
-    out = quotas.join(have, [*group, "label"], "left").withColumn("have", F.coalesce("have", F.lit(0).cast("bigint")))
+    return _lacking(quotas.withColumn("have", F.lit(0).cast("bigint")), df, group)
+
+
+def _lacking(known: DataFrame, new: DataFrame, group: Sequence[str]) -> DataFrame:
+    """``known`` has (group, label, wanted, have); the rows of ``new`` are added to what it has."""
+    more = new.groupBy(*group, "label").agg(F.count(F.lit(1)).alias("__more"))
+    have = F.col("have") + F.coalesce("__more", F.lit(0))
+    out = known.join(more, [*group, "label"], "left").withColumn("have", have).drop("__more")
     return out.withColumn("deficit", F.greatest(F.col("wanted") - F.col("have"), F.lit(0)).cast("bigint"))
 
 
@@ -149,18 +155,20 @@ def top_up(
 ) -> tuple[DataFrame, list[int]]:
     """Ask for what is missing, append what comes back, and retry while labels lack rows.
 
-    ``answer(plan, round)`` returns rows shaped like ``df``. Each round's new rows are written out.
-    Returns the rows and the total deficit before every round.
+    ``answer(plan, round)`` returns rows shaped like ``df``. Each round's new rows are written out
+    and only they are counted again. Returns the rows and the total deficit before every round.
     """
     deficits_seen: list[int] = []
+    deficits = stored(label_deficit(df, quotas, group), "deficits")
     for turn in range(retries + 1):
-        deficits = label_deficit(df, quotas, group)
         missing = deficits.agg(F.sum("deficit")).first()[0] or 0
         deficits_seen.append(int(missing))
         if missing == 0:
             break
         plan = request_plan(deficits, per_request, retry=turn > 0)
-        df = df.unionByName(stored(answer(plan, turn), "answers"), allowMissingColumns=True)
+        got = stored(answer(plan, turn), "answers")
+        df = df.unionByName(got, allowMissingColumns=True)
+        deficits = stored(_lacking(deficits, got, group), "deficits")
     return df, deficits_seen
 
 

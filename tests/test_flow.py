@@ -230,6 +230,10 @@ def test_sql_functions(spark):
     row = spark.sql("SELECT clean_text('A-b  C!') c, token_array('a, b') t, numbered_lines('x\n1. a\n\n2) b') n").first()
     assert row["c"] == "a-b c".replace("-", " ") or row["c"] == "a b c"
     assert row["t"] == ["a", "b"] and row["n"] == ["1. a", "2) b"]
+    replies = ["1. \"Great\" he said\n2) plain  \n3: 'unclosed\n4. \n5. \"a\"", "1. \"\"\n2. it's\n3. an AI language model", "none", ""]
+    said = spark.createDataFrame([(t, r) for t in replies for r in ("stop", "length", None)], "t string, r string")
+    both = said.select(extract.numbered_answers("t", "r").alias("want"), F.expr("extract_numbered(t, r)").alias("got")).collect()
+    assert all(r["got"] == r["want"] for r in both) and any(r["got"] for r in both)
 
 
 def test_stream_equals_batch(spark, tmp_path):
