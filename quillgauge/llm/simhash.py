@@ -114,6 +114,27 @@ def near_copies(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Da
     return label(stored(marked, "fingerprints"), doc_id)
 
 
+def first_of_each(kept: DataFrame, found: DataFrame, df: DataFrame, doc_id: str, name: str) -> DataFrame:
+    """One row of every component, with the columns of ``df``.
+
+    ``kept`` is ``df`` as stored with a number ``__rid`` per row and its class ``name``, ``found`` the
+    (node, root) of linked classes. The row with the smallest id stays; of rows that repeat it, or if
+    all ids are null, the one that sorts first by all sortable columns. Texts move by row number.
+    """
+    rooted = kept.select("__rid", F.col(doc_id).alias("__id"), name).join(found, F.col(name) == F.col("node"), "left")
+    rooted = stored(rooted.select("__rid", "__id", F.coalesce("root", name).alias("__root")), "rooted")
+    first = rooted.groupBy(F.col("__root").alias("__r")).agg(F.min("__id").alias("__first"))
+    chosen = rooted.join(first, (F.col("__root") == F.col("__r")) & F.col("__id").eqNullSafe(F.col("__first"))).select("__rid", "__root")
+    counts = chosen.groupBy(F.col("__root").alias("__r")).agg(F.count("*").alias("__of"))
+    chosen = stored(chosen.join(counts, F.col("__root") == F.col("__r")).select("__rid", "__root", "__of"), "chosen")
+    columns = [F.col(f"`{c}`") for c in df.columns]
+    rest = [F.col(f"`{c}`") for c, t in df.dtypes if c != doc_id and "map<" not in t and "variant" not in t]
+    alone = kept.join(chosen.filter("__of = 1"), "__rid", "left_semi").select(*columns)
+    among = kept.join(chosen.filter("__of > 1").select("__rid", "__root"), "__rid")
+    picked = among.groupBy("__root").agg(F.min_by(F.struct(*columns), F.struct(F.lit(0), *rest)).alias("__row"))
+    return alone.unionByName(picked.select("__row.*"))
+
+
 def one_of_each(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """The row with the smallest id of every group, with the columns of ``df``.
 

@@ -1,0 +1,109 @@
+"""Near copies by similarity against all pairs."""
+
+import itertools
+import random
+from collections import Counter
+
+import numpy as np
+import pytest
+
+import corpus_pipeline
+from quillgauge.llm import minhash, simhash
+
+
+def brute_set(text, width=5):
+    ws = (text or "").lower().split()
+    return frozenset(tuple(ws[i : i + width]) for i in range(max(1, len(ws) - width + 1))) if ws else frozenset()
+
+
+def brute_kept(rows, least=0.8):
+    """The smallest id of every group linked by an exact Jaccard index of ``least`` or more."""
+    sets = {i: brute_set(t) for i, t in rows}
+    root = {i: i for i in sets}
+
+    def find(n):
+        while root[n] != n:
+            n = root[n]
+        return n
+
+    for a, b in itertools.combinations(sorted(sets), 2):
+        x, y = sets[a], sets[b]
+        if x == y or len(x & y) / len(x | y) >= least:
+            a, b = sorted((find(a), find(b)))
+            root[b] = a
+    return sorted(i for i in sets if find(i) == i)
+
+
+def planted():
+    """Texts of 60 to 200 words, each with copies of 1 to 6 changed words, a long chain, and a pair at 0.8 exactly."""
+    rng, rows = random.Random(5), []
+    for g in range(25):
+        base = [f"w{rng.randrange(900)}" for _ in range(rng.randrange(60, 200))]
+        rows.append(" ".join(base))
+        for n in range(1, 7):
+            copy = list(base)
+            for _ in range(n):
+                copy[rng.randrange(len(copy))] = f"new{g}x{n}"
+            rows.append(" ".join(copy).upper())
+    chain = [f"c{i}" for i in range(120)]
+    for i in range(30):
+        chain[4 * i] = f"d{i}"
+        rows.append("  ".join(chain))
+    pair = [f"p{i}" for i in range(13)]  # 9 shingles, 8 of them shared by 9 and 9: 0.8
+    rows += [" ".join(pair), " ".join([*pair[:12], "q"]), " ".join([*pair[:11], "q", "r"]), "", " \n"]
+    return list(enumerate(rows))
+
+
+def test_planted_copies_go(spark):
+    rows = planted()
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    kept = sorted(r[0] for r in corpus_pipeline.near_dedup(spark, df, "").collect())
+    assert kept == brute_kept(rows)
+    assert len(kept) < len(rows) - 80
+
+
+def test_similar_documents_go(spark, sf):
+    df = spark.read.parquet(f"{sf.replace('0.001', '0.01')}/documents.parquet")
+    rows = [(r[0], r[1]) for r in df.select("doc_id", "text").collect()]
+    kept = sorted(r[0] for r in corpus_pipeline.near_dedup(spark, df, "").collect())
+    assert kept == brute_kept(rows)
+
+
+def test_large_bucket_is_not_all_pairs(spark):
+    """Copies that share most signatures: pairs grow with the copies, not with their square, and one stays."""
+    rng, base = random.Random(9), [f"w{i}" for i in range(300)]
+    rows = [(i, " ".join([*(b := list(base))[: (p := rng.randrange(300))], f"x{i}", *b[p + 1 :]])) for i in range(600)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = minhash.stored(minhash.signed(df.withColumn("__rid", df["doc_id"]), "text", 5), "signed")
+    assert minhash.candidates(kept, 0.8, 8).count() < 600 * 32 * 9 < 600 * 599 / 2 * 1.1
+    assert [r[0] for r in minhash.one_of_each(df).collect()] == [0]
+
+
+def test_minima_estimate_the_index():
+    rng = np.random.default_rng(1)
+    every = rng.integers(0, 1 << 64, 3000, np.uint64)
+    agree = [np.mean(minhash.minima(every[k : k + 1000]) == minhash.minima(every[k + 111 : k + 1111])) for k in range(0, 1800, 9)]
+    assert np.mean(agree) == pytest.approx(0.8, abs=0.01)
+
+
+def rows_of(df):
+    return Counter(tuple(r) for r in df.collect())
+
+
+NAMELESS = [
+    (None, "one text without any id that is about rivers and their many bridges"),
+    (None, "quite another text without id that tells of mountains snow and ice"),
+    (None, "a numbered text about ships on the sea that has a nameless copy"),
+    (7, "a numbered text about ships on the sea that has a nameless copy"),
+    (8, "the same id with this text on gardens and old trees in the town"),
+    (8, "the same id with that text on trains stations and long iron roads"),
+    (8, "the same id with that text on trains stations and long iron roads"),
+]
+
+
+@pytest.mark.parametrize("one_of_each", [minhash.one_of_each, simhash.one_of_each])
+def test_one_row_per_group(spark, one_of_each):
+    """Null ids and repeated ids name no group: every text without a copy stays, once."""
+    df = spark.createDataFrame(NAMELESS, "doc_id long, text string").repartition(3)
+    assert rows_of(one_of_each(df)) == Counter({NAMELESS[i]: 1 for i in (0, 1, 3, 4, 5)})
+    assert one_of_each(df.limit(0)).count() == 0
