@@ -5,11 +5,12 @@ bounded sample of documents, with copies in other spellings (``(at)`` for ``@``,
 phone's ``+``), are the labelled spans that the network learns from, in numpy, by backpropagation
 through time. A conditional random field over its emissions decides the labels of a window at once.
 
-All kinds hold a digit or an ``@`` (or its spelling), so characters farther than ``context`` from
-any of these are outside by definition; all others, of the whole text, are read in windows of
+All kinds hold a digit or an ``@`` (or its spelling: ``at`` in brackets, in any case), so characters
+farther than ``context`` and the rest of a word from any of these are outside by definition; all others, of the whole text, are read in windows of
 ``window`` characters that overlap by twice ``context``. Every character takes its label from the
 window in whose middle it lies deepest, and runs of labels become spans across windows. A span of
-the network is added if it meets the check of its kind and no rule has found anything there.
+the network is taken to the ends of its name, domain or digits in the whole text, and added if it
+meets the check of its kind and no rule has found anything there.
 
 Edge cases: null and empty texts have no spans; offsets are code points; rows that repeat get equal
 spans; without a labelled span in the sample only the rules speak; an empty table stays empty.
@@ -43,8 +44,12 @@ PATTERNS = {
 _IP = re.compile(r"(?<![0-9])" + PATTERNS["ip"].pattern)
 _DOMAIN = re.compile(r"@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
 _DIGITS = re.compile(r"[0-9]")
-_TRIGGER = re.compile(r"[0-9@]|\(at\)")
-_SPELT = re.compile(r"[A-Za-z0-9._%+-]+ ?\(at\) ?[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
+_AT = r"@|\([aA][tT]\)|\[[aA][tT]\]|\{[aA][tT]\}|<[aA][tT]>"
+_TRIGGER = re.compile(f"[0-9]|{_AT}")
+_MARK = re.compile(_AT)
+_HOST = re.compile(r" ?([A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+)")
+# Spellings of the ``@`` in the copies that the network learns from.
+SPELLINGS = (" (at) ", "(at)", " (AT) ", " [at] ", "[at]", " {at} ", "<at>", " @ ")
 LABELS = ("out", *KINDS)
 SYMBOLS = 129  # ASCII and everything else
 
@@ -70,6 +75,7 @@ def valid(kind: str, found: str) -> bool:
     return 16 <= len(digits) <= 19 and luhn(digits) if kind == "card" else 8 <= len(digits) <= 15
 
 
+_FIGURES = frozenset("0123456789")
 _NAME = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 
 
@@ -105,13 +111,13 @@ def told(text: str) -> list[Span]:
     return sorted(spans, key=lambda s: s[1])
 
 
-def respell(text: str, spans: list[Span]) -> tuple[str, list[Span]]:
+def respell(text: str, spans: list[Span], at_sign: str = " (at) ") -> tuple[str, list[Span]]:
     """The text with its emails and phones in another spelling, and the spans moved along."""
     out, moved, at, size = [], [], 0, 0
     for kind, a, b in spans:
         part = text[a:b]
         if kind == "email":
-            part = part.replace("@", " (at) ")
+            part = part.replace("@", at_sign)
         elif kind == "phone":
             part = "00" + part[1:]
         out += [text[at:a], part]
@@ -226,9 +232,9 @@ def train(texts: list[str], hidden: int = 8, steps: int = 200, window: int = 96,
     """Fit the network on the labelled spans of the texts; None without any span."""
     rng = np.random.default_rng(seed)
     pieces, with_span = [], []
-    for text in texts:
+    for number, text in enumerate(texts):
         spans = told(text)
-        for version, own in ((text, spans), respell(text, spans)):
+        for version, own in ((text, spans), respell(text, spans, SPELLINGS[number % len(SPELLINGS)])):
             gold = np.zeros(len(version), np.int8)
             for kind, a, b in own:
                 gold[a:b] = LABELS.index(kind)
@@ -264,10 +270,17 @@ def train(texts: list[str], hidden: int = 8, steps: int = 200, window: int = 96,
 
 
 def regions(text: str, context: int) -> list[tuple[int, int]]:
-    """The stretches of a text within ``context`` of a digit or an ``@``, merged."""
+    """The stretches of a text within ``context`` of a digit or an ``@``, to the ends of their words, merged."""
     out: list[tuple[int, int]] = []
     for m in _TRIGGER.finditer(text):
         a, b = max(0, m.start() - context), min(len(text), m.end() + context)
+        if out and b <= out[-1][1]:
+            continue
+        free = out[-1][1] if out else 0
+        while free < a < len(text) and text[a - 1] in _NAME and text[a] in _NAME:
+            a -= 1
+        while b < len(text) and text[b - 1] in _NAME and text[b] in _NAME:
+            b += 1
         if out and a <= out[-1][1]:
             out[-1] = (out[-1][0], b)
         else:
@@ -317,27 +330,50 @@ def _extend(spans: list[Span], kind: str, a: int, b: int) -> None:
         spans.append((kind, a, b))
 
 
+def spelt(text: str, a: int, b: int) -> Iterator[tuple[int, int]]:
+    """The emails in any spelling whose ``@`` lies within 8 characters of a proposal, whole, however long."""
+    for m in _MARK.finditer(text, max(0, a - 8), min(len(text), b + 8)):
+        end = m.start() - (text[m.start() - 1 : m.start()] == " ")
+        begin = end
+        while begin > 0 and text[begin - 1] in _NAME:
+            begin -= 1
+        host = _HOST.match(text, m.end())
+        if begin < end and host:
+            yield begin, host.end()
+
+
 def additions(text: str, base: list[Span], proposed: list[Span]) -> list[Span]:
-    """Proposed spans, trimmed, that pass the check of their kind and touch no span of the rules."""
+    """Proposed spans, trimmed, that pass the check of their kind and touch no span of the rules.
+
+    An email is taken to the ends of its name and domain in the whole text; no other span ends within a
+    run of digits.
+    """
     out: list[Span] = []
+
+    def add(kind: str, a: int, b: int) -> None:
+        if all(b <= c or a >= d for _, c, d in [*base, *out]):
+            out.append((kind, a, b))
+
     for kind, a, b in proposed:
         part = text[a:b]
         a, b = a + len(part) - len(part.lstrip(" .,;:-")), b - len(part) + len(part.rstrip(" .,;:-"))
         if kind == "email":
-            exact = _SPELT.search(text, max(0, a - 8), min(len(text), b + 8))
-            if exact is None:
-                continue
-            a, b = exact.span()
+            for begin, end in spelt(text, a, b):
+                add(kind, begin, end)
+            continue
+        while 0 < a < b and text[a] in _FIGURES and text[a - 1] in _FIGURES:
+            a -= 1
+        while a < b < len(text) and text[b - 1] in _FIGURES and text[b] in _FIGURES:
+            b += 1
         part = text[a:b]
         digits = _DIGITS.findall(part)
         good = {
-            "email": True,
             "ip": part.count(".") == 3 and PATTERNS["ip"].fullmatch(part) and valid("ip", part),
             "card": valid("card", part),
             "phone": part.startswith("00") and 10 <= len(digits) <= 17 and len(digits) < len(part),
         }[kind]
-        if good and all(b <= c or a >= d for _, c, d in [*base, *out]):
-            out.append((kind, a, b))
+        if good:
+            add(kind, a, b)
     return out
 
 
