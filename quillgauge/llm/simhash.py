@@ -9,7 +9,8 @@ one row per fingerprint first, however many there are; no link or fingerprint re
 
 Edge cases: null texts and texts without words have fingerprint zero and link like any other;
 texts of fewer words than a shingle are one shingle; rows that repeat are members of one class;
-a null id never names a component unless all its members have null ids; an empty table stays empty.
+a null id never names a component unless all its members have null ids, and of each such component a row
+stays; an empty table stays empty.
 """
 
 from __future__ import annotations
@@ -136,15 +137,8 @@ def first_of_each(kept: DataFrame, found: DataFrame, df: DataFrame, doc_id: str,
 
 
 def one_of_each(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """The row with the smallest id of every group, with the columns of ``df``.
-
-    Of rows that repeat the id, the one that sorts first by all sortable columns stays. A group
-    whose ids are all null is represented by the row that sorts first among its null ids.
-    """
-    found = near_copies(df, doc_id, text)
-    chosen = found.filter(F.col(doc_id).eqNullSafe(F.col("component_id")))
-    ids = chosen.select(F.col(doc_id).alias("__keep")).distinct()
-    rest = [c for c, t in df.dtypes if c != doc_id and not t.startswith("map") and t != "variant"]
-    pick = Window.partitionBy(doc_id).orderBy(*rest)
-    kept = df.join(ids, F.col(doc_id).eqNullSafe(F.col("__keep")), "left_semi")
-    return kept.withColumn("__row", F.row_number().over(pick)).filter("__row = 1").drop("__row")
+    """One row of every group of near copies, as ``first_of_each`` chooses it, with the columns of ``df``."""
+    numbered = df.withColumn("__rid", F.monotonically_increasing_id())
+    kept = stored(fingerprints(numbered, text, "__fp"), "fingerprints")
+    found = components(links(kept.select("__fp").distinct(), "__fp"))
+    return first_of_each(kept, found, df, doc_id, "__fp")
