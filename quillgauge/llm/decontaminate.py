@@ -12,7 +12,7 @@ nor a task ever holds more than a block, however large the benchmark is. An auto
 times the bytes of its passages: some 400 MB for a full block of the default size.
 
 Edge cases: null and empty texts have no words and are clean; an item that is null or has no word
-has no passage; items with equal passages are all named; an item that repeats counts once; rows that
+has no passage; an item without an id hits words but is not named; items with equal passages are all named; an item that repeats counts once; rows that
 repeat are judged one by one; without items all documents are clean; an empty table stays empty.
 """
 
@@ -58,7 +58,8 @@ def blocks(items: DataFrame, item_id: str, text: str, width: int, block_bytes: i
             if passage not in block:
                 block[passage] = (n, set())
                 used += len(passage)
-            block[passage][1].add(name)
+            if name is not None:
+                block[passage][1].add(name)
         if used >= block_bytes:
             yield block
             block, used = {}, 0
