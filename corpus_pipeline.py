@@ -1,8 +1,8 @@
 """A training corpus from ``documents``: five stages, each written as Parquet and read by the next.
 
 1. language: documents whose language the network cannot tell (no letter, or a low probability) go;
-2. near_dedup: of every group of near copies (five-word shingles, Jaccard index 0.8 or more) the
-   document with the smallest id stays;
+2. near_dedup: of every group of documents whose SimHash fingerprints (three-word shingles) are linked
+   by at most 2 differing bits, the document with the smallest id stays;
 3. decontaminate: documents that hold a passage of ``benchmark`` go;
 4. mix: every document is repeated as often as the mix of sources takes it;
 5. shard: documents are put into 24 shards of near equal bytes.
@@ -14,7 +14,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillgauge.llm import decontaminate, langid, minhash, mixing, sharding
+from quillgauge.llm import decontaminate, langid, mixing, sharding, simhash
 from quillgauge.session import stored
 
 
@@ -23,7 +23,7 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return minhash.one_of_each(docs)
+    return simhash.one_of_each(docs)
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
