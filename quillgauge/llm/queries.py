@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillgauge.llm import chat, decontaminate, langid, linededup, mixing, pii, sharding, simhash, topk, warc
+from quillgauge.llm import align, bpe, chat, decontaminate, langid, linededup, mixing, pii, sharding, simhash, topk, warc, whiten
 from quillgauge.llm.batches import append
 
 
@@ -105,8 +105,40 @@ def op10_warc(spark: SparkSession, sf: str) -> DataFrame:
     return made.join(warc.referred_pages(spark, path), "refers_to_id", "left").drop("refers_to_id")
 
 
+def _joined(ids, by: str):
+    return F.concat_ws(by, F.col(ids).cast("array<string>") if isinstance(ids, str) else ids.cast("array<string>"))
+
+
+def op11_bpe(spark: SparkSession, sf: str) -> DataFrame:
+    coded = bpe.encode(_table(spark, sf, "documents").select("doc_id", "text"), drop=("text",))
+    return bpe.decode(coded).select(
+        "doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(_joined("ids", " "), 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
+
+
+def op12_align(spark: SparkSession, sf: str) -> DataFrame:
+    made = align.align(_table(spark, sf, "documents").select("doc_id", "text"), drop=("text",))
+    told = F.concat_ws(";", F.transform("groups", lambda g: F.concat_ws("|", _joined(g["a"], ","), _joined(g["b"], ","))))
+    sizes = [F.size(c).cast("long").alias(n) for c, n in (("a_ids", "n_a"), ("b_ids", "n_b"), ("groups", "n_groups"))]
+    digest = F.when(F.size("groups") > 0, F.sha2(told, 256)).otherwise("").alias("groups_sha256")
+    return align.count_links(made.select("doc_id", *sizes, digest, "pairs", "times"))
+
+
+def op13_whiten(spark: SparkSession, sf: str) -> DataFrame:
+    vectors = _table(spark, sf, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("vector"))
+    fitted = whiten.fit(vectors)
+    rows = whiten.whiten(vectors, fitted, drop=("vector",)).select("vec_id", "deviation", F.posexplode("whitened").alias("i", "whitened"))
+    explained = F.array(*[F.lit(float(x)) for x in fitted.explained]) if fitted else F.array().cast("array<double>")
+    return rows.select(
+        "vec_id", (F.col("i") + 1).alias("component"), F.lit(fitted.n if fitted else 0).cast("long").alias("n"), "deviation", "whitened",
+        F.get(explained, F.col("i")).alias("explained"), F.lit(fitted.error if fitted else 0.0).cast("double").alias("identity_error"),
+    )
+
+
 QUERIES = {f.__name__: f for f in (
     op1_decontaminate, op2_chat, op3_topk, op4_simhash, op5_mixing, op6_langid, op7_linededup, op8_pii, op9_sharding, op10_warc,
+    op11_bpe, op12_align, op13_whiten,
 )}
 
 _LOWER = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"

@@ -10,7 +10,8 @@ one row per fingerprint first, however many there are; no link or fingerprint re
 Edge cases: null texts and texts without words have fingerprint zero and link like any other;
 texts of fewer words than a shingle are one shingle; rows that repeat are members of one class;
 a null id never names a component unless all its members have null ids, and of each such component a row
-stays; an empty table stays empty.
+stays; very long texts are hashed in blocks; ``one_of_each`` keeps all columns of the input, whatever
+their names, and in ``near_copies`` only the id is taken over; an empty table stays empty.
 """
 
 from __future__ import annotations
@@ -138,7 +139,10 @@ def first_of_each(kept: DataFrame, found: DataFrame, df: DataFrame, doc_id: str,
 
 def one_of_each(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """One row of every group of near copies, as ``first_of_each`` chooses it, with the columns of ``df``."""
-    numbered = df.withColumn("__rid", F.monotonically_increasing_id())
-    kept = stored(fingerprints(numbered, text, "__fp"), "fingerprints")
+    # Own names for the columns of the input, so that none of them gives way.
+    names = [f"__own_{i}" for i in range(len(df.columns))]
+    renamed, own = df.toDF(*names), dict(zip(df.columns, names, strict=True))
+    numbered = renamed.withColumn("__rid", F.monotonically_increasing_id())
+    kept = stored(fingerprints(numbered, own[text], "__fp"), "fingerprints")
     found = components(links(kept.select("__fp").distinct(), "__fp"))
-    return first_of_each(kept, found, df, doc_id, "__fp")
+    return first_of_each(kept, found, renamed, own[doc_id], "__fp").toDF(*df.columns)
