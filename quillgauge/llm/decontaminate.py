@@ -60,9 +60,9 @@ def blocks(items: DataFrame, item_id: str, text: str, width: int, block_bytes: i
                 used += len(passage)
             if name is not None:
                 block[passage][1].add(name)
-        if used >= block_bytes:
-            yield block
-            block, used = {}, 0
+            if used >= block_bytes:
+                yield block
+                block, used = {}, 0
     if block:
         yield block
 

@@ -3,14 +3,16 @@
 The network reads a window of bytes in both directions (GRU cells with soft-sign activations), gives
 every position a distribution over the languages, and a document's distribution is the mean over all
 its positions. Windows cut the whole text without overlap or gap. Training is backpropagation
-through time in numpy, on the driver, on windows of at most ``per_language`` documents per language:
-the only bound in the operator, which the input's size does not change. Prediction is a pass over
+through time in numpy, on the driver, on windows of a bounded sample (see ``fit``): the only bound in
+the operator, which the input's size does not change. Prediction is a pass over
 Arrow batches with the weights in hand; nothing is shuffled.
 
 Edge cases: null texts and texts without a letter are ``und`` with score 0; without any labelled
 text everything is ``und``; with one language every text with a letter is of that language; windows
-are filled up with zero bytes that do not count; rows that repeat get equal predictions; equal
-scores go to the label that sorts first; an empty table stays empty.
+are filled up with zero bytes that do not count, and very long texts are just more windows; rows that
+repeat get equal predictions; null or repeated ids play no part but in the draw of the sample, which also
+hashes the text; equal scores go to the label that sorts first; ``predict`` replaces columns named like
+its own, in any case, ``keep_known`` keeps all columns; an empty table stays empty.
 """
 
 from __future__ import annotations
@@ -21,7 +23,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillgauge.llm.batches import append
@@ -173,32 +175,34 @@ def pooled(model: Model, texts: list[bytes]) -> np.ndarray:
 
 def fit(
     df: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", hidden: int = 6, window: int = 128,
-    per_language: int = 400, sample_bytes: int = 4096, steps: int = 150, seed: int = 7,
+    per_language: int = 400, sample_bytes: int = 4096, steps: int = 150, seed: int = 7, languages: int = 256, sample: int = 25_600,
 ) -> Model:
-    """Fit on ``per_language`` documents of each language, the first in a hash order of their ids.
+    """Fit on up to ``per_language`` documents of each language, the first in a hash order of id and text.
 
-    Every language is read by its share of the rows, so the sample that reaches the driver has
-    about ``per_language`` pieces of ``sample_bytes`` per language at any size of the input.
+    Bounds of what reaches the driver: the ``languages`` with the most documents, and ``sample`` pieces of
+    ``sample_bytes`` characters in all, which up to 64 languages do not reach. Every language is read by
+    its share of the rows; rows equal in id and text fall on one place, and no more of them are passed on
+    than a language may have, so neither null ids nor copies leave a language without a sample or make it large.
     """
-    rows = df.select(F.col(doc_id).alias("id"), F.col(text).alias("t"), F.col(lang).cast("string").alias("l"))
+    rows = df.select(F.col(doc_id).cast("string").alias("id"), F.col(text).alias("t"), F.col(lang).cast("string").alias("l"))
     rows = rows.filter(F.col("l").isNotNull() & F.col("t").isNotNull() & (F.col("t") != ""))
-    counts = dict(rows.groupBy("l").agg(F.count("*")).collect())
-    labels = sorted(counts)
-    if not labels:
+    rows = rows.withColumn("place", F.pmod(F.xxhash64("id", "t", F.lit(seed)), F.lit(1 << 30)) / float(1 << 30))
+    counts = rows.groupBy("l").agg(F.count("*").alias("n"), F.min("place").alias("first")).orderBy(F.desc("n"), "l").limit(languages).collect()
+    if not counts:
         return Model([], {}, window)
-    place = F.pmod(F.xxhash64(F.col("id").cast("string"), F.lit(seed)), F.lit(1 << 30)) / float(1 << 30)
-    share = F.element_at(F.create_map(*[F.lit(x) for name in labels for x in (name, min(1.0, 2 * per_language / counts[name]))]), F.col("l"))
-    drawn = rows.withColumn("place", place).filter(F.col("place") <= share)
-    # A piece from within the text, at a place that follows from the id.
+    per_language = min(per_language, max(1, sample // len(counts)))
+    reach = {r["l"]: max(r["first"], min(1.0, 2 * per_language / r["n"])) for r in counts}
+    share = F.try_element_at(F.create_map(*[F.lit(x) for pair in reach.items() for x in pair]), F.col("l"))
+    # A piece from within the text, at a place that follows from the hash.
     longest = F.greatest(F.length("t") - sample_bytes, F.lit(0))
     piece = F.substring(F.col("t"), (longest * F.col("place")).cast("int") + 1, F.lit(sample_bytes))
-    found = sorted(drawn.select("l", "place", F.col("id").cast("string").alias("id"), piece.cast("binary").alias("t")).collect(), key=lambda r: (r[0], r[1], r[2] or "", bytes(r[3])))
-    texts, targets = [], []
-    for i, name in enumerate(labels):
-        own = [bytes(r[3]) for r in found if r[0] == name][:per_language]
-        texts += own
-        targets += [i] * len(own)
-    return train(texts, np.array(targets), labels, hidden, window, steps, seed)
+    drawn = rows.filter(F.col("place") <= share).select("l", "place", "id", piece.cast("binary").alias("t"))
+    first = Window.partitionBy("l").orderBy("place", "id", "t")
+    found = drawn.withColumn("rank", F.row_number().over(first)).filter(F.col("rank") <= per_language).collect()
+    found = sorted(found, key=lambda r: (r["l"], r["rank"]))
+    labels = sorted({r["l"] for r in found})
+    code = {name: i for i, name in enumerate(labels)}
+    return train([bytes(r["t"]) for r in found], np.array([code[r["l"]] for r in found]), labels, hidden, window, steps, seed)
 
 
 def has_letter(text: str) -> bool:

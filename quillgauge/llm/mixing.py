@@ -13,13 +13,19 @@ the middle of the document lies within the rest, so the words taken end nearest
 Keys fall into buckets that follow their order: a key's bucket is the share of the source's keys
 expected below it, by the number of its documents of each quality. Bucket sums are aggregated before
 the shuffle, and only the one bucket per source in which the rest ends is sorted: about
-``bucket_rows`` rows, however large the source and however its qualities are spread. Texts are read once, for sizes and keys; what follows handles narrow rows,
-and the table of sources (a row each) joins by the size Spark measured in storage.
+``bucket_rows`` rows, however large the source and however its qualities are spread. What comes out is one row per source
+with the key at which its rest ends, so every row tells by itself how often it is taken: the table of
+sources joins by the size Spark measured in storage, and texts are never shuffled.
+
+A key is made of id, text and source. Rows that agree in all three are copies with equal keys; they are
+folded before the sort and, where the rest ends among them, numbered in buckets of their own, so neither
+null ids nor copies gather anywhere.
 
 Edge cases: null and empty texts have size 0 and are taken for 0 words, and so is everything in an
-empty mix; null sources are one source; equal keys are ordered by id and size; rows that repeat are
-documents of their own; a quality that is null or not above 0 counts as 1; a single document larger
-than the rest is taken if its middle lies within the rest.
+empty mix; null sources are one source; null ids are told apart by their texts; equal keys are ordered
+by size; rows that repeat are documents of their own; a quality that is null or not above 0 counts as 1;
+a single document larger than the rest is taken if its middle lies within the rest; very long texts are
+only counted and hashed; ``mixed`` keeps all columns whatever their names, ``mix`` takes over the id only.
 """
 
 from __future__ import annotations
@@ -29,6 +35,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quillgauge.operators.ordering import number_rows
 from quillgauge.session import stored
 
 WORD = r"[^\x20\x09-\x0D]+"
@@ -51,9 +58,15 @@ def quality(text: Column, size: Column) -> Column:
     )
 
 
-def order_key(doc_id: Column, weight: Column, seed: str) -> Column:
-    """An exponential variate with rate ``weight``, made of the id and the seed."""
-    digest = F.md5(F.concat_ws("|", F.coalesce(doc_id.cast("string"), F.lit("")), F.lit(seed)))
+def identity(doc_id: Column, text: Column, source: Column) -> Column:
+    """What tells one document from another: rows that agree in it are copies, and interchangeable."""
+    parts = [F.coalesce(c.cast("string"), F.lit("")) for c in (doc_id, F.md5(text), source)]
+    return F.concat_ws("|", *parts)
+
+
+def order_key(name: Column, weight: Column, seed: str) -> Column:
+    """An exponential variate with rate ``weight``, made of the name of a document and the seed."""
+    digest = F.md5(F.concat_ws("|", F.coalesce(name.cast("string"), F.lit("")), F.lit(seed)))
     number = F.conv(F.substring(digest, 1, _BITS // 4), 16, 10).cast("double")
     rate = F.when(weight > 0, weight).otherwise(1.0)
     return -F.ln((number + 0.5) / float(2**_BITS)) / rate
@@ -86,6 +99,78 @@ def targets(sources: DataFrame, weights: tuple[float, ...], most: int) -> DataFr
     return settled.withColumn("target", F.coalesce(F.least(stop, F.col("level") * F.col("weight")), stop)).drop("level", "weight")
 
 
+def sized(df: DataFrame, doc_id: str, text: str, source: str, seed: str) -> DataFrame:
+    """Add ``size``, ``quality`` and ``key`` to every row."""
+    t = F.col(text)
+    own = df.withColumn("size", words(t)).withColumn("quality", quality(t, F.col("size")))
+    return own.withColumn("key", order_key(identity(F.col(doc_id), t, F.col(source)), F.col("quality"), seed))
+
+
+def cuts(keyed: DataFrame, weights: tuple[float, ...], most: int, bucket_rows: int) -> DataFrame:
+    """One row per source with its target, its epochs, and where the rest ends among its keys.
+
+    ``keyed`` has (source, size, quality, key). Whole buckets below ``last`` are taken for the rest, and of
+    ``last`` the rows up to the (key, size) ``cut``; of the ``copies`` rows at the cut, equal in all that
+    counts, ``some`` are taken.
+    """
+    by_quality = [F.count_if(F.col("quality") == q).alias(f"n_{i}") for i, q in enumerate(QUALITIES)]
+    sums = keyed.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n"), *by_quality)
+    plan = targets(sums, weights, most).withColumn("epochs", F.floor(F.col("target") / F.greatest("source_size", F.lit(1))))
+    plan = plan.withColumn("rest", F.col("target") - F.col("epochs") * F.col("source_size"))
+    plan = stored(plan.withColumn("buckets", F.ceil(F.col("n") / bucket_rows)).withColumnRenamed("source", "p_source"), "targets")
+    placed = keyed.join(plan, F.col("source").eqNullSafe(F.col("p_source"))).withColumn("bucket", bucket())
+    totals = placed.groupBy("source", "bucket").agg(F.sum("size").alias("words"), F.first("rest").alias("rest"))
+    upto = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    ends = totals.withColumn("end", F.sum("words").over(upto))
+    # The first bucket whose words do not all fit; below it all are taken, beyond it none.
+    least = F.min(F.struct("bucket", (F.col("end") - F.col("words")).alias("start"))).alias("x")
+    last = stored(ends.filter(F.col("end") > F.col("rest")).groupBy(F.col("source").alias("l_source")).agg(least), "bounds")
+    inside = placed.join(last, F.col("source").eqNullSafe(F.col("l_source")) & (F.col("bucket") == F.col("x.bucket")))
+    # Copies are folded before they are sorted, so the window has about ``bucket_rows`` rows.
+    folded = inside.groupBy("source", "key", "size").agg(F.count("*").alias("copies"), F.first("rest").alias("rest"), F.first("x.start").alias("start"))
+    before = Window.partitionBy("source").orderBy("key", "size").rowsBetween(Window.unboundedPreceding, -1)
+    room = F.col("rest") - F.col("start") - F.coalesce(F.sum(F.col("size") * F.col("copies")).over(before), F.lit(0))
+    # As many copies as have their middle within the room.
+    fit = F.when(F.col("size") > 0, F.floor(room / F.col("size") + 0.5)).otherwise(F.when(room >= 0, F.col("copies")).otherwise(0))
+    some = F.least(F.greatest(fit.cast("long"), F.lit(0)), F.col("copies"))
+    cut = folded.withColumn("some", some).filter("some > 0").groupBy(F.col("source").alias("c_source")).agg(
+        F.max(F.struct("key", "size", "some", "copies")).alias("cut")
+    )
+    known = plan.join(last, F.col("p_source").eqNullSafe(F.col("l_source")), "left").join(cut, F.col("p_source").eqNullSafe(F.col("c_source")), "left")
+    counts = [f"n_{i}" for i in range(len(QUALITIES))]
+    return stored(known.select("p_source", "source_size", "target", "epochs", "rest", "n", *counts, "buckets", F.col("x.bucket").alias("last"), "cut"), "cuts")
+
+
+def bucket() -> Column:
+    share = key_share(F.col("key"), F.col("n"), [F.col(f"n_{i}") for i in range(len(QUALITIES))])
+    return F.floor(share * F.col("buckets"))
+
+
+def repeated(keyed: DataFrame, plan: DataFrame) -> DataFrame:
+    """Add ``repeats`` and the columns of ``plan`` to rows with (source, size, quality, key).
+
+    Every row tells from its own key how often it is taken. Only where a cut falls among copies, these
+    are numbered, in buckets of their places, and the first of them taken.
+    """
+    at_cut = F.struct(F.col("key"), F.col("size"))
+    cut = F.struct(F.col("cut.key").alias("key"), F.col("cut.size").alias("size"))
+    some = F.coalesce((F.col("bucket") == F.col("last")) & (at_cut == cut) & (F.col("cut.some") < F.col("cut.copies")), F.lit(False))
+    below = F.when(F.col("last").isNull() | (F.col("bucket") < F.col("last")), True).otherwise(
+        (F.col("bucket") == F.col("last")) & F.coalesce(at_cut <= cut, F.lit(False))
+    )
+    placed = keyed.join(plan, F.col("source").eqNullSafe(F.col("p_source"))).withColumn("bucket", bucket())
+    told = placed.withColumn("__some", some).withColumn("more", below)
+    if not plan.filter("cut.some < cut.copies").isEmpty():
+        place = F.monotonically_increasing_id()
+        tied = stored(told.filter("__some").withColumn("__place", place).withColumn("__of", F.hash("p_source", "cut")), "tied")
+        bits = [F.shiftright("__place", n) for n in (13, 33)]
+        numbered = number_rows(tied, ["__of"], ["__place"], bits[0], "__number", coarser=bits[1:])
+        numbered = numbered.withColumn("more", F.col("__number") <= F.col("cut.some")).select(*told.columns)
+        told = told.filter("NOT __some").unionByName(numbered)
+    repeats = F.col("epochs") + F.when(F.col("more") & (F.col("rest") > 0), 1).otherwise(0)
+    return told.withColumn("repeats", repeats.cast("long"))
+
+
 def mix(
     df: DataFrame,
     doc_id: str = "doc_id",
@@ -97,50 +182,27 @@ def mix(
     bucket_rows: int = 8192,
 ) -> DataFrame:
     """(doc_id, source, size, source_size, target, repeats, taken) of every row."""
-    base = df.select(F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), F.col(text).alias("t"))
-    sized = base.withColumn("size", words(F.col("t"))).withColumn("quality", quality(F.col("t"), F.col("size")))
-    keyed = stored(
-        sized.select("doc_id", "source", "size", "quality", order_key(F.col("doc_id"), F.col("quality"), seed).alias("key")),
-        "sizes",
-    )
-    by_quality = [F.count_if(F.col("quality") == q).alias(f"n_{i}") for i, q in enumerate(QUALITIES)]
-    sums = keyed.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n"), *by_quality)
-    plan = targets(sums, weights, most)
-    size = F.greatest("source_size", F.lit(1))
-    epochs = F.floor(F.col("target") / size)
-    plan = plan.withColumn("epochs", epochs).withColumn("rest", F.col("target") - F.col("epochs") * F.col("source_size"))
-    plan = stored(plan.withColumn("buckets", F.ceil(F.col("n") / bucket_rows)), "targets")
-    same = F.col("source").eqNullSafe(F.col("p_source"))
-    renamed = plan.withColumnRenamed("source", "p_source")
-    share = key_share(F.col("key"), F.col("n"), [F.col(f"n_{i}") for i in range(len(QUALITIES))])
-    bucketed = keyed.join(renamed, same).withColumn("bucket", F.floor(share * F.col("buckets")))
-    totals = bucketed.groupBy("source", "bucket").agg(F.sum("size").alias("words"), F.first("rest").alias("rest"))
-    upto = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    ends = totals.withColumn("end", F.sum("words").over(upto))
-    # The first bucket whose words do not all fit; below it all are taken, beyond it none.
-    last = stored(
-        ends.filter(F.col("end") > F.col("rest"))
-        .groupBy("source")
-        .agg(F.min(F.struct("bucket", (F.col("end") - F.col("words")).alias("start"))).alias("x"))
-        .select(F.col("source").alias("l_source"), F.col("x.bucket").alias("last"), F.col("x.start").alias("start")),
-        "bounds",
-    )
-    placed = bucketed.join(last, F.col("source").eqNullSafe(F.col("l_source")), "left")
-    is_last = F.coalesce(F.col("bucket") == F.col("last"), F.lit(False))
-    rising = Window.partitionBy("source").orderBy("key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    inside = placed.filter(is_last).withColumn("upto", F.col("start") + F.sum("size").over(rising))
-    inside = inside.withColumn("more", F.col("upto") - F.col("size") / 2 <= F.col("rest")).drop("upto")
-    outside = placed.filter(~is_last).withColumn("more", F.col("last").isNull() | (F.col("bucket") < F.col("last")))
-    both = inside.unionByName(outside)
-    repeats = F.col("epochs") + F.when(F.col("more") & (F.col("rest") > 0), 1).otherwise(0)
-    return both.withColumn("repeats", repeats.cast("long")).select(
-        "doc_id", "source", "size", "source_size", "target", "repeats", (F.col("repeats") * F.col("size")).alias("taken")
-    )
+    base = df.select(F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), F.col(text).alias("text"))
+    keyed = stored(sized(base, "doc_id", "text", "source", seed).drop("text"), "sizes")
+    out = repeated(keyed, cuts(keyed, weights, most, bucket_rows))
+    return out.select("doc_id", "source", "size", "source_size", "target", "repeats", (F.col("repeats") * F.col("size")).alias("taken"))
 
 
-def mixed(df: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", **how) -> DataFrame:
-    """The rows of ``df``, each as often as the mix takes it; rows of one id are taken alike."""
-    taken = mix(df, doc_id, text, source, **how).groupBy("doc_id").agg(F.max("repeats").alias("__n"))
-    taken = taken.withColumnRenamed("doc_id", "__id")
-    out = df.join(taken, F.col(doc_id).eqNullSafe(F.col("__id")))
-    return out.withColumn("__copy", F.explode(F.sequence(F.lit(0), F.col("__n")))).filter("__copy > 0").select(*df.columns)
+def mixed(
+    df: DataFrame,
+    doc_id: str = "doc_id",
+    text: str = "text",
+    source: str = "source",
+    weights: tuple[float, ...] = (5.0, 2.0, 1.0),
+    most: int = 3,
+    seed: str = "mix",
+    bucket_rows: int = 8192,
+) -> DataFrame:
+    """The rows of ``df``, each as often as the mix takes it, with the columns of ``df``; no text is shuffled."""
+    # Own names for the columns of the input, so that none of them meets one of the mix.
+    names = [f"__own_{i}" for i in range(len(df.columns))]
+    own = dict(zip(df.columns, names, strict=True))
+    keyed = sized(df.toDF(*names), own[doc_id], own[text], own[source], seed).withColumn("source", F.col(own[source]))
+    plan = cuts(stored(keyed.select("source", "size", "quality", "key"), "sizes"), weights, most, bucket_rows)
+    copies = F.explode(F.sequence(F.lit(1).cast("long"), F.col("repeats"))).alias("__copy")
+    return repeated(keyed, plan).filter("repeats > 0").select(*names, copies).select(*names).toDF(*df.columns)

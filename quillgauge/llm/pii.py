@@ -384,18 +384,19 @@ def listed(spans: list[Span]) -> list[Span]:
 def fit(df: DataFrame, doc_id: str = "doc_id", text: str = "text", sample: int = 600, sample_chars: int = 4096, **how) -> Model | None:
     """Fit on pieces of ``sample`` documents that hold a digit or an ``@``: a fixed bound.
 
-    They are drawn by a hash of their id, in the share that gives about twice as many, so what
-    reaches the driver is as much at any size of the input; the smallest hashes are kept.
+    They are drawn by a hash of id and text, in the share that gives about twice as many, and the smallest
+    hashes are kept. Rows equal in both share a place: the first place is always drawn, and no task
+    passes on more than ``sample`` rows, so neither null ids nor copies leave nothing or too much.
     """
     hint = r"[0-9][0-9.() -]{5}|@"
-    rows = df.select(F.col(doc_id).alias("id"), F.col(text).alias("t")).filter(F.col("t").rlike(hint))
-    number = rows.count()
-    place = F.pmod(F.xxhash64(F.col("id").cast("string"), F.lit("pii")), F.lit(1 << 30)) / float(1 << 30)
-    drawn = rows.withColumn("place", place).filter(F.col("place") <= 2 * sample / max(1, number))
+    rows = df.select(F.col(doc_id).cast("string").alias("id"), F.col(text).alias("t")).filter(F.col("t").rlike(hint))
+    place = F.pmod(F.xxhash64("id", "t", F.lit("pii")), F.lit(1 << 30)) / float(1 << 30)
+    rows = rows.withColumn("place", place)
+    number, first = rows.agg(F.count("*"), F.min("place")).first()
+    drawn = rows.filter(F.col("place") <= max(first or 0.0, 2 * sample / max(1, number)))
     at = F.greatest(F.regexp_instr(F.col("t"), F.lit(hint)) - sample_chars // 2, F.lit(1))
-    found = drawn.select("place", F.col("id").cast("string").alias("id"), F.substring("t", at, F.lit(sample_chars)).alias("t")).collect()
-    order = sorted(found, key=lambda r: (r["place"], r["id"] or "", r["t"]))
-    return train([r["t"] for r in order[:sample]], **how)
+    found = drawn.select("place", "id", F.substring("t", at, F.lit(sample_chars)).alias("t")).orderBy("place", "id", "t").limit(sample).collect()
+    return train([r["t"] for r in found], **how)
 
 
 def find(df: DataFrame, model: Model | None, text: str = "text", drop: tuple[str, ...] = ()) -> DataFrame:

@@ -179,9 +179,9 @@ r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DES
 SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5""",
     "op5_mixing": r"""
 WITH d AS (SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size,
-  coalesce(length(text), 0)::DOUBLE AS chars FROM documents),
+  coalesce(length(text), 0)::DOUBLE AS chars, text FROM documents),
 k AS (SELECT doc_id, source, size,
-  -ln((CAST(CAST('0x' || substr(md5(concat_ws('|', coalesce(CAST(doc_id AS VARCHAR), ''), 'mix')), 1, 13) AS BIGINT) AS DOUBLE) + 0.5::DOUBLE) / 4503599627370496::DOUBLE)
+  -ln((CAST(CAST('0x' || substr(md5(concat_ws('|', coalesce(CAST(doc_id AS VARCHAR), ''), coalesce(md5(text), ''), coalesce(source, ''), 'mix')), 1, 13) AS BIGINT) AS DOUBLE) + 0.5::DOUBLE) / 4503599627370496::DOUBLE)
   / (0.25::DOUBLE + CASE WHEN size BETWEEN 50 AND 100000 THEN 0.25::DOUBLE ELSE 0::DOUBLE END
      + CASE WHEN chars / greatest(size, 1) BETWEEN 3 AND 10 THEN 0.5::DOUBLE ELSE 0::DOUBLE END) AS key FROM d),
 s AS (SELECT source, sum(size)::BIGINT AS source_size FROM d GROUP BY 1),
@@ -193,7 +193,7 @@ lv AS (SELECT level FROM l WHERE level * weight <= 3 * source_size ORDER BY o, s
 t AS (SELECT source, source_size, coalesce(least(CAST(3 * source_size AS DOUBLE), (SELECT level FROM lv) * weight), 3 * source_size) AS target FROM l),
 e AS (SELECT *, floor(target / greatest(source_size, 1)) AS epochs FROM t),
 r AS (SELECT *, target - epochs * source_size AS rest FROM e),
-p AS (SELECT k.doc_id, k.size, r.*, sum(k.size) OVER (PARTITION BY k.source ORDER BY key, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS upto
+p AS (SELECT k.doc_id, k.size, r.*, sum(k.size) OVER (PARTITION BY k.source ORDER BY key, size ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS upto
   FROM k JOIN r ON k.source IS NOT DISTINCT FROM r.source)
 SELECT doc_id, size, source_size, target,
   CAST(size * (epochs + CASE WHEN rest > 0 AND CAST(upto AS DOUBLE) - CAST(size AS DOUBLE) / 2 <= rest THEN 1 ELSE 0 END) AS BIGINT) AS taken FROM p""",

@@ -14,7 +14,9 @@ buckets of a shard, from the bucket counts.
 
 Edge cases: a null text has 8 bytes, checksum 0, and is a group apart from the empty text; a group
 larger than a fair share has a shard that is larger than the others; rows that repeat stay together
-in one shard, in slots of their own; a null id takes part like any other; an empty table stays empty.
+in one shard, in slots of their own; null ids take part like any other and are spread by their places; very
+long texts are only measured and hashed; of equal sizes the smaller text hash is packed first; of the
+input only the id is taken over, so names cannot clash; an empty table stays empty.
 """
 
 from __future__ import annotations
@@ -113,7 +115,7 @@ def shard(
         F.coalesce(F.crc32(t), F.lit(0)).cast("long").alias("text_crc32"),
         F.coalesce(F.md5(t), F.lit("-" * 32)).alias("group"),
     )
-    rows = stored(narrow, "rows")
+    rows = stored(narrow, "rows").withColumn("place", F.monotonically_increasing_id())
     spark = df.sparkSession
     groups = stored(rows.groupBy("group").agg(F.sum("size").alias("bytes")), "groups")
     total, number = rows.agg(F.coalesce(F.sum("size"), F.lit(0)), F.count("*")).first()
@@ -131,10 +133,12 @@ def shard(
         rows.withColumn("bundle", bundle)
         .join(F.broadcast(large), "group", "left")
         .join(F.broadcast(small), "bundle", "left")
-        .select("doc_id", "size", "text_crc32", F.coalesce("own", "shared").alias("shard"))
+        .select("doc_id", "size", "text_crc32", "place", F.coalesce("own", "shared").alias("shard"))
     )
     buckets = max(1, -(-number // (shards * bucket_rows)))
-    placed = placed.withColumn("bucket", F.pmod(F.xxhash64("doc_id"), F.lit(buckets)))
+    # Rows without an id are dealt out by their places in the stored table.
+    place = F.when(F.col("doc_id").isNull(), F.col("place"))
+    placed = placed.withColumn("bucket", F.pmod(F.xxhash64("doc_id", place), F.lit(buckets))).drop("place")
     counts = placed.groupBy("shard", "bucket").agg(F.count("*").alias("n"))
     before = Window.partitionBy("shard").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     starts = stored(counts.select("shard", "bucket", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start")), "starts")

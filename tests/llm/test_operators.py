@@ -293,6 +293,64 @@ def test_mix_awkward(docs):
     assert mixing.mix(docs.limit(0)).count() == 0 and mixing.mixed(docs.filter("doc_id = 4")).count() == 0
 
 
+def brute_mix(rows, weights=(5, 2, 1), most=3):
+    """(words, documents) that the mix takes of every source, rows sorted one by one; sizes of equal rows count."""
+    names = sorted({r[2] for r in rows if r[2] is not None}) + [None] * any(r[2] is None for r in rows)
+    size = {k: sum(len(re.findall(mixing.WORD, r[1] or "")) for r in rows if r[2] == k) for k in names}
+    level = max(sum(size.values()), 1) * 1.0
+    share = {k: weights[i % 3] for i, k in enumerate(names)}
+    goal, left, open_ = {}, level, set(names)
+    while open_:
+        above = [k for k in open_ if left / sum(share[j] for j in open_) * share[k] > most * size[k]]
+        if not above:
+            goal |= {k: left / sum(share[j] for j in open_) * share[k] for k in open_}
+            break
+        goal |= {k: float(most * size[k]) for k in above}
+        left -= sum(goal[k] for k in above)
+        open_ -= set(above)
+    out = Counter()
+    for k in names:
+        def key(r):
+            n = len(re.findall(mixing.WORD, r[1] or ""))
+            digest = hashlib.md5((r[1] or "").encode()).hexdigest() if r[1] is not None else ""
+            name = "|".join(("" if r[0] is None else str(r[0]), digest, r[2] or "", "mix"))
+            length = len(r[1] or "") / max(n, 1)
+            q = 0.25 + 0.25 * (50 <= n <= 100000) + 0.5 * (3 <= length <= 10)
+            return -math.log((int(hashlib.md5(name.encode()).hexdigest()[:13], 16) + 0.5) / 2**52) / q, n
+        epochs = math.floor(goal[k] / max(size[k], 1))
+        rest, upto = goal[k] - epochs * size[k], 0
+        for r in sorted((r for r in rows if r[2] == k), key=key):
+            n = key(r)[1]
+            upto += n
+            out[(r[0], r[1], r[2])] += n * (epochs + (rest > 0 and upto - n / 2 <= rest))
+    return out
+
+
+@pytest.mark.parametrize("bucket_rows", [8192, 4])
+def test_mix_copies_and_nameless(spark, bucket_rows):
+    """Many rows without an id, and copies among which the rest ends: whole results, whoever is taken."""
+    rng = random.Random(2)
+    rows = [(None, " ".join(f"w{rng.randrange(99)}" for _ in range(rng.randrange(1, 80))), s) for s in ("a", "b", None) for _ in range(40)]
+    rows += [(None, "the same three", "a")] * 300 + [(7, "one of many copies here", "c")] * 50 + [(8, None, "b")] * 3
+    names = "doc_id long, text string, source string"
+    df = spark.createDataFrame([(*r, 1, "x", 2, 3) for r in rows], f"{names}, __n int, size string, last int, repeats int").repartition(4)
+    want = brute_mix(rows)
+    assert 0 < want[(7, "one of many copies here", "c")] / 5 % 50  # the rest ends among these
+    got, sizes = Counter(), Counter()
+    for r in mixing.mix(df, bucket_rows=bucket_rows).collect():
+        got[(r["source"], r["size"])] += r["taken"]
+    for (_, t, s), n in want.items():
+        sizes[(s, len((t or "").split()))] += n
+    assert +got == +sizes
+    out = mixing.mixed(df, bucket_rows=bucket_rows)
+    assert out.columns == df.columns
+    taken = Counter()
+    for r in out.collect():
+        assert tuple(r)[3:] == (1, "x", 2, 3)
+        taken[tuple(r)[:3]] += len((r["text"] or "").split())
+    assert +taken == +want
+
+
 # 6. Language
 
 
@@ -334,6 +392,49 @@ def test_language_awkward(docs):
     assert langid.predict(docs.limit(0), model).count() == 0
 
 
+def test_language_sample_of_awkward_ids(spark, real):
+    """Null ids, one repeated row and a language with one row: every language is learnt, no more than may be."""
+    texts = [(r[0], r[1]) for r in real.filter("lang is not null and length(text) > 50").select("text", "lang").limit(60).collect()]
+    rows = [(None, t, lang) for t, lang in texts] * 60 + [(5, "un seul texte se répète ici sans fin", "fr")] * 3000
+    rows += [(6, "eine einzige zeile dieser sprache", "xx"), (None, None, "yy"), (7, "", "zz")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(4)
+    model = langid.fit(df, per_language=20, steps=2)
+    assert model.labels == sorted({lang for _, lang in texts} | {"fr", "xx"})
+    assert set(langid.fit(df, per_language=20, steps=1, languages=2).labels) < set(model.labels)
+    assert len(langid.fit(df, per_language=20, steps=1, sample=1).labels) == len(model.labels)
+
+
+def plain_gru(table, back, text):
+    h, out = np.zeros(back.shape[1]), []
+    squash = lambda v: v / (1 + np.abs(v))
+    for byte in text:
+        x, g, n = table[:, byte].astype(float), back.astype(float) @ h, len(h)
+        r, z = (0.5 * squash(x[i * n : i * n + n] + g[i * n : i * n + n]) + 0.5 for i in (0, 1))
+        new = squash(r * g[2 * n :] + x[2 * n :])
+        h = new + z * (h - new)
+        out.append(h)
+    return out
+
+
+def test_language_forward_pass(real):
+    """Every window of whole texts through a plain network, byte by byte."""
+    model = langid.fit(real, steps=20, per_language=30)
+    texts = [r[0].encode() for r in real.filter("length(text) between 1 and 900").select("text").limit(12).collect()] + [b"a", b"x" * 129]
+    p = model.params
+    for text, got in zip(texts, langid.pooled(model, texts), strict=True):
+        total = np.zeros(len(model.labels))
+        for at in range(0, len(text), model.window):
+            piece = text[at : at + model.window]
+            # The network reads a filled window from its end.
+            there = plain_gru(p["table_f"], p["back_f"], piece)
+            back = plain_gru(p["table_b"], p["back_b"], piece.ljust(model.window, b"\0")[::-1])[::-1]
+            for f, b in zip(there, back, strict=False):
+                e = p["out"].astype(float) @ np.concatenate([f, b]) + p["bias"][:, 0]
+                e = np.exp(e - e.max())
+                total += e / e.sum()
+        assert got == pytest.approx(total / len(text), abs=2e-4)
+
+
 # 7. Lines
 
 
@@ -396,6 +497,44 @@ def test_personal_data(docs, spark, sf):
     assert pii.find(docs.limit(0), model).count() == 0
 
 
+def test_sample_of_awkward_ids(spark):
+    """Null ids or one repeated row: a network is trained, from no more rows than the sample."""
+    rows = [(None, f"mail to person{i}@host{i % 9}.example.org or call +1 555 010 {i:04d}") for i in range(4000)]
+    nameless = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    assert pii.fit(nameless, sample=20, steps=2) is not None
+    same = spark.createDataFrame([(3, rows[0][1])] * 4000, "doc_id long, text string").repartition(3)
+    assert pii.fit(same, sample=20, steps=2) is not None
+
+
+def brute_best_labels(e, moves):
+    best = max(itertools.product(range(e.shape[1]), repeat=len(e)), key=lambda y: sum(e[t, c] for t, c in enumerate(y)) + sum(moves[a, b] for a, b in zip(y, y[1:], strict=False)))
+    return list(best)
+
+
+def test_windows_are_decoded_one_by_one(spark, sf):
+    """The labels of every region from its windows, each decoded alone, and put together by their middles."""
+    model = pii.fit(spark.read.parquet(f"{sf}/documents.parquet"))
+    texts = ["call +1 (017) 555-7713 " * 30, "write to a.b@c.example.org at 10.0.0.255, or 4111 1111 1111 1111 now " * 9, "x" * 500 + "7" * 40, "", "no hint"]
+    for text, got in zip(texts, pii.decode(model, texts, lanes=3), strict=True):
+        labels = [0] * len(text)
+        for begin, end in pii.regions(text, model.context):
+            for a, b, first, last in pii.windows(begin, end, model.window, model.context):
+                symbols = np.full((model.window, 1), 32, np.intp)
+                symbols[: b - a, 0] = pii.symbols_of(text)[a:b]
+                own = pii.viterbi(pii.emissions(model.params, symbols)[0], model.params["moves"])[:, 0]
+                labels[first:last] = own[first - a : last - a].tolist()
+        edges = [i for i in range(len(text) + 1) if i in (0, len(text)) or labels[i] != labels[i - 1]]
+        want = [(pii.LABELS[labels[a]], a, b) for a, b in zip(edges, edges[1:], strict=False) if labels[a]]
+        assert got == want
+
+
+def test_viterbi_against_all_labels():
+    rng = np.random.default_rng(2)
+    e, moves = rng.normal(size=(6, 3, 4)), rng.normal(size=(3, 3))
+    labels = pii.viterbi(e, moves)
+    assert all(labels[:, lane].tolist() == brute_best_labels(e[:, :, lane], moves) for lane in range(4))
+
+
 def test_network_finds_what_rules_find(spark, sf):
     """Held-out documents; the smallest table holds too few spans to learn from."""
     rows = spark.read.parquet(f"{sf.replace('0.001', '0.1')}/documents.parquet").select("text").collect()
