@@ -37,7 +37,6 @@ PIECES = "/opt/tokenizers/piece_bpe_32k.model"
 # A pair is one long: the A id in the upper half, the B id in the lower.
 _HALF = 32
 _LOW = (1 << _HALF) - 1
-_TEXTS = 256
 
 
 def byte_alphabet() -> dict[str, int]:
@@ -60,7 +59,7 @@ class ByteLevel:
         self.bytes = [b""] * (max(entries.values()) + 1)
         for entry, i in entries.items():
             self.bytes[i] = bytes(spelt[c] for c in entry) if all(c in spelt for c in entry) else entry.encode()
-        self.sizes = [len(b) for b in self.bytes]
+        self.sizes = np.array([len(b) for b in self.bytes])
 
     def encode(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self._own.encode_batch_fast([f" {t}" for t in texts], add_special_tokens=False)]
@@ -78,23 +77,25 @@ class PieceModel:
             b"" if self._own.is_control(i) else bytes([int(n[3:-1], 16)]) if self._own.is_byte(i) else n.replace("▁", " ").encode()
             for i, n in enumerate(names)
         ]
-        self.sizes = [len(b) for b in self.bytes]
+        self.sizes = np.array([len(b) for b in self.bytes])
 
     def encode(self, texts: list[str]) -> list[list[int]]:
         return self._own.encode(texts, num_threads=1)
 
 
-def cuts(a_sizes: Sequence[int], b_sizes: Sequence[int]) -> tuple[list[int], list[int]]:
+def cuts(a_sizes: np.ndarray, b_sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Where the groups end in both token lists, from the tokens' byte sizes."""
-    ends_a = {end: i for i, end in enumerate(accumulate(a_sizes), 1)}
-    ends_b = {end: i for i, end in enumerate(accumulate(b_sizes), 1)}
+    ends_a = dict(zip(np.cumsum(a_sizes).tolist(), range(1, len(a_sizes) + 1), strict=True))
+    ends_b = dict(zip(np.cumsum(b_sizes).tolist(), range(1, len(b_sizes) + 1), strict=True))
     common = sorted(ends_a.keys() & ends_b.keys())
-    return [ends_a[e] for e in common], [ends_b[e] for e in common]
+    return tuple(np.fromiter(map(ends.__getitem__, common), np.int64, len(common)) for ends in (ends_a, ends_b))
 
 
 def overlaps(a_sizes: Sequence[int], b_sizes: Sequence[int]) -> list[tuple[int, int]]:
     """Index pairs of the tokens of one group whose byte ranges overlap."""
-    out, i, j, a_end, b_end, at = [], 0, 0, 0, 0, 0
+    if len(a_sizes) == 1 or len(b_sizes) == 1:
+        return [(i, j) for i, n in enumerate(a_sizes) if n for j, m in enumerate(b_sizes) if m]
+    out, i, j, at = [], 0, 0, 0
     a_ends, b_ends = list(accumulate(a_sizes)), list(accumulate(b_sizes))
     while i < len(a_ends) and j < len(b_ends):
         a_end, b_end = a_ends[i], b_ends[j]
@@ -105,33 +106,30 @@ def overlaps(a_sizes: Sequence[int], b_sizes: Sequence[int]) -> list[tuple[int,
     return out
 
 
-def pairs_of(a: list[int], b: list[int], a_cuts: list[int], b_cuts: list[int], a_size: list[int], b_size: list[int]) -> list[int]:
+def pairs_of(a: np.ndarray, b: np.ndarray, a_cuts: np.ndarray, b_cuts: np.ndarray, a_size: np.ndarray, b_size: np.ndarray) -> np.ndarray:
     """All linked pairs of a text, an entry per link."""
-    out, i, j = [], 0, 0
-    for x, y in zip(a_cuts, b_cuts, strict=True):
-        if x - i == 1 and y - j == 1:
-            if a_size[a[i]]:
-                out.append(a[i] << _HALF | b[j])
-        else:
-            own, other = a[i:x], b[j:y]
-            met = overlaps([a_size[t] for t in own], [b_size[t] for t in other])
-            out += [own[p] << _HALF | other[q] for p, q in met]
-        i, j = x, y
-    return out
-
-
-def _lists(rows: list, kind) -> pa.ListArray:
+    a_from, b_from = (np.concatenate([[0], c[:-1]]) if len(c) else c for c in (a_cuts, b_cuts))
+    single = (a_cuts - a_from == 1) & (b_cuts - b_from == 1)
+    first, second = a[a_from[single]], b[b_from[single]]
+    alone = (first << _HALF | second)[a_size[first] > 0]
+    more: list[int] = []
+    a_own, b_own, a_sizes, b_sizes = a.tolist(), b.tolist(), a_size[a].tolist(), b_size[b].tolist()
+    for i, x, j, y in zip(*(c[~single].tolist() for c in (a_from, a_cuts, b_from, b_cuts)), strict=True):
+        own, other = a_own[i:x], b_own[j:y]
+        more += [own[p] << _HALF | other[q] for p, q in overlaps(a_sizes[i:x], b_sizes[j:y])]
+    return np.concatenate([alone, np.array(more, np.int64)])
+
+
+def _lists(rows: list[np.ndarray], kind) -> pa.ListArray:
     ends = np.cumsum([0, *map(len, rows)], dtype=np.int32)
-    flat = np.concatenate([np.empty(0, kind), *[np.asarray(r, kind) for r in rows]])
-    return pa.ListArray.from_arrays(ends, pa.array(flat))
+    return pa.ListArray.from_arrays(ends, pa.array(np.concatenate([np.empty(0, kind), *rows]).astype(kind)))
 
 
-def _cut_lists(ids: list[list[int]], ends: list[list[int]]) -> pa.ListArray:
+def _cut_lists(ids: list[np.ndarray], ends: list[np.ndarray]) -> pa.ListArray:
     """The ids of every group of every text, one after the other."""
     base = np.cumsum([0, *map(len, ids)])
-    inner = [np.asarray(e, np.int64) + b for e, b in zip(ends, base, strict=False)]
-    edges = np.concatenate([np.zeros(1, np.int64), *inner]).astype(np.int32)
-    return pa.ListArray.from_arrays(edges, pa.array(np.concatenate([np.empty(0, np.int32), *[np.asarray(r, np.int32) for r in ids]])))
+    edges = np.concatenate([np.zeros(1, np.int64), *[e + b for e, b in zip(ends, base, strict=False)]]).astype(np.int32)
+    return pa.ListArray.from_arrays(edges, pa.array(np.concatenate([np.empty(0, np.int64), *ids]).astype(np.int32)))
 
 
 _OUT = "a_ids array<int>, b_ids array<int>, groups array<struct<a:array<int>,b:array<int>>>, pairs array<long>, times array<int>"
@@ -147,6 +145,8 @@ def align(df: DataFrame, text: str = "text", byte_level: str = BYTE_LEVEL, piece
     cache: list = []
 
     def tokens(texts: list[str]) -> tuple[list[list[int]], list[list[int]]]:
+        if not texts:
+            return [], []
         one, two = cache
         found = one.encode(texts), two.encode(texts)
         for t, a, b in zip(texts, *found, strict=True):
@@ -161,16 +161,14 @@ def align(df: DataFrame, text: str = "text", byte_level: str = BYTE_LEVEL, piece
             cache.extend((ByteLevel(content.value[0]), PieceModel(content.value[1])))
         a_size, b_size = cache[0].sizes, cache[1].sizes
         texts = batch.column(batch.schema.get_field_index(text)).to_pylist()
-        a_ids, b_ids = [[] for _ in texts], [[] for _ in texts]
+        a_ids, b_ids = [[np.empty(0, np.int64)] * len(texts) for _ in range(2)]
         told = [i for i, t in enumerate(texts) if t]
-        for part in range(0, len(told), _TEXTS):
-            own = told[part : part + _TEXTS]
-            for i, a, b in zip(own, *tokens([texts[i] for i in own]), strict=True):
-                a_ids[i], b_ids[i] = a, b
+        for i, a, b in zip(told, *tokens([texts[i] for i in told]), strict=True):
+            a_ids[i], b_ids[i] = np.array(a, np.int64), np.array(b, np.int64)
         a_cuts, b_cuts, pairs, times = [], [], [], []
         for a, b in zip(a_ids, b_ids, strict=True):
-            x, y = cuts([a_size[t] for t in a], [b_size[t] for t in b])
-            found, n = np.unique(np.array(pairs_of(a, b, x, y, a_size, b_size), np.int64), return_counts=True)
+            x, y = cuts(a_size[a], b_size[b])
+            found, n = np.unique(pairs_of(a, b, x, y, a_size, b_size), return_counts=True)
             a_cuts.append(x)
             b_cuts.append(y)
             pairs.append(found)
@@ -179,7 +177,7 @@ def align(df: DataFrame, text: str = "text", byte_level: str = BYTE_LEVEL, piece
         ends = pa.array(np.cumsum([0, *map(len, a_cuts)], dtype=np.int32))
         return [_lists(a_ids, np.int32), _lists(b_ids, np.int32), pa.ListArray.from_arrays(ends, groups), _lists(pairs, np.int64), _lists(times, np.int32)]
 
-    return append(df, _OUT, make, drop)
+    return append(df, _OUT, make, drop, text)
 
 
 def pair_counts(aligned: DataFrame, pairs: str = "pairs") -> DataFrame:

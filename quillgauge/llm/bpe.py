@@ -38,6 +38,7 @@ from quillgauge.llm.batches import append
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 RANKS = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 PIECE = 1 << 15
+_ROWS = 64
 _BEFORE_SPACE = regex.compile(r"\P{White_Space}\p{White_Space}")
 
 
@@ -99,7 +100,7 @@ def encode(df: DataFrame, text: str = "text", ranks: str = RANKS, piece: int = P
         flat = np.concatenate([np.empty(0, np.uint32), *found]).astype(np.int32)
         return [pa.ListArray.from_arrays(ends, pa.array(flat))]
 
-    return append(df, "ids array<int>", make, drop)
+    return append(df, "ids array<int>", make, drop, text)
 
 
 def decode(df: DataFrame, ids: str = "ids", ranks: str = RANKS, drop: tuple[str, ...] = ()) -> DataFrame:
@@ -111,7 +112,10 @@ def decode(df: DataFrame, ids: str = "ids", ranks: str = RANKS, drop: tuple[str,
     def make(batch: pa.RecordBatch) -> list[pa.Array]:
         if not cache:
             cache.append({rank: token for token, rank in read_ranks(content.value).items()})
-        lists = batch.column(batch.schema.get_field_index(ids)).to_pylist()
-        return [pa.array([b"".join([cache[0].get(i, b"") for i in own or ()]) for own in lists], pa.binary())]
+        lists = batch.column(batch.schema.get_field_index(ids))
+        out = []
+        for at in range(0, len(lists), _ROWS):
+            out += [b"".join([cache[0].get(i, b"") for i in own or ()]) for own in lists.slice(at, _ROWS).to_pylist()]
+        return [pa.array(out, pa.binary())]
 
     return append(df, "decoded binary", make, drop)
