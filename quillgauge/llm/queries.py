@@ -118,11 +118,10 @@ def op11_bpe(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def op12_align(spark: SparkSession, sf: str) -> DataFrame:
-    made = align.align(_table(spark, sf, "documents").select("doc_id", "text"), drop=("text",))
-    told = F.concat_ws(";", F.transform("groups", lambda g: F.concat_ws("|", _joined(g["a"], ","), _joined(g["b"], ","))))
-    sizes = [F.size(c).cast("long").alias(n) for c, n in (("a_ids", "n_a"), ("b_ids", "n_b"), ("groups", "n_groups"))]
-    digest = F.when(F.size("groups") > 0, F.sha2(told, 256)).otherwise("").alias("groups_sha256")
-    return align.count_links(made.select("doc_id", *sizes, digest, "pairs", "times"))
+    give = ("n_a", "n_b", "n_groups", "spelt", "pairs", "times")
+    made = align.align(_table(spark, sf, "documents").select("doc_id", "text"), give=give, drop=("text",))
+    digest = F.when(F.col("n_groups") > 0, F.sha2("spelt", 256)).otherwise("").alias("groups_sha256")
+    return align.count_links(made.select("doc_id", "n_a", "n_b", "n_groups", digest, "pairs", "times"))
 
 
 def op13_whiten(spark: SparkSession, sf: str) -> DataFrame:

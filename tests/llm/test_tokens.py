@@ -4,6 +4,7 @@ import hashlib
 import random
 from collections import Counter, defaultdict
 
+import numpy as np
 import pytest
 import regex
 from hypothesis import given, settings
@@ -136,7 +137,7 @@ def brute_aligned(texts):
         a_side, b_side = align.ByteLevel(f.read()), align.PieceModel(g.read())
     rows, docs = [], Counter()
     for t in texts:
-        a, b = (side.encode([t])[0] if t else [] for side in (a_side, b_side))
+        a, b = (a_side.encode([f" {t}"])[0], b_side.encode([t])[0]) if t else ([], [])
         whole = (" " + (t or "")).encode()
         if not t or any(b"".join(side.bytes[i] for i in ids) != whole for side, ids in ((a_side, a), (b_side, b))):
             a, b = [], []
@@ -171,14 +172,37 @@ def test_alignment_of_documents(spark, sf, texts):
 def test_alignment_awkward(awkward, common):
     """Null ids, repeated rows, very long texts; the same counts whichever way the pairs go."""
     made = align.align(awkward)
-    assert made.columns == ["doc_id", "text", "IDS", "n_best", "a_ids", "b_ids", "groups", "pairs", "times"]
+    assert made.columns == ["doc_id", "text", "IDS", "n_best", "a_ids", "b_ids", "groups", "n_a", "n_b", "n_groups", "spelt", "pairs", "times"]
     out = align.count_links(made, common)
-    assert out.columns == ["doc_id", "text", "IDS", "a_ids", "b_ids", "groups", "n_links", "n_best", "count_sum"]
+    assert out.columns == ["doc_id", "text", "IDS", "a_ids", "b_ids", "groups", "n_a", "n_b", "n_groups", "spelt", "n_links", "n_best", "count_sum"]
     want = Counter((t, x[3:6]) for t, x in zip(AWKWARD, brute_aligned(AWKWARD), strict=True))
     assert Counter((r["text"], (r["n_links"], r["n_best"], r["count_sum"])) for r in out.collect()) == want
     assert align.count_links(align.align(awkward.limit(0)), common).count() == 0
 
 
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.text("ab é.\n\t'　▁1", max_size=30), max_size=4))
+def test_segments_are_whole_texts(texts):
+    """Whatever the white space: ids by segment are the ids of the whole text, if both sides give it back."""
+    if not _SEGMENTS:
+        with open(align.BYTE_LEVEL, encoding="utf-8") as f, open(align.PIECES, "rb") as g:
+            _SEGMENTS.append(align.Segments(align.ByteLevel(f.read()), align.PieceModel(g.read()), limit=40))
+    met = _SEGMENTS[0]
+    one, two = met._sides
+    a_ids, b_ids, groups, *_, spelt = align._aligned(texts, met, ("a_ids", "b_ids", "groups", "spelt"))
+    for own, told in zip(groups.to_pylist(), spelt.to_pylist(), strict=True):
+        assert ";".join("|".join(",".join(map(str, g[side])) for side in "ab") for g in own) == told
+    for t, a, b in zip(texts, a_ids.to_pylist(), b_ids.to_pylist(), strict=True):
+        whole = one.encode([f" {t}"])[0], two.encode([t])[0]
+        if t and all(b"".join(s.bytes[i] for i in ids) == f" {t}".encode() for s, ids in zip((one, two), whole, strict=True)):
+            assert (a, b) == whole
+        else:
+            assert (a, b) == ([], [])
+
+
+_SEGMENTS: list = []
+
+
 def test_overlaps_of_a_group():
     rng = random.Random(3)
     for _ in range(300):
@@ -188,4 +212,7 @@ def test_overlaps_of_a_group():
             marks = sorted(rng.sample(range(1, total), rng.randint(0, total - 1))) if total > 1 else []
             sides.append([y - x for x, y in zip([0, *marks], [*marks, total], strict=True)])
         owners = [[k for k, n in enumerate(s) for _ in range(n)] for s in sides]
-        assert align.overlaps(*sides) == sorted(set(zip(*owners, strict=True)))
+        want = sorted(set(zip(*owners, strict=True)))
+        assert align.overlaps(*sides) == want
+        _, i, j = align.links(*map(np.array, sides), *align.cuts(*map(np.array, sides)))
+        assert sorted(zip(i.tolist(), j.tolist(), strict=True)) == want
