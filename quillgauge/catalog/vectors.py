@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from quillgauge.catalog.base import DS, WORDS_SQL, datasets, key_number_sql, md5_sql, query, rounded, table
 from quillgauge.operators import mauve, vectors
+from quillgauge.session import stored
 
 
 def embedded(spark, sf) -> DataFrame:
@@ -76,21 +77,33 @@ def vector_dedup_exact(spark, sf):
     return vectors.exact_copies(every)
 
 
-@query("vector_dedup_within", """WITH v AS (SELECT CAST((label + k) % 10 AS VARCHAR) AS dataset_id, vec_id + 1000000000 * k::BIGINT AS row_id,
+DEDUP_WITHIN = """WITH v AS (SELECT CAST((label + k) % 10 AS VARCHAR) AS dataset_id, vec_id + 1000000000 * k::BIGINT AS row_id,
   list_transform(CAST(embedding AS DOUBLE[]), lambda x: x + s) AS vector FROM embeddings,
   (SELECT unnest([0, 1, 2, 3]) AS k, unnest([0, 0, 1e-5, 1e-2]::DOUBLE[]) AS s)),
 near AS (SELECT a.row_id AS a, b.row_id AS b, b.dataset_id FROM v a JOIN v b ON list_distance(a.vector, b.vector) <= 1e-3),
 -- the copies of a vector lie within the distance of each other, so the lowest id of each such set is kept
 kept AS (SELECT a FROM near GROUP BY 1 HAVING min(b) = a)
-SELECT a AS kept_id, dataset_id, count(*) AS members FROM near JOIN kept USING (a) GROUP BY 1, 2""")
-def vector_dedup_within(spark, sf):
+SELECT a AS kept_id, dataset_id, count(*) AS members FROM near JOIN kept USING (a) GROUP BY 1, 2"""
+
+
+def shifted(spark, sf) -> DataFrame:
+    """Every embedding four times: as it is, copied, and with two shifts of all components."""
     shift = F.array(*[F.struct(F.lit(k).alias("k"), F.lit(s).alias("s")) for k, s in enumerate((0.0, 0.0, 1e-5, 1e-2))])
-    every = table(spark, sf, "embeddings").select("*", F.inline(shift)).select(
+    return table(spark, sf, "embeddings").select("*", F.inline(shift)).select(
         ((F.col("label") + F.col("k")) % 10).cast("string").alias("dataset_id"),
         (F.col("vec_id") + F.col("k").cast("bigint") * 1000000000).alias("row_id"),
         F.transform(F.col("embedding").cast("array<double>"), lambda x: x + F.col("s")).alias("vector"),
     )
-    return vectors.dedup_within(every, 1e-3)
+
+
+@query("vector_dedup_within", DEDUP_WITHIN)
+def vector_dedup_within(spark, sf):
+    return vectors.dedup_within(shifted(spark, sf), 1e-3)
+
+
+@query("vector_dedup_lsh", DEDUP_WITHIN)
+def vector_dedup_lsh(spark, sf):
+    return vectors.dedup_lsh(shifted(spark, sf), 1e-3)
 
 
 def _bins(spark, sf) -> DataFrame:
@@ -124,12 +137,12 @@ def score_sql(points: str, tag: str = "") -> str:
 FRONTIER = f"{SHARES}, {frontier_sql('shares')}"
 
 
-def match_sql(tag: str, own: str, real: str, rounds: int = 10, max_bins: int = 400) -> str:
+def match_sql(tag: str, own: str, real: str, rounds: int = 10, max_bins: int = 400, seed: str = mauve.SEED) -> str:
     """CTE {tag}_score: the match of ``own`` (dataset_id, test_set, row_id, vector) with ``real`` (test_set, row_id, vector)."""
 
     def prepared(side: str) -> str:
         fixed = "CASE WHEN l > 0 THEN list_transform(vector, lambda x: floor(x / l * 1000000 + 0.5)) ELSE list_transform(vector, lambda x: 0.0::DOUBLE) END"
-        return f"{md5_sql(repr(side), 'row_id', seed=mauve.SEED)} AS key, '{side}' AS side, {fixed} AS v"
+        return f"{md5_sql(repr(side), 'row_id', seed=seed)} AS key, '{side}' AS side, {fixed} AS v"
 
     length = "(SELECT *, sqrt(list_inner_product(vector, vector)) AS l FROM {})"
     out = [f"""{tag}_p AS MATERIALIZED (SELECT dataset_id, test_set, {prepared("p")} FROM {length.format(own)}),
@@ -174,3 +187,53 @@ def mauve_embeddings(spark, sf):
     """Each embedding label against label 0."""
     v = embedded(spark, sf)
     return rounded(mauve.mauve(mauve.quantise(v.filter("dataset_id <> '0'"), v.filter("dataset_id = '0'"))))
+
+
+_BASE_SQL = """own AS (SELECT CAST(label AS VARCHAR) AS dataset_id, 0 AS test_set, vec_id AS row_id, CAST(embedding AS DOUBLE[]) AS vector FROM embeddings WHERE label <> 0),
+base AS (SELECT 0 AS test_set, vec_id AS row_id, CAST(embedding AS DOUBLE[]) AS vector FROM embeddings WHERE label = 0)"""
+_SEEDS = [mauve.SEED, f"{mauve.SEED}1", f"{mauve.SEED}2"]
+
+
+def _seeded_sql() -> str:
+    parts, tried = [], []
+    for i, seed in enumerate(_SEEDS):
+        parts.append(match_sql(f"s{i}", "own", "base", seed=seed))
+        tried.append(f"""SELECT dataset_id, {i} AS draw, any_value(mauve) AS mauve, sum(list_inner_product(v, v) + list_inner_product(c, c) - 2 * list_inner_product(v, c)) AS inertia
+  FROM s{i}_a10 JOIN s{i}_c10 USING (dataset_id, bin) JOIN s{i}_score USING (dataset_id) GROUP BY 1""")
+    return f"""WITH {_BASE_SQL}, {", ".join(parts)}, tried AS ({" UNION ALL ".join(tried)})
+SELECT dataset_id, round(arg_min(mauve, {{'i': inertia, 'd': draw}}), 6) AS mauve FROM tried GROUP BY 1"""
+
+
+@query("mauve_seedings", _seeded_sql())
+def mauve_seedings(spark, sf):
+    """The match from the best of three seedings."""
+    v = embedded(spark, sf)
+    return rounded(mauve.mauve(mauve.quantise(v.filter("dataset_id <> '0'"), v.filter("dataset_id = '0'"), seedings=len(_SEEDS))))
+
+
+@query("mauve_pca")
+def mauve_pca(spark, sf):
+    """The match in the principal axes that explain 90 % of the variance; tested against plain numpy."""
+    v = embedded(spark, sf)
+    return rounded(mauve.mauve(mauve.quantise(v.filter("dataset_id <> '0'"), v.filter("dataset_id = '0'"), explained=0.9, seedings=2)))
+
+
+@query("mauve_spectrum", f"""WITH {_BASE_SQL},
+f AS (SELECT *, sqrt(list_inner_product(vector, vector)) AS l FROM (SELECT dataset_id, row_id, vector FROM own UNION ALL
+  SELECT d, row_id, vector FROM base, (SELECT DISTINCT dataset_id AS d FROM own))),
+x AS MATERIALIZED (SELECT dataset_id, CASE WHEN l > 0 THEN list_transform(vector, lambda c: floor(c / l * 1000000 + 0.5)) ELSE vector END AS v FROM f),
+e AS (SELECT dataset_id, row_number() OVER () AS r, v FROM x),
+c AS MATERIALIZED (SELECT dataset_id, r, unnest(v) AS x, generate_subscripts(v, 1) AS i FROM e),
+m AS (SELECT dataset_id, i, avg(x) AS mean FROM c GROUP BY 1, 2),
+z AS MATERIALIZED (SELECT dataset_id, r, i, x - mean AS x FROM c JOIN m USING (dataset_id, i)),
+g AS (SELECT a.dataset_id, a.i, b.i AS j, sum(a.x * b.x) / count(*) AS v, count(*) AS n FROM z a JOIN z b ON a.dataset_id = b.dataset_id AND a.r = b.r GROUP BY 1, 2, 3)
+SELECT dataset_id, any_value(n) AS n, round(sum(v) FILTER (WHERE i = j) / 1e12, 6) AS variance, round(sqrt(sum(v * v)) / 1e12, 6) AS strength FROM g GROUP BY 1""")
+def mauve_spectrum(spark, sf):
+    """The spectrum of every dataset with its real set: the sum of its variances and the root of the sum of their squares."""
+    v = embedded(spark, sf)
+    blocks = mauve.Blocks(v.filter("dataset_id <> '0'"), v.filter("dataset_id = '0'"), 400, 8192, 16)
+    axes = stored(blocks.axes(0.9), "axes")
+    blocks.close()
+    total = F.aggregate("variances", F.lit(0.0), lambda acc, x: acc + x)
+    squares = F.aggregate("variances", F.lit(0.0), lambda acc, x: acc + x * x)
+    return rounded(axes.select("dataset_id", "n", (total / 1e12).alias("variance"), (F.sqrt(squares) / 1e12).alias("strength")))
