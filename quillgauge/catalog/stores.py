@@ -4,8 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from quillgauge.catalog.base import _STAND_INS, CONFIGS, DS, METRICS, datasets, metric_store, query, rounded, run_configs, table
+from quillgauge.catalog.base import (
+    _STAND_INS, CONFIGS, DS, METRICS, datasets, key_number_sql, md5_sql, metric_store, query, rounded, run_configs, table,
+)
 from quillgauge.operators import metrics
+from quillgauge.plans import settings, stages
 from quillgauge.sources import datasets as sources
 from quillgauge.sources import stores
 from quillgauge.session import scratch_path
@@ -166,3 +169,31 @@ def metric_plan(spark, sf):
     )
     done = metric_store(spark, sf).filter("position % 2 = 0").select(name.alias("dataset_id"), "metric")
     return metrics.metric_plan(planned, [*_PLANNED, "vendi_score"], done, exclude=("vendi_score",))
+
+
+CHAIN = """{"class": "Chain", "stages": [
+  {"class": "Normalise", "min_length": 20},
+  {"class": "Chain", "stages": [
+    {"class": "Generator", "parser": "numbered", "only_numbered": false},
+    {"class": "Rewrite", "probability": 0.5, "prefix": "again: "},
+    {"class": "Sample", "probability": 0.25, "seed": "thin"}]}]}"""
+
+
+@query("settings_chain", f"""WITH l AS (SELECT role AS dataset_id, conv_id * 1000 + turn AS request, string_split(text, chr(10)) AS lines
+  FROM conversations WHERE role IS NOT NULL AND length(coalesce(text, '')) >= 20),
+i AS (SELECT dataset_id, request, rtrim(regexp_replace(unnest(lines), '^[\\p{{N}}.: )]*', ''), ' ') AS text, unnest(range(len(lines))) AS i FROM l),
+n AS (SELECT *, row_number() OVER (PARTITION BY request ORDER BY i) - 1 AS answer_idx FROM i WHERE text <> ''),
+a AS (SELECT dataset_id, text, {key_number_sql(md5_sql("request", "answer_idx", seed="answer"), 15)} AS row_id FROM n)
+SELECT dataset_id, dataset_id AS label, CASE WHEN {key_number_sql(md5_sql("row_id", seed="rewrite"))} < {1 << 31} THEN 'again: ' || text ELSE text END AS text, 0 AS ran_again
+FROM a WHERE {key_number_sql(md5_sql("row_id", seed="thin"))} < {1 << 30}""")
+def settings_chain(spark, sf):
+    """A chain stored as settings: a generator and two converters, run, stored, and read again from what was stored."""
+    folder = scratch_path(spark, "chain")
+    chain = settings.read_chain(CHAIN)
+    keys, parts = [k for k, _ in chain], [s for _, s in chain]
+    said = table(spark, sf, "conversations").select(
+        F.col("role").alias("dataset_id"), (F.col("conv_id") * 1000 + F.col("turn")).alias("row_id"), "text", F.col("role").alias("label")
+    )
+    stages.run_stored(said, parts, folder, keys=keys)
+    again, ran = stages.run_stored(said, parts, folder, keys=[k for k, _ in settings.read_chain(CHAIN)])
+    return again.select("dataset_id", "label", "text").withColumn("ran_again", F.lit(len(ran)))

@@ -120,6 +120,16 @@ def extract_numbered_sql(spark, sf):
     )
 
 
+@query("extract_numbered_udtf", f"WITH {NUMBERED} SELECT * FROM numbered")
+def extract_numbered_udtf(spark, sf):
+    sql_functions.register(spark)
+    return spark.sql(
+        "SELECT r.request_id, r.label, cast(a.answer_idx AS bigint) AS answer_idx, a.answer AS text "
+        "FROM {said} r, LATERAL numbered_rows(coalesce(r.text, r.message.content), r.finish_reason) a",
+        said=numbered_responses(spark, sf),
+    )
+
+
 @query("extract_pairs", """WITH lined AS (SELECT doc_id AS request_id, doc_id % 4 = 0 AS cut, string_split(text, chr(10)) AS lines FROM documents),
 raws AS (SELECT request_id, cut, i, lines[i + 1] AS raw FROM (SELECT *, unnest(range(len(lines))) AS i FROM lined)),
 items AS (SELECT request_id, cut, i, CASE WHEN trim(raw, ' ') = '' THEN raw || '   ' WHEN regexp_matches(raw, '^[.: )]*$') THEN rtrim(raw, ' ')

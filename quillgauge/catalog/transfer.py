@@ -10,12 +10,12 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillgauge.catalog.base import CONFIGS, DS, GEN, REAL, WORDS_SQL, TOKENS_SQL, datasets, generated, query, real, rounded, run_configs, table
+from quillgauge.catalog.base import CONFIGS, DS, GEN, REAL, WORDS_SQL, TOKENS_SQL, datasets, generated, key_number_sql, query, real, rounded, run_configs, table
 from quillgauge.catalog.diversity import _STOP, _lemma_sql, rarefied_sql
 from quillgauge.catalog.rows import _KEY, PARTS
 from quillgauge.catalog.vectors import hash_sql, match_sql
 from quillgauge.functions.text import WHITESPACE, word_array
-from quillgauge.operators import classify, metrics, report, sampling
+from quillgauge.operators import classify, logistic, metrics, report, sampling
 from quillgauge.plans import evaluate
 from quillgauge.session import scratch_path
 from quillgauge.sources import stores
@@ -313,3 +313,38 @@ def lr_eval(spark, sf):
         F.array_max(vector_to_array("probability")).alias("confidence"),
     )
     return rounded(classify.transfer_scores(guesses, ["dataset_id"]))
+
+
+def logistic_sql(name: str, train: str, test: str, steps: int, rate: float = 4.0, penalty: float = 0.001, dim: int = 256) -> str:
+    """Predictions of logistic regression trained on (model, row_id, text, label), for test rows of the same models."""
+
+    def features(tag: str, rows: str) -> str:
+        return f"""{tag}_b AS (SELECT model, row_id, label, list_transform({WORDS_SQL}, lambda w: {key_number_sql("md5(w)")} % {dim}) AS b FROM {rows}),
+{tag}_c AS (SELECT model, row_id, j, CAST(count(*) AS DOUBLE) AS c FROM (SELECT model, row_id, unnest(b) AS j FROM {tag}_b) GROUP BY 1, 2, 3),
+{tag} AS MATERIALIZED (SELECT model, row_id, j, c / sqrt(sum(c * c) OVER (PARTITION BY model, row_id)) AS x FROM {tag}_c
+  UNION ALL SELECT model, row_id, {dim}, 1.0::DOUBLE FROM {tag}_b)"""
+
+    def scores(tag: str, rows: str, weights: str) -> str:
+        return f"""{tag}_s AS (SELECT model, row_id, class, sum(x * w) AS s FROM {rows} JOIN {weights} USING (model, j) GROUP BY 1, 2, 3),
+{tag} AS MATERIALIZED (SELECT model, row_id, class, exp(s - max(s) OVER r) / sum(exp(s - m)) OVER r AS p
+  FROM (SELECT *, max(s) OVER (PARTITION BY model, row_id) AS m FROM {tag}_s) WINDOW r AS (PARTITION BY model, row_id))"""
+
+    out = [f"""{features(f"{name}_x", train)}, {features(f"{name}_y", test)},
+{name}_n AS (SELECT model, count(*) AS n FROM {name}_x_b GROUP BY 1), {name}_k AS (SELECT DISTINCT model, label AS class FROM {name}_x_b),
+{name}_w0 AS MATERIALIZED (SELECT model, class, unnest(range({dim + 1})) AS j, 0.0::DOUBLE AS w FROM {name}_k)"""]
+    for i in range(steps):
+        out.append(f"""{scores(f"{name}_p{i}", f"{name}_x", f"{name}_w{i}")},
+{name}_g{i} AS (SELECT model, class, j, sum((p - CAST(label = class AS INTEGER)) * x) AS g FROM {name}_p{i} JOIN {name}_x USING (model, row_id) JOIN {name}_x_b USING (model, row_id) GROUP BY 1, 2, 3),
+{name}_w{i + 1} AS MATERIALIZED (SELECT model, class, j, w - {rate} * (coalesce(g, 0) / n + {penalty} * w) AS w FROM {name}_w{i} JOIN {name}_n USING (model) LEFT JOIN {name}_g{i} USING (model, class, j))""")
+    out.append(f"""{scores(f"{name}_q", f"{name}_y", f"{name}_w{steps}")},
+{name} AS (SELECT model, row_id, label, arg_min(class, {{'p': -round(p, 9), 'c': class}}) AS predicted, max(p) AS confidence FROM {name}_q JOIN {name}_y_b USING (model, row_id) GROUP BY 1, 2, 3)""")
+    return ",\n".join(out)
+
+
+@query("lr_folds", f"""WITH {GEN}, {folds_sql("gen")}, {logistic_sql("pred", "tr", "va", 6)}, {scores_sql("s", "pred")}
+SELECT {_RUN_KEY}, {_SCORES} FROM s""")
+def lr_folds(spark, sf):
+    """Logistic regression of every dataset and fold at once, judged on the fold's validation rows."""
+    folds = evaluate.make_folds(generated(spark, sf), real(spark, sf))
+    weights = logistic.train(folds.train, evaluate.KEY, steps=6)
+    return rounded(classify.transfer_scores(logistic.predict(weights, folds.valid, evaluate.KEY), evaluate.KEY))

@@ -19,9 +19,10 @@ _SENTENCE = r"""CASE
 
 
 def register(spark: SparkSession) -> list[str]:
-    """Create ``clean_text``, ``token_array``, ``numbered_lines`` and ``extract_numbered``; return their names.
+    """Create ``clean_text``, ``token_array``, ``numbered_lines``, ``extract_numbered`` and ``numbered_rows``; return their names.
 
-    ``extract_numbered(text, finish_reason)`` gives the sentences of a numbered list.
+    ``extract_numbered(text, finish_reason)`` gives the sentences of a numbered list, and the table function
+    ``numbered_rows(text, finish_reason)`` gives them as rows (answer_idx, answer), for a lateral join.
     """
     ws = WHITESPACE
     refusal = " OR ".join(f"contains(x, '{phrase}')" for phrase in EXCLUDED_PHRASES)
@@ -45,4 +46,8 @@ def register(spark: SparkSession) -> list[str]:
     # An answer that was cut for length loses its last sentence; the list is bound once as f.
     uncut = f"transform(array({found}), f -> if(reason <=> 'length', slice(f, 1, greatest(size(f) - 1, 0)), f))[0]"
     spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION extract_numbered(t STRING, reason STRING) RETURNS ARRAY<STRING> RETURN {uncut}")
-    return [*bodies, "extract_numbered"]
+    spark.sql(
+        "CREATE OR REPLACE TEMPORARY FUNCTION numbered_rows(t STRING, reason STRING) RETURNS TABLE (answer_idx INT, answer STRING) "
+        "RETURN SELECT pos, col FROM (SELECT extract_numbered(t, reason) AS found), LATERAL posexplode(found)"
+    )
+    return [*bodies, "extract_numbered", "numbered_rows"]

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillgauge.functions.keys import id_bucket, key_below, key_number, order_key
@@ -69,34 +69,33 @@ def fold_parts(df: DataFrame, n: int = 5, part: Sequence[str] = ("dataset_id",),
 
 
 def draw_indices(groups: DataFrame, key: Sequence[str], size: str, m: int, repetitions: int, seed: str) -> DataFrame:
-    """For each group and repetition, m of the numbers 0 … size−1 without replacement.
+    """For each group and repetition, exactly m of the numbers 0 … size−1 without replacement.
 
-    Equal draws are dropped and the first m different ones kept, which is a simple random sample
-    in random order. Groups up to 2·m in size rank all their numbers instead. Work depends on m
-    and the repetitions only, not on the size. Groups smaller than m yield nothing.
+    A row makes its own draws: 2·m + 64 numbers, of which the first m different ones count, a simple
+    random sample in random order. Groups up to 2·m in size rank all their numbers instead. Should fewer
+    than m of the draws differ, the lowest numbers not drawn follow, so a group never lacks any. Work and
+    memory depend on m, not on the size; nothing is shuffled but the groups. Groups smaller than m yield nothing.
     """
     small = F.col(size) <= 2 * m
-    tries = F.when(small, F.col(size)).otherwise(F.lit(2 * m + 64)).cast("bigint")
-    # A fixed partition count: the few rows here grow by the tries, which no size estimate sees.
+    # A fixed partition count: the few rows here grow by the draws, which no size estimate sees.
     spread = int(groups.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    drawn = (
+    rows = (
         groups.filter(F.col(size) >= m)
         .withColumn("repetition", F.explode(F.sequence(F.lit(0), F.lit(repetitions - 1)).cast("array<bigint>")))
         .repartition(spread, *key, "repetition")
-        .withColumn("__try", F.explode(F.sequence(F.lit(0).cast("bigint"), tries - 1)))
-        .withColumn("__key", order_key(*key, "repetition", "__try", seed=seed))
     )
-    wide = F.conv(F.substring("__key", 1, 15), 16, 10).cast("bigint")
-    picked = drawn.withColumn("__wide", wide).withColumn(
-        "index", F.when(small, F.col("__try")).otherwise(F.pmod("__wide", F.col(size)))
-    )
-    rank = F.when(small, F.col("__wide")).otherwise(F.col("__try"))
-    firsts = picked.groupBy(*key, "repetition", "index").agg(F.min(rank).alias("__rank"))
-    w = Window.partitionBy(*key, "repetition").orderBy("__rank", "index")
-    return (
-        firsts.withColumn("draw", F.row_number().over(w).cast("bigint"))
-        .filter(F.col("draw") <= m)
-        .drop("__rank")
+
+    def number(i: Column) -> Column:
+        return F.conv(F.substring(order_key(*key, "repetition", i, seed=seed), 1, 15), 16, 10).cast("bigint")
+
+    def upto(n: Column) -> Column:
+        return F.sequence(F.lit(0).cast("bigint"), n.cast("bigint") - 1)
+
+    ranked = F.transform(F.array_sort(F.transform(upto(F.col(size)), lambda i: F.struct(number(i).alias("at"), i.alias("i")))), lambda x: x["i"])
+    drawn = F.transform(upto(F.lit(2 * m + 64)), lambda i: F.pmod(number(i), F.col(size)))
+    picked = F.when(small, ranked).otherwise(F.array_distinct(F.concat(drawn, upto(F.lit(m)))))
+    return rows.select(*groups.columns, "repetition", F.posexplode(F.slice(picked, 1, m)).alias("draw", "index")).withColumn(
+        "draw", (F.col("draw") + 1).cast("bigint")
     )
 
 

@@ -5,7 +5,9 @@ from __future__ import annotations
 import hashlib
 import json
 from collections.abc import Callable, Mapping, Sequence
+from concurrent.futures import Future, ThreadPoolExecutor
 
+from pyspark import inheritable_thread_target
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -77,24 +79,63 @@ def longest_prefix_match(runs: DataFrame, run_id: str = "run", chain: str = "cha
 
 
 def run_grid(
-    df: DataFrame, chains: Mapping[str, Sequence[tuple[str, Stage]]], folder: str, source: str = "input"
+    df: DataFrame, chains: Mapping[str, Sequence[tuple[str, Stage]]], folder: str, source: str = "input", side_by_side: int = 4
 ) -> tuple[DataFrame, dict[str, list[int]]]:
     """Run many chains of (key, stage) on one input; a prefix that chains share is run once.
 
     ``source`` names the input, and equal keys must mean equal stages. Outputs are kept under
-    their prefix, so a grid that was cut short, or has grown, runs only what is missing. Returns the
-    manifest, which is also written to ``folder/manifest``, as (position, entry), and the numbers of
+    their prefix, so a grid that was cut short, or has grown, runs only what is missing. A stage
+    starts when the one before it is done, and up to ``side_by_side`` stages of different branches run at the same
+    time, each in a scheduler pool of its own name. A stage that fails ends the runs that need it and no others: those are
+    finished and in the manifest before ``GridError`` names the failed ones.
+
+    Returns the manifest, which is also written to ``folder/manifest``, as (position, entry), and the numbers of
     the stages that ran by run. An entry lists the outputs of a run from its first stage on.
     """
-    entries, ran = [], {}
-    for position, (run, chain) in enumerate(chains.items()):
+    spark = df.sparkSession
+    prefixes: dict[str, list[str]] = {}
+    nodes: dict[str, tuple[str | None, Stage, str, int]] = {}
+    for run, chain in chains.items():
         keys = [json.dumps([source, key]) if i == 0 else key for i, (key, _) in enumerate(chain)]
-        _, ran[run] = run_stored(df, [stage for _, stage in chain], folder, keys=keys)
-        paths = [stage_path(folder, keys[: i + 1]) for i in range(len(keys))]
-        entries.append((position, json.dumps({"settings": run, "datasets": paths})))
-    manifest = df.sparkSession.createDataFrame(entries, "position bigint, entry string")
+        prefixes[run] = [stage_path(folder, keys[: i + 1]) for i in range(len(keys))]
+        for i, path in enumerate(prefixes[run]):
+            nodes.setdefault(path, (prefixes[run][i - 1] if i else None, chain[i][1], run, i))
+    done: dict[str, Future] = {}
+
+    def work(path: str) -> bool:
+        before, stage, _, number = nodes[path]
+        if before is not None:
+            done[before].result()
+        if _finished(spark, path):
+            return False
+        spark.sparkContext.setLocalProperty("spark.scheduler.pool", f"stage-{number}-{path[-8:]}")
+        given = df if before is None else spark.read.parquet(before)
+        given.transform(stage).write.mode("overwrite").parquet(path)
+        return True
+
+    # Shorter prefixes come first, so what a waiting stage waits for has always started.
+    with ThreadPoolExecutor(max(1, side_by_side)) as pool:
+        for path in sorted(nodes, key=lambda p: nodes[p][3]):
+            done[path] = pool.submit(inheritable_thread_target(spark)(work), path)
+    failed = {run: next(e for e in map(Future.exception, map(done.get, paths)) if e) for run, paths in prefixes.items() if any(done[p].exception() for p in paths)}
+    ran: dict[str, list[int]] = {run: [] for run in chains}
+    for path, (_, _, run, number) in nodes.items():
+        if done[path].exception() is None and done[path].result():
+            ran[run].append(number)
+    entries = [(i, json.dumps({"settings": run, "datasets": prefixes[run]})) for i, run in enumerate(chains) if run not in failed]
+    manifest = spark.createDataFrame(entries, "position bigint, entry string")
     manifest.coalesce(1).write.mode("overwrite").parquet(f"{folder}/manifest")
-    return df.sparkSession.read.parquet(f"{folder}/manifest"), ran
+    if failed:
+        raise GridError(failed)
+    return spark.read.parquet(f"{folder}/manifest"), ran
+
+
+class GridError(RuntimeError):
+    """Runs of a grid that failed, with what failed in them, by name."""
+
+    def __init__(self, failed: dict[str, BaseException]):
+        super().__init__(f"failed runs: {', '.join(sorted(failed))}")
+        self.failed = failed
 
 
 def converter_chains(levels: Sequence[Column], skip_levels: bool = True) -> Column:

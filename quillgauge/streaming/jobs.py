@@ -6,10 +6,13 @@ folder; a batch's folder is overwritten when the batch is run again, so results
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pyspark.sql.types import StructType
 
 
@@ -61,6 +64,64 @@ def token_use(
     return latest(run_available(used, folder, "update"), ["window_start", "model"])
 
 
+def rolling_use(ts: np.ndarray, tokens: np.ndarray, width: int) -> np.ndarray:
+    """Tokens of the ``width`` microseconds up to each time, all rows of that time included; times rise."""
+    upto = np.concatenate([[0], np.cumsum(tokens)])
+    return upto[np.searchsorted(ts, ts, "right")] - upto[np.searchsorted(ts, ts - width, "right")]
+
+
+def token_budget(
+    usage: DataFrame,
+    folder: str,
+    tokens_per_minute: int = 30_000,
+    max_tokens: int = 1000,
+    late: str = "10 minutes",
+    slice_seconds: int = 600,
+) -> DataFrame:
+    """The batch ``token_budget`` on arriving rows (event_id, model, ts, tokens), exact for rows in any order within ``late``.
+
+    State is kept per model and slice of time, with the rows of the slice and those of the minute
+    before it, so a busy model is spread over tasks and a state is bounded by a slice. When the watermark has
+    passed a slice nothing can change it any more: its rows come out and its state is gone. Rows later
+    than the watermark allows are dropped; slices that the watermark has not passed stay in the state for the next run.
+    """
+    width, minute = slice_seconds * 1_000_000, 60_000_000
+    own = F.floor(F.col("at") / width)
+    timed = usage.withWatermark("ts", late).withColumn("at", F.unix_micros("ts"))
+    # A row counts in its own slice and, without coming out again, in all that its minute reaches.
+    reach = F.sequence(own, F.floor((F.col("at") + minute - 1) / width))
+    spread = timed.withColumn("slice", F.explode(reach)).withColumn("echo", F.col("slice") > own)
+    kept = ("at", "tokens", "event_id", "echo")
+
+    def close(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        model, number = key
+        held = [list(column) for column in state.get] if state.exists else [[] for _ in kept]
+        if state.hasTimedOut:
+            state.remove()
+            at, tokens, ids, echo = (np.array(column) for column in held)
+            order = np.argsort(at, kind="stable")
+            used = rolling_use(at[order], tokens[order], minute)
+            mine = ~echo[order].astype(bool)
+            yield pd.DataFrame({"event_id": ids[order][mine], "model": model, "ts": at[order][mine], "tokens": tokens[order][mine], "used": used[mine]})
+            return
+        for frame in frames:
+            for column, name in zip(held, kept, strict=True):
+                column += frame[name].tolist()
+        state.update(tuple(held))
+        state.setTimeoutTimestamp(max((int(number) + 1) * slice_seconds * 1000, state.getCurrentWatermarkMs() + 1))
+        yield from ()
+
+    done = spread.groupBy("model", "slice").applyInPandasWithState(
+        close,
+        "event_id bigint, model string, ts bigint, tokens bigint, used bigint",
+        "at array<bigint>, tokens array<bigint>, event_id array<bigint>, echo array<boolean>",
+        "append",
+        GroupStateTimeout.EventTimeTimeout,
+    )
+    free = F.lit(tokens_per_minute) - F.least(F.col("used"), F.lit(tokens_per_minute))
+    return run_available(done, folder, "append").drop("batch").withColumn("admitted", F.floor(free / max_tokens).cast("bigint"))
+
+
 def ingest(responses: DataFrame, answers: Column, keep: Sequence[str], folder: str) -> DataFrame:
     """Parsed answers of arriving responses; no state is kept."""
     rows = responses.select(*keep, F.posexplode(answers).alias("answer_idx", "text"))
