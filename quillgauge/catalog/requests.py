@@ -297,6 +297,33 @@ def rewrite_merge(spark, sf):
     return _merge(spark, sf, False)
 
 
+def _chain_sql() -> str:
+    """Two rewrites: each takes chosen rows in chunks and gives answers with ids that the next one can choose by."""
+
+    def level(n: int, flat: str, size: int, old: str, new: str) -> str:
+        key = md5_sql("dataset_id", "label", "chunk", "place", seed="answer")
+        return f"""p{n} AS (SELECT *, row_number() OVER (PARTITION BY dataset_id, label ORDER BY {md5_sql("row_id", seed="order")}, row_id) - 1 AS p FROM {flat} WHERE chosen),
+a{n} AS (SELECT dataset_id, label, p, p // {size} AS chunk, rtrim(regexp_replace(replace(text, '{old}', '{new}'), '^[\\p{{N}}.: )]*', ''), ' ') AS text FROM p{n}),
+n{n} AS (SELECT *, row_number() OVER (PARTITION BY dataset_id, label, chunk ORDER BY p) - 1 AS place FROM a{n} WHERE text <> ''),
+m{n} AS (SELECT dataset_id, label, row_id, text, 'unchosen' AS origin FROM {flat} WHERE NOT chosen
+  UNION ALL SELECT dataset_id, label, {key_number_sql(key, 15)}, text, 'answer' FROM n{n} WHERE length(text) > 0)"""
+
+    again = f"f2 AS (SELECT *, {key_number_sql(md5_sql('row_id', seed='again'))} < {1 << 31} AS chosen FROM m1)"
+    return f"WITH {FLAT}, {level(1, 'flat', 3, 'e', 'E')}, {again}, {level(2, 'f2', 2, 'o', 'O')} SELECT * FROM m2"
+
+
+@query("rewrite_chain", _chain_sql())
+def rewrite_chain(spark, sf):
+    """A dataset rewritten, and half of the outcome rewritten once more."""
+    rows = _flat(spark, sf)
+    for size, old, seed in ((3, "e", None), (2, "o", "again")):
+        rows = rows if seed is None else rewrite.mark_chosen(rows.drop("origin"), 0.5, seed)
+        requests = rewrite.numbered_chunks(rows.filter("chosen").drop("chosen"), size, shuffle_seed="order")
+        said = requests.withColumn("text", F.replace("block", F.lit(old), F.lit(old.upper())))
+        rows = rewrite.merge(rows, requests, said, extract.numbered_answers("text", F.lit("stop")), row_ids=True)
+    return rows
+
+
 @query("rewrite_extend", f"WITH {FLAT}, {chunks_sql(3)}, {_ANSWERS} SELECT * FROM merged UNION ALL SELECT dataset_id, label, text, 'original' FROM flat")
 def rewrite_extend(spark, sf):
     return _merge(spark, sf, True)

@@ -27,6 +27,11 @@ def key_number(key: Column | str) -> Column:
     return F.conv(F.substring(_col(key), 1, 8), 16, 10).cast("bigint")
 
 
+def key_id(*parts: Column | str, seed: str) -> Column:
+    """A row id out of parts that name a row: the first 60 bits of their key."""
+    return F.conv(F.substring(order_key(*parts, seed=seed), 1, 15), 16, 10).cast("bigint")
+
+
 def key_below(key: Column | str, probability: float) -> Column:
     """True with the given probability."""
     if probability >= 1:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillgauge.functions import prompts as P
-from quillgauge.functions.keys import key_below, order_key
+from quillgauge.functions.keys import key_below, key_id, order_key
 from quillgauge.operators.generate import numbered_block, prompt_counts
 from quillgauge.operators.ordering import number_by_hash, number_by_id
 from quillgauge.operators.sampling import pick_number
@@ -70,19 +70,24 @@ def merge(
     answers: Column,
     extend: bool = False,
     prepend: bool = False,
+    row_ids: bool = False,
 ) -> DataFrame:
     """The rewritten dataset: untouched rows plus the parsed answers, marked by ``origin``.
 
     ``extend`` keeps all originals as well, so untouched rows then appear twice. ``prepend`` puts
-    the original prefix before each answer. ``requests`` has (dataset, label, chunk, block).
+    the original prefix before each answer. ``requests`` has (dataset, label, chunk, block). With ``row_ids``
+    the result has a ``row_id`` and can be rewritten again: untouched rows keep theirs, an answer's is made of
+    its chunk and place, that of a kept original of its own.
     """
     keys = ["dataset_id", "label", "chunk"]
-    parsed = responses.select(*keys, F.explode(answers).alias("text")).filter(F.length("text") > 0)
+    parsed = responses.select(*keys, F.posexplode(answers).alias("place", "text")).filter(F.length("text") > 0)
     if prepend:
         parsed = parsed.join(requests, keys).withColumn("text", F.concat("block", "text"))
-    new = parsed.select("dataset_id", "label", "text", F.lit("answer").alias("origin"))
-    kept = df.filter(~F.col("chosen")).select("dataset_id", "label", "text", F.lit("unchosen").alias("origin"))
-    out = kept.unionByName(new)
-    if extend:
-        out = out.unionByName(df.select("dataset_id", "label", "text", F.lit("original").alias("origin")))
-    return out
+
+    def rows(part: DataFrame, origin: str, row_id: Column) -> DataFrame:
+        number = [row_id.cast("bigint").alias("row_id")] if row_ids else []
+        return part.select("dataset_id", "label", *number, "text", F.lit(origin).alias("origin"))
+
+    own = F.col("row_id")
+    out = rows(df.filter(~F.col("chosen")), "unchosen", own).unionByName(rows(parsed, "answer", key_id(*keys, "place", seed="answer")))
+    return out.unionByName(rows(df, "original", key_id("row_id", seed="original"))) if extend else out

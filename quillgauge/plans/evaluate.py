@@ -208,11 +208,11 @@ def evaluate_into(
 
     Only measures that a dataset lacks are taken, all of them with ``force``. Without real rows
     only diversity is measured, and a dataset with one label gets no transfer scores. New values win
-    over stored ones; the store is then written anew as its next generation, which readers see
+    over stored ones; the store is then written anew as its next issue, which readers see
     only when it is complete.
     """
     spark = datasets.sparkSession
-    store, generation = stores.read_store(spark, path)
+    store, issue = stores.read_store(spark, path)
     has_real = not real.isEmpty()
     every = datasets.unionByName(real.withColumn("dataset_id", F.lit("real")).select(*datasets.columns))
     sizes = every.groupBy("dataset_id", "label").count().groupBy("dataset_id").agg(
@@ -226,5 +226,5 @@ def evaluate_into(
     skipped = tuple(name for name in MEASURES if name not in needed)
     wanted = datasets.join(plan.select("dataset_id").distinct(), "dataset_id", "left_semi").select(*datasets.columns)
     scores = evaluate_all(wanted, real, n_runs, skipped, plan=plan)
-    stores.write_store(metrics.upsert(store, spread_rows(scores)), path, generation + 1)
+    stores.write_store(metrics.upsert(store, spread_rows(scores)), path, issue + 1)
     return stores.read_store(spark, path)[0]

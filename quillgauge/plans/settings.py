@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillgauge.functions import extract, text
-from quillgauge.functions.keys import order_key
+from quillgauge.functions.keys import key_id
 from quillgauge.operators import generate, rewrite, rows, sampling
 from quillgauge.plans.stages import Stage
 
@@ -59,8 +59,7 @@ def Generator(parser: str = "numbered", reason: str = "stop", **options) -> Stag
 
     def run(df: DataFrame) -> DataFrame:
         said = generate.ingest(df, answers, ["dataset_id", F.col("row_id").alias("request"), "label"])
-        number = F.conv(F.substring(order_key("request", "answer_idx", seed="answer"), 1, 15), 16, 10).cast("bigint")
-        return said.select("dataset_id", number.alias("row_id"), "text", "label")
+        return said.select("dataset_id", key_id("request", "answer_idx", seed="answer").alias("row_id"), "text", "label")
 
     return run
 

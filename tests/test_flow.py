@@ -269,12 +269,12 @@ def test_load_many_numbers_rows_by_file_and_place(spark, tmp_path):
     ]
 
 
-def test_store_generations(spark, tmp_path):
+def test_store_issues(spark, tmp_path):
     path = str(tmp_path / "store")
     empty, number = stores.read_store(spark, path)
     assert (empty.count(), number) == (0, 0)
-    for generation, value in ((1, 0.5), (2, 0.7)):
-        stores.write_store(spark.createDataFrame([("d", "m", value)], stores.STORE), path, generation)
+    for issue, value in ((1, 0.5), (2, 0.7)):
+        stores.write_store(spark.createDataFrame([("d", "m", value)], stores.STORE), path, issue)
     # Rows without an entry as complete are not part of the store.
     spark.createDataFrame([("d", "m", 9.0)], stores.STORE).write.parquet(f"{path}/data/torn")
     store, number = stores.read_store(spark, path)
