@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillgauge.operators import classify, diversity, mauve, metrics, rows, sampling, vectors
-from quillgauge.session import stored
+from quillgauge.session import spread, stored
 from quillgauge.sources import stores
 
 KEY = ("dataset_id", "run")
@@ -161,7 +161,7 @@ def evaluate_all(
     Measures are means over the folds' training parts with their published spread. The real set
     is judged by its first half against its second; its real-to-fake scores are its held-out ones.
     Against a real set with one label there are no transfer scores.
-    The folds are written once and every measure reads them from there. ``plan``
+    Folds and test rows are written once and every measure reads them from there. ``plan``
     (``dataset_id, metric``) names the measures to take of each dataset; the real set is ``real``.
     """
     if real.select("label").distinct().limit(2).count() < 2:
@@ -172,7 +172,8 @@ def evaluate_all(
     tests = real.withColumn("test_set", whole).unionByName(second.withColumn("test_set", half))
     folds = make_folds(judged, tests, n_runs)
     parts = stored(folds.train.unionByName(folds.valid), "folds", ("side",))
-    written = Folds(parts.filter("side = 'train'"), parts.filter("side = 'valid'"), folds.test)
+    sides = [spread(parts.filter(f"side = '{side}'"), "row_id") for side in ("train", "valid")]
+    written = Folds(*sides, spread(stored(folds.test, "tests"), "row_id"))
     folded = measure_folds(written, exclude, plan)
     summary = metrics.kfold_summary(folded).select(
         "dataset_id", "metric", F.col("mean").alias("value"), "std"
