@@ -2,11 +2,10 @@
 
 from __future__ import annotations
 
-import io
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
+from functools import reduce
 
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -34,59 +33,87 @@ def write_csv(df: DataFrame, path: str, partition_by: Sequence[str] = (), sep: s
     )
 
 
-def _chunks(content: bytes, names: list[str], sep: str, escape: str | None) -> Iterator[pd.DataFrame]:
-    """The values of a CSV file as strings, a bounded number of rows at a time."""
-    if content.strip():
-        yield from pd.read_csv(
-            io.BytesIO(content), sep=sep, header=0, names=names, index_col=False, dtype=str,
-            keep_default_na=False, na_values=[""], escapechar=escape, chunksize=5000,
-        )
+# Structure and escaped characters of a CSV text are written as this character and a letter. The
+# character itself is written so too, hence any text comes back as it was.
+_MARK = "\ufdd0"
+_RECORD, _FIELD, _QUOTED = _MARK + "r", _MARK + "f", _MARK + "q"
 
 
-def _survey(content: bytes, names: list[str], sep: str, escape: str | None) -> tuple[int, bool]:
-    """Rows (-1: malformed), and whether a value ends in an unpaired backslash."""
-    rows, dangling = 0, False
-    try:
-        for chunk in _chunks(content, names, sep, escape):
-            rows += len(chunk)
-            tails = chunk.stack().str.extract(r"(\\*)$")[0].str.len()
-            dangling = dangling or bool((tails % 2 == 1).any())
-    except pd.errors.ParserError:
-        return -1, False
-    return rows, dangling
+def _marked(text: Column, pairs: Sequence[tuple[str, str]]) -> Column:
+    return reduce(lambda t, pair: F.replace(t, F.lit(pair[0]), F.lit(pair[1])), pairs, text)
 
 
-def _escape_of(content: bytes, names: list[str], sep: str) -> str | None:
-    """Backslash, unless the file is malformed with it or loses rows to a backslash that ends a value."""
-    escaped, _ = _survey(content, names, sep, "\\")
-    plain, dangling = _survey(content, names, sep, None)
-    return None if escaped < 0 or (dangling and plain > escaped) else "\\"
+def _escapes(sep: str) -> list[tuple[str, str]]:
+    """A backslash and what follows it: pairs first, so that what is left over stands alone."""
+    return [("\\\\", _MARK + "b"), ('\\"', _MARK + "c"), ("\\" + sep, _MARK + "d"), ("\\\n", _MARK + "n"), ("\\\r", _MARK + "m"), ("\\", "")]
+
+
+def _records(parts: Column, sep: str) -> Column:
+    """The records of a CSV text cut at its quotes, as arrays of marked values; null where a quote is not closed.
+
+    The quoted parts are at the odd places. An empty part between two others outside of quotes is a
+    doubled quote; separators and line ends count outside only. ``parts`` is to be a column of its
+    own: every part asks for their number.
+    """
+    last = F.size(parts) - 1
+    structure = [("\r\n", _RECORD), ("\n", _RECORD), ("\r", _RECORD), (sep, _FIELD)]
+
+    def piece(part: Column, i: Column) -> Column:
+        doubled = (part == "") & (i > 0) & (i < last)
+        return F.when(i % 2 == 1, F.concat(F.lit(_QUOTED), part)).when(doubled, '"').otherwise(_marked(part, structure))
+
+    whole = F.array_join(F.transform(parts, piece), "")
+    filled = F.filter(F.split(whole, _RECORD, -1), lambda line: line != "")
+    return F.when(last % 2 == 0, F.transform(filled, lambda line: F.split(line, _FIELD, -1)))
+
+
+def _value(marked: Column, sep: str) -> Column:
+    plain = [(_QUOTED, ""), (_MARK + "b", "\\"), (_MARK + "c", '"'), (_MARK + "d", sep), (_MARK + "n", "\n"), (_MARK + "m", "\r"), (_MARK + "a", _MARK)]
+    return F.nullif(_marked(marked, plain), F.lit(""))
 
 
 def read_csv(spark: SparkSession, path: str | list[str], schema: str, sep: str = ",", origin: bool = False) -> DataFrame:
     """Read CSV whose backslashes escape the next character; an empty value is null, quoted or not.
 
-    Quotes inside values may be doubled or escaped. A file in which a value ends in an unpaired
-    backslash cannot have been written that way; its values are taken as they stand. A file that is
-    malformed both ways fails. Values with line breaks keep a file in one piece, so a dataset of
-    size should come in many files. With ``origin`` each row has its ``file`` and its place there, ``at``.
+    Quotes inside values may be doubled or escaped, also within one file, which Spark's own reader
+    cannot tell apart; so files come as whole texts and are cut up by column expressions. A file is
+    malformed if a quote is not closed or a record has more values than the schema. A file that is
+    malformed with escapes, or loses records to a backslash that ends a value, cannot have been
+    written that way; its values are taken as they stand. One that is malformed both ways fails.
+    Empty lines are passed over, missing values are null, the first record is the header.
+
+    Values with line breaks keep a file in one piece, so a dataset of size should come in many
+    files. With ``origin`` each row has its ``file`` and its place there, ``at``.
     """
     fields = T.StructType.fromDDL(schema)
-    names = fields.names
-
-    def parse(files: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in files:
-            for file, content in zip(batch["path"], batch["content"], strict=True):
-                at = 0
-                for chunk in _chunks(content, names, sep, _escape_of(content, names, sep)):
-                    values = chunk.astype(object).where(chunk.notna(), None)
-                    yield values.assign(file=file, at=range(at, at + len(values))) if origin else values
-                    at += len(values)
-
-    places = [T.StructField("file", T.StringType()), T.StructField("at", T.LongType())] if origin else []
-    text = T.StructType([T.StructField(n, T.StringType()) for n in names] + places)
-    values = spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(parse, text)
-    return values.select(*[F.col(f.name).cast(f.dataType) for f in fields], *[f.name for f in places])
+
+    def sound(records: Column) -> Column:
+        return F.coalesce(F.forall(records, lambda r: F.size(r) <= len(fields)), F.lit(False))
+
+    content = F.replace("value", F.lit(_MARK), F.lit(_MARK + "a"))
+    # Paths come percent-encoded, with a plus as itself.
+    file = F.url_decode(F.replace("_metadata.file_path", F.lit("+"), F.lit("%2B")))
+    texts = spark.read.text(path, wholetext=True).select(file.alias("file"), content.alias("content"))
+    # Escapes of an odd run at the very end of a text have nothing to escape.
+    torn = F.col("content").rlike(r"(?<!\\)(\\\\)*+\\\z")
+    cut = texts.select(
+        "file",
+        F.when(~torn, F.split(_marked(F.col("content"), _escapes(sep)), '"', -1)).alias("escaped"),
+        F.split("content", '"', -1).alias("plain"),
+    )
+    both = cut.select("file", *[_records(F.col(c), sep).alias(c) for c in ("escaped", "plain")])
+    ends = F.exists("plain", lambda r: F.exists(r, lambda v: v.rlike(r"(?<!\\)(\\\\)*+\\\z")))
+    loses = sound(F.col("plain")) & (F.size("plain") > F.size("escaped")) & ends
+    malformed = F.raise_error(F.concat(F.lit("malformed CSV: "), "file"))
+    chosen = (
+        F.when(sound(F.col("escaped")) & ~F.coalesce(loses, F.lit(False)), F.col("escaped"))
+        .when(sound(F.col("plain")), F.col("plain"))
+        .otherwise(malformed.cast("array<array<string>>"))
+    )
+    rows = both.select("file", F.posexplode(chosen).alias("at", "record")).filter(F.col("at") > 0)
+    values = [_value(F.get("record", F.lit(i)), sep).cast(f.dataType).alias(f.name) for i, f in enumerate(fields)]
+    places = ["file", (F.col("at") - 1).cast("bigint").alias("at")] if origin else []
+    return rows.select(*values, *places)
 
 
 def load(spark: SparkSession, path: str | list[str], dual: bool = False) -> DataFrame:

@@ -32,6 +32,34 @@ def test_csv_round_trip_and_foreign_files(spark, tmp_path):
     assert {r["text"] for r in sources.load(spark, str(escaped)).collect()} == {'a\\b, "q"', "plain"}
 
 
+def test_csv_marks_line_ends_and_malformed_files(spark, tmp_path):
+    odd = ["﷐", "﷐r﷐f", 'x﷐"', "\\\\\\", 'q""', '"', ",", "\n", "\r", "a\\,b", "é\\é"]
+    df = spark.createDataFrame([(i, t, None) for i, t in enumerate(odd)], "row_id int, text string, label string")
+    path = str(tmp_path / "odd")
+    sources.write_csv(df, path)
+    back = sources.read_csv(spark, path, "row_id int, text string, label string").orderBy("row_id").collect()
+    assert [r["text"] for r in back] == odd and {r["label"] for r in back} == {None}
+    mixed = tmp_path / "mixed.csv"
+    mixed.write_bytes('text;label\r\n"a ""b"" and \\"c\\"";x\r\n\r\nd\\;e\\\\;y\r\n"";\r\nshort'.encode())
+    got = sources.read_csv(spark, str(mixed), "text string, label string", sep=";", origin=True).orderBy("at").collect()
+    assert [(r["text"], r["label"], r["at"]) for r in got] == [('a "b" and "c"', "x", 0), ("d;e\\", "y", 1), (None, None, 2), ("short", None, 3)]
+    for name, content in (("empty", ""), ("header", "text,label\n")):
+        (tmp_path / name).write_text(content)
+        assert sources.read_csv(spark, str(tmp_path / name), "text string, label string").collect() == []
+    for name, content in (("open", 'text,label\n"a,b\n'), ("wide", "text,label\na,b,c\n")):
+        (tmp_path / name).write_text(content)
+        with pytest.raises(Exception, match="malformed CSV"):
+            sources.read_csv(spark, str(tmp_path / name), "text string, label string").collect()
+    spaced = tmp_path / "a b%20c=d+e"
+    spaced.mkdir()
+    for part in "12":
+        (spaced / f"{part}.csv").write_text(f"text,label\nrow {part},x\nmore {part},x\n")
+    loaded = sources.load_many(spark, [str(spaced)]).orderBy("row_id").collect()
+    assert [(r["dataset_id"], r["row_id"], r["text"]) for r in loaded] == [(str(spaced), i, t) for i, t in enumerate(["row 1", "more 1", "row 2", "more 2"])]
+    plan = sources.read_csv(spark, path, "row_id int, text string")._jdf.queryExecution().toString()
+    assert "Pandas" not in plan and "binaryFile" not in plan
+
+
 def test_source_layouts(spark):
     news = spark.createDataFrame([(1, "A (AP)"), (4, "Bee"), (2, "x)")], "`Class Index` int, Title string")
     assert {(r["text"], r["label"]) for r in sources.news(news, "Class Index", "Title").collect()} == {("A ", "World"), ("Bee", "Sci/Tech")}
