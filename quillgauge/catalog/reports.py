@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from quillgauge.catalog.base import CONFIGS, EXPERIMENTS, METRICS, experiments, metric_store, query, real, real_store, rounded, run_configs, table
-from quillgauge.operators import report
+from quillgauge.operators import metrics, report
 from quillgauge.operators.rows import first_wins
 from quillgauge.session import scratch_path
 from quillgauge.sources import stores
@@ -191,6 +191,51 @@ def leaderboard(spark, sf):
     return rounded(report.leaderboard(boards, own))
 
 
+@query("leaderboard_metrics", f"""WITH {_SCORED}, n AS (SELECT DISTINCT metric FROM store),
+g AS (SELECT model, row_number() OVER (ORDER BY min(position)) - 1 AS generator FROM configs GROUP BY 1),
+c AS (SELECT task, dataset_id, position, unnest({_CHAIN}) AS member, generate_subscripts({_CHAIN}, 1) AS place FROM configs),
+i AS (SELECT member, row_number() OVER (ORDER BY min(position * 65536 + place)) - 1 AS id FROM c GROUP BY 1),
+h AS (SELECT task, dataset_id, string_agg(CAST(id AS VARCHAR), '>' ORDER BY place) AS converters FROM c JOIN i USING (member) GROUP BY 1, 2),
+d AS (SELECT task, dataset_id, row_number() OVER (ORDER BY round(y, 9) DESC, task || '/' || dataset_id) AS rank, generator FROM configs JOIN y USING (task, position) JOIN g USING (model))
+SELECT 0 AS rank, 'real' AS dataset_id, '-' AS generator, '-' AS converters, n.metric, round(coalesce(r.value, 0), 6) AS value
+FROM n LEFT JOIN (SELECT metric, avg(value) AS value FROM real_store GROUP BY 1) r USING (metric)
+UNION ALL SELECT rank, d.task || '/' || d.dataset_id, CAST(generator AS VARCHAR), converters, n.metric, round(coalesce(s.value, 0), 6)
+FROM d JOIN h USING (task, dataset_id), n LEFT JOIN store s ON s.task = d.task AND s.dataset_id = d.dataset_id AND s.metric = n.metric""")
+def leaderboard_metrics(spark, sf):
+    """The leaderboard with converter numbers and all metrics, one row per metric."""
+    scored, key = _scored(spark, sf), ["task", "dataset_id"]
+    generators = first_wins(scored.select("model", "position"), ["model"]).select("model", F.col("first_id").cast("string").alias("generator"))
+    chains = report.chain_ids(scored.withColumn("chain", _chain()), key)
+    name = F.concat_ws("/", "task", "dataset_id").alias("dataset_id")
+    boards = scored.join(generators, "model").join(chains, key).select(
+        name, F.round("y", 9).alias("y"), "generator", F.concat_ws(">", F.col("ids").cast("array<string>")).alias("converters")
+    )
+    of_real = real_store(spark, sf).groupBy("metric").agg(F.avg("value").alias("value")).withColumn("dataset_id", F.lit("real"))
+    own = of_real.filter("metric = 'finetune_temporal_fake_to_real.accuracy'").select(
+        "dataset_id", F.col("value").alias("y"), F.lit("-").alias("generator"), F.lit("-").alias("converters")
+    )
+    every = metric_store(spark, sf).select(name, "metric", "value").unionByName(of_real)
+    board = report.leaderboard(boards, own, every)
+    return rounded(board.select("rank", "dataset_id", "generator", "converters", F.explode("metrics").alias("metric", "value")))
+
+
+@query("evaluation_folder", f"WITH {EXPERIMENTS} SELECT task, position, {_VALUES}, {_SETTINGS} FROM experiments")
+def evaluation_folder(spark, sf):
+    """Settings, shards and real metrics written as a folder; the experiment table read back from it."""
+    path = scratch_path(spark, "evaluations")
+    stores.write_evaluations(settings_json(spark, sf), metric_store(spark, sf), real_store(spark, sf), path)
+    settings, store, own = stores.read_evaluations(spark, path)
+    return rounded(report.experiment_table(store, report.run_flags(stores.parse_settings(settings)), own))
+
+
+@query("results_missing", f"""WITH {CONFIGS}, {METRICS} SELECT task, position FROM configs WHERE (task, position) NOT IN (SELECT (task, position) FROM store WHERE metric = 'mauve')
+UNION ALL SELECT DISTINCT task, -1::BIGINT FROM configs WHERE task NOT IN (SELECT task FROM real_store WHERE value >= 0.9)""")
+def results_missing(spark, sf):
+    """Runs without the match, and tasks whose real set has no measure of 0.9 or more."""
+    store = metric_store(spark, sf).filter("metric = 'mauve'")
+    return metrics.results_missing(run_configs(spark, sf), store, real_store(spark, sf).filter("value >= 0.9"))
+
+
 @query("common_prefix", """WITH p AS (SELECT regexp_extract(url, '^([a-z]+)://', 1) AS scheme, regexp_extract(url, '^[a-z]+://([^/?#]+)', 1) AS host, url FROM pages),
 e AS (SELECT *, unnest(range(1, length(url) + 1)) AS i FROM p),
 c AS (SELECT scheme, host, i, count(*) AS k, count(DISTINCT substr(url, 1, i)) AS d, min(substr(url, 1, i)) AS pre FROM e GROUP BY GROUPING SETS ((scheme, i), (scheme, host, i))),

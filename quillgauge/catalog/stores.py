@@ -135,7 +135,7 @@ def metric_gaps(spark, sf):
 SELECT r.task, r.dataset_id, k.metric, round(coalesce(s.value, 0), 6) AS value FROM (SELECT DISTINCT task, dataset_id FROM store) r, k LEFT JOIN store s
 ON s.task = r.task AND s.dataset_id = r.dataset_id AND s.metric = k.metric""")
 def metric_matrix(spark, sf):
-    wide = metrics.dense_matrix(metric_store(spark, sf), key=["task", "dataset_id"])
+    wide = metrics.dense_matrix(metric_store(spark, sf), key=["task", "dataset_id"], names=list(_STAND_INS))
     return rounded(metrics.wide_to_long(wide, ["task", "dataset_id"]))
 
 

@@ -89,7 +89,40 @@ def kfold_summary(folds: DataFrame, key: Sequence[str] = ("dataset_id", "metric"
     )
 
 
-def dense_matrix(store: DataFrame, fill: float = 0.0, key: Sequence[str] = ("dataset_id",)) -> DataFrame:
-    """Every dataset with every metric name; missing values take ``fill``."""
-    wide = store.groupBy(*key).pivot("metric").agg(F.first("value"))
+def results_missing(expected: DataFrame, store: DataFrame, real: DataFrame | None, task: str = "task") -> DataFrame:
+    """(task, position) without any stored metric; position -1 is the real set of a task.
+
+    With ``real`` None no real metrics are demanded.
+    """
+    runs = gaps(expected.select(task, "position"), store, [task, "position"])
+    if real is None:
+        return runs
+    tasks = expected.select(task).distinct().withColumn("position", F.lit(-1).cast("bigint"))
+    return runs.unionByName(gaps(tasks, real, [task]))
+
+
+def dense_matrix(
+    store: DataFrame, fill: float = 0.0, key: Sequence[str] = ("dataset_id",), names: Sequence[str] | None = None
+) -> DataFrame:
+    """Every dataset with a column per metric name; missing values take ``fill``.
+
+    Columns must be known before a query runs: without ``names`` the store is read once for them.
+    """
+    wide = store.groupBy(*key).pivot("metric", list(names) if names is not None else None).agg(F.first("value"))
     return wide.fillna(fill)
+
+
+def dense_maps(
+    store: DataFrame, fill: float = 0.0, key: Sequence[str] = ("dataset_id",), every: DataFrame | None = None
+) -> DataFrame:
+    """(key, metrics): a map with every metric name of the store; missing values take ``fill``.
+
+    ``every`` lists the datasets, also those without a stored metric. The names are a subquery of the same job, so nothing runs beforehand.
+    """
+    names = store.agg(F.array_sort(F.collect_set("metric")).alias("names"))
+    pairs = store.groupBy(*key, "metric").agg(F.max("value").alias("value"))
+    own = pairs.groupBy(*key).agg(F.map_from_entries(F.collect_list(F.struct("metric", "value"))).alias("own"))
+    listed = own if every is None else every.select(*key).distinct().join(own, list(key), "left")
+    named = listed.withColumn("names", names.scalar())
+    filled = F.transform("names", lambda name: F.struct(name, F.coalesce(F.try_element_at("own", name), F.lit(fill))))
+    return named.select(*key, F.map_from_entries(filled).alias("metrics"))

@@ -60,6 +60,43 @@ def test_csv_marks_line_ends_and_malformed_files(spark, tmp_path):
     assert "Pandas" not in plan and "binaryFile" not in plan
 
 
+def test_leaderboard_with_all_metrics(spark):
+    runs = spark.createDataFrame(
+        [("a", 1, ["x", "y"]), ("b", 2, ["y", "z", "y"]), ("c", 3, [])], "dataset_id string, position bigint, chain array<string>"
+    )
+    ids = {r["dataset_id"]: r["ids"] for r in report.chain_ids(runs, ["dataset_id"]).collect()}
+    assert ids == {"a": [0, 1], "b": [1, 2, 1], "c": []}
+    rows = [("a", 0.5), ("b", 0.5), ("c", None), ("d", float("nan")), ("e", 0.75), ("f", -3.0)]
+    boards = spark.createDataFrame(rows, "dataset_id string, y double")
+    own = spark.createDataFrame([("real", 0.9)], "dataset_id string, y double")
+    store = spark.createDataFrame([("a", "m", 1.0), ("a", "n", 2.0), ("real", "k", 3.0), ("b", "m", 4.0)], "dataset_id string, metric string, value double")
+    got = {r["dataset_id"]: (r["rank"], r["metrics"]) for r in report.leaderboard(boards, own, store).collect()}
+    assert [d for d, _ in sorted(got.items(), key=lambda x: x[1][0])] == ["real", "e", "a", "b", "f", "c", "d"]
+    assert got["a"][1] == {"k": 0.0, "m": 1.0, "n": 2.0} and got["real"][1] == {"k": 3.0, "m": 0.0, "n": 0.0}
+    assert got["e"][1] == {"k": 0.0, "m": 0.0, "n": 0.0}
+    empty = report.leaderboard(boards.limit(0), own, store.limit(0)).collect()
+    assert [(r["dataset_id"], r["rank"]) for r in empty] == [("real", 0)]
+
+
+def test_evaluation_folder_of_named_files(spark, tmp_path):
+    task = tmp_path / "all runs" / "sst"
+    (task / "pipelines").mkdir(parents=True)
+    (task / "results").mkdir()
+    for i, model in enumerate(["ada", "curie"]):
+        generator = {"class": "Generator", "prompts": {"prompts": {"pos": ["Write."]}}, "querier": {"model": model, "temperature": 0.7, "top_p": 1}}
+        (task / "pipelines" / f"pipeline_{i}.json").write_text(json.dumps({"class": "Pipeline", "generator": generator}, indent=2))
+    (task / "results" / "list_dict_metrics_0-1.json").write_text(json.dumps([{"mauve": 0.5, "name": "x"}, {"mauve": 0.25}], indent=2))
+    (task / "results" / "dict_real_metrics.json").write_text(json.dumps({"mauve": 1.0}))
+    settings, store, real = stores.read_evaluations(spark, str(tmp_path / "all runs"))
+    got = report.experiment_table(store, report.run_flags(stores.parse_settings(settings)), real).collect()
+    assert {(r["task"], r["position"], r["model"], r["conformity"]) for r in got} == {("sst", 0, "ada", 0.5), ("sst", 1, "curie", 0.25), ("sst", -1, "real", 1.0)}
+    expected = settings.select("task", "position")
+    assert metrics.results_missing(expected, store, real).count() == 0
+    missing = metrics.results_missing(expected, store.filter("position = 1"), real.limit(0)).collect()
+    assert {tuple(r) for r in missing} == {("sst", 0), ("sst", -1)}
+    assert metrics.results_missing(expected, store, None).count() == 0
+
+
 def test_source_layouts(spark):
     news = spark.createDataFrame([(1, "A (AP)"), (4, "Bee"), (2, "x)")], "`Class Index` int, Title string")
     assert {(r["text"], r["label"]) for r in sources.news(news, "Class Index", "Title").collect()} == {("A ", "World"), ("Bee", "Sci/Tech")}
