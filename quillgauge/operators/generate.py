@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from quillgauge.functions import extract
 from quillgauge.functions import prompts as P
-from quillgauge.operators.ordering import number_by_id
+from quillgauge.operators.ordering import number_by_id, number_rows
 from quillgauge.operators.sampling import draw_indices, pick_number
 from quillgauge.session import stored
 
@@ -71,11 +71,15 @@ def prompt_counts(prompts: DataFrame) -> DataFrame:
 
 
 def pick_prompts(requests: DataFrame, prompts: DataFrame, request_id: str = "request_id", seed: str = "pick") -> DataFrame:
-    """A random prompt of the request's label; a request without label draws the label first."""
+    """A random prompt of the request's label; a request without label draws the label first.
+
+    Labels are numbered in slices of their first character, their count is a subquery.
+    """
     labels = prompts.select("label").distinct()
-    codes = labels.withColumn("__code", F.dense_rank().over(Window.orderBy("label")) - 1)
-    n_labels = codes.count()
-    code = pick_number(request_id, size=F.lit(n_labels), seed=f"{seed}-label")
+    codes = number_rows(labels, [], ["label"], F.ascii("label").cast("bigint"), name="__code")
+    codes = codes.select("label", (F.col("__code") - 1).alias("__code"))
+    n_labels = labels.agg(F.count(F.lit(1)).alias("n")).scalar()
+    code = pick_number(request_id, size=n_labels, seed=f"{seed}-label")
     labelled = (
         requests.withColumn("__code", code)
         .join(codes.withColumnRenamed("label", "__label"), "__code")

@@ -49,17 +49,19 @@ def run_level(
 
     ``prompts`` holds (label, prompt_idx, template) with the slot ``{{answer}}``; each request draws
     one of its label's. With ``messages`` the prompt continues that chat instead: messages so far,
-    the answer, the new prompt. A request without a recorded response stays, with a null answer.
+    the answer, the new prompt. A request without a recorded response stays, with a null answer, and
+    so does one whose label has no prompt, with null messages.
     """
-    sized = previous.join(prompt_counts(prompts), "label")
+    sized = previous.join(prompt_counts(prompts), "label", "left")
     drawn = sized.withColumn("prompt_idx", pick_number(*key, size=F.col("n_prompts"), seed=seed)).drop("n_prompts")
-    named = drawn.join(prompts, ["label", "prompt_idx"]).drop("prompt_idx")
+    named = drawn.join(prompts, ["label", "prompt_idx"], "left").drop("prompt_idx")
+    has_prompt = F.col("template").isNotNull()
     if messages is None:
         text = P.render("template", F.create_map(F.lit("answer"), F.col(answer)))
-        asked = named.withColumn("messages", P.chat_from_text(text))
+        asked = named.withColumn("messages", F.when(has_prompt, P.chat_from_text(text)))
     else:
         reply = P.message(answer, F.lit("assistant"))
-        asked = named.withColumn("messages", P.extend_chat(messages, reply, "template"))
+        asked = named.withColumn("messages", F.when(has_prompt, P.extend_chat(messages, reply, "template")))
     return asked.drop("template", answer).join(log, key, "left")
 
 

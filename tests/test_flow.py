@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quillgauge.functions import extract, sql_functions
+from quillgauge.functions.keys import key_number, order_key
 from quillgauge.operators import generate, metrics, report, rewrite
 from quillgauge.plans import evaluate, stages
 from quillgauge.session import scratch_path
@@ -97,6 +98,27 @@ def test_evaluation_folder_of_named_files(spark, tmp_path):
     assert metrics.results_missing(expected, store, None).count() == 0
 
 
+def test_level_keeps_rows_whose_label_has_no_prompt(spark):
+    rows = spark.createDataFrame([(1, "a", "one"), (2, "b", "two"), (3, None, "three")], "row_id int, label string, answer string")
+    prompts = spark.createDataFrame([("a", 0, "Again: {{answer}}")], "label string, prompt_idx bigint, template string")
+    log = spark.createDataFrame([(1, "uno"), (2, "dos")], "row_id int, answer string")
+    first = rewrite.run_level(rows, prompts, log, ["row_id"])
+    got = {r["row_id"]: (r["messages"] and r["messages"][-1]["content"], r["answer"]) for r in first.collect()}
+    assert got == {1: ("Again: one", "uno"), 2: (None, "dos"), 3: (None, None)}
+    second = rewrite.run_level(first, prompts, log, ["row_id"], messages="messages").collect()
+    assert {r["row_id"]: r["messages"] and len(r["messages"]) for r in second} == {1: 4, 2: None, 3: None}
+
+
+def test_labels_are_drawn_in_their_order(spark):
+    names = ["b", "ba", "", "é", "a", "𝄞"]
+    prompts = spark.createDataFrame([(n, 0, n) for n in names], "label string, prompt_idx bigint, template string")
+    free = spark.range(300).select(F.col("id").alias("request_id"), F.lit(None).cast("string").alias("label"))
+    got = {r["request_id"]: r["label"] for r in generate.pick_prompts(free, prompts).collect()}
+    code = F.pmod(key_number(order_key("request_id", seed="pick-label")), F.lit(len(names)))
+    want = {r["request_id"]: sorted(names)[r["c"]] for r in free.select("request_id", code.alias("c")).collect()}
+    assert got == want and set(got.values()) == set(names)
+
+
 def test_source_layouts(spark):
     news = spark.createDataFrame([(1, "A (AP)"), (4, "Bee"), (2, "x)")], "`Class Index` int, Title string")
     assert {(r["text"], r["label"]) for r in sources.news(news, "Class Index", "Title").collect()} == {("A ", "World"), ("Bee", "Sci/Tech")}
