@@ -174,19 +174,19 @@ def leaderboard(spark, sf):
     docs = table(spark, sf, "documents").groupBy(F.col("lang").alias("task"), F.col("source").alias("dataset_id")).agg(F.count(F.lit(1)).alias("size"))
     located = scored.join(docs, ["task", "dataset_id"]).join(generators, "model")
     root = F.concat(F.lit("sets/generated/"), "task", F.lit("/run"), F.col("position").cast("string"))
-    prefix = report.common_prefix(located.withColumn("path", root), "path").first()["prefix"]
+    prefix = report.common_prefix(located.withColumn("path", root), "path").select(F.length("prefix")).scalar()
     boards = located.select(
         F.concat_ws("/", "task", "dataset_id").alias("dataset_id"),
         F.round("y", 9).alias("y"),
         "size",
         "generator",
         F.concat_ws(">", _chain()).alias("converters"),
-        F.substring(root, F.lit(len(prefix) + 1), F.length(root)).alias("location"),
+        F.substring(root, prefix + 1, F.length(root)).alias("location"),
     )
     dash = F.lit("-")
-    score = real_store(spark, sf).filter("metric = 'finetune_temporal_fake_to_real.accuracy'").agg(F.avg("value")).first()[0]
+    score = real_store(spark, sf).filter("metric = 'finetune_temporal_fake_to_real.accuracy'").agg(F.avg("value")).scalar()
     own = real(spark, sf).agg(F.count(F.lit(1)).alias("size")).select(
-        F.lit("real").alias("dataset_id"), F.lit(score).alias("y"), "size", dash.alias("generator"), dash.alias("converters"), dash.alias("location")
+        F.lit("real").alias("dataset_id"), score.alias("y"), "size", dash.alias("generator"), dash.alias("converters"), dash.alias("location")
     )
     return rounded(report.leaderboard(boards, own))
 

@@ -52,6 +52,23 @@ def features_roundtrip(spark, sf):
     return back.select("dataset_id", "row_id", F.size("tokens").cast("bigint").alias("n_tokens"), F.md5("text").alias("digest"))
 
 
+@query("features_vectors", """SELECT source AS dataset_id, doc_id AS row_id, len(string_split(text, ' ')) AS n_tokens, len(embedding) AS dim,
+round(CAST(embedding[1] AS DOUBLE), 6) AS head, round(list_sum(list_transform(embedding, lambda x: CAST(x AS DOUBLE) * x)), 4) AS norm2
+FROM documents LEFT JOIN embeddings ON vec_id = doc_id""")
+def features_vectors(spark, sf):
+    """Tokens and vectors stored beside the rows and read back; rows without a vector stay."""
+    path = scratch_path(spark, "features")
+    vectors = table(spark, sf, "embeddings").select(F.col("vec_id").alias("row_id"), F.col("embedding").alias("vector"))
+    featured = datasets(spark, sf).withColumn("tokens", F.split("text", " ", -1)).join(vectors, "row_id", "left")
+    sources.write_features(featured, path)
+    vector, square = F.col("vector"), F.aggregate("vector", F.lit(0.0), lambda t, x: t + x.cast("double") * x)
+    return sources.read_features(spark, path).select(
+        "dataset_id", "row_id", F.size("tokens").cast("bigint").alias("n_tokens"),
+        F.when(vector.isNotNull(), F.size(vector)).cast("bigint").alias("dim"),
+        F.round(F.get(vector, F.lit(0)).cast("double"), 6).alias("head"), F.round(square, 4).alias("norm2"),
+    )
+
+
 @query("norm_news", """WITH t AS (SELECT doc_id, n_chars % 4 + 1 AS class, text || CASE doc_id % 3 WHEN 0 THEN ' (' || lang || ')' WHEN 1 THEN ')' ELSE '' END AS title FROM documents),
 c AS (SELECT doc_id, ['World', 'Sports', 'Business', 'Sci/Tech'][class] AS label, CASE WHEN ends_with(title, ')') THEN regexp_extract(title, '^(.*)\\(', 1, 's') ELSE title END AS text FROM t)
 SELECT * FROM c WHERE length(text) >= 2""")
