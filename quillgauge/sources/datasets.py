@@ -80,7 +80,8 @@ def read_csv(spark: SparkSession, path: str | list[str], schema: str, sep: str =
     malformed if a quote is not closed or a record has more values than the schema. A file that is
     malformed with escapes, or loses records to a backslash that ends a value, cannot have been
     written that way; its values are taken as they stand. One that is malformed both ways fails.
-    Empty lines are passed over, missing values are null, the first record is the header.
+    A quote always begins or ends quoting, also within an unquoted value, which writers never leave
+    so. Empty lines are passed over, missing values are null, the first record is the header.
 
     Values with line breaks keep a file in one piece, so a dataset of size should come in many
     files. With ``origin`` each row has its ``file`` and its place there, ``at``.
