@@ -12,7 +12,8 @@ from quillgauge.streaming import jobs
 
 
 def _stream(spark, sf, name: str):
-    return jobs.file_stream(spark, sf, table(spark, sf, name).schema, f"{name}.parquet")
+    # A table is a file or a folder of files; a stream takes a single file only by a pattern.
+    return jobs.file_stream(spark, sf, table(spark, sf, name).schema, f"{name}.[p]arquet")
 
 
 @query("stream_token_use", """WITH e AS (SELECT event_type AS model, ts, CAST(floor(value * 100) AS BIGINT) AS tokens, epoch_us(ts) // 10000000 AS s FROM events),

@@ -17,12 +17,8 @@ from pyspark.sql.types import StructType
 
 
 def file_stream(spark: SparkSession, folder: str, schema: StructType, pattern: str, files_per_batch: int = 1000) -> DataFrame:
-    return (
-        spark.readStream.schema(schema)
-        .option("pathGlobFilter", pattern)
-        .option("maxFilesPerTrigger", files_per_batch)
-        .parquet(folder)
-    )
+    """The files of a folder whose names fit the pattern, and those within folders whose names do."""
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(f"{folder}/{pattern}")
 
 
 def run_available(stream: DataFrame, folder: str, mode: str, change: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
