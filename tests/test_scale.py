@@ -1,6 +1,10 @@
 """What a larger table brings: folders of files, many chunks, many vectors close by chance."""
 
+import numpy as np
+from pyspark.sql import functions as F
+
 from quillgauge.catalog import streams
+from quillgauge.operators import classify, mauve, vectors
 from quillgauge.streaming import jobs
 
 
@@ -11,3 +15,17 @@ def test_stream_reads_a_table_that_is_a_folder(spark, tmp_path):
     assert sorted(r["doc_id"] for r in got.collect()) == list(range(20))
     single = jobs.run_available(streams._stream(spark, "/root/testdata/sf0.001", "documents"), str(tmp_path / "file"), "append")
     assert single.count() == spark.read.parquet("/root/testdata/sf0.001/documents.parquet").count()
+
+
+def test_rows_in_many_chunks_meet_models_in_many_groups(spark):
+    train = spark.createDataFrame(
+        [(m, f"w{i % 5} w{i % 3} w{m}", f"l{i % 2}") for m in range(3) for i in range(12)], "m bigint, text string, label string"
+    )
+    model = classify.train(train, ["m"])
+    test = spark.createDataFrame([(i, f"w{i % 5} w{i % 4} new", "l0") for i in range(30)] + [(5, None, "l0")], "row_id bigint, text string, label string")
+
+    def result(**sizes):
+        return sorted(map(tuple, classify.predict(model, test, ["row_id"], **sizes).withColumn("confidence", F.round("confidence", 9)).collect()))
+
+    assert len(result()) == 90
+    assert result(chunk=4, types=1) == result()
