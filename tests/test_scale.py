@@ -29,3 +29,17 @@ def test_rows_in_many_chunks_meet_models_in_many_groups(spark):
 
     assert len(result()) == 90
     assert result(chunk=4, types=1) == result()
+
+
+def test_vectors_apart_share_few_cells(spark):
+    rng = np.random.default_rng(1)
+    x = rng.normal(size=(2000, 16))
+    x /= np.sqrt((x**2).sum(axis=1))[:, None]
+    rows = [("a", i, v.tolist()) for i, v in enumerate(x)] + [("b", 5000 + i, (v + 2e-4 * (i % 2)).tolist()) for i, v in enumerate(x[:50])]
+    df = spark.createDataFrame([*rows, ("a", 9000, None), ("a", 9001, [float("nan")] * 16), (None, 9002, [None] * 16)], "dataset_id string, row_id bigint, vector array<double>")
+    placed = vectors.cells_around(df.filter("row_id < 2000"), 1e-3)
+    met = placed.select(F.explode("around").alias("cell"), F.col("row_id").alias("other")).join(placed, "cell")
+    assert placed.agg(F.avg(F.size("around"))).first()[0] < 4
+    assert 2000 <= met.count() < 2500
+    got = {(r["kept_id"], r["dataset_id"]): r["members"] for r in vectors.dedup_within(df, 1e-3).collect()}
+    assert got == {(i, "a"): 1 for i in range(2000)} | {(i, "b"): 1 for i in range(50)}
