@@ -43,3 +43,12 @@ def test_vectors_apart_share_few_cells(spark):
     assert 2000 <= met.count() < 2500
     got = {(r["kept_id"], r["dataset_id"]): r["members"] for r in vectors.dedup_within(df, 1e-3).collect()}
     assert got == {(i, "a"): 1 for i in range(2000)} | {(i, "b"): 1 for i in range(50)}
+
+
+def test_nearest_centre_is_exact_where_single_precision_is_not():
+    rng = np.random.default_rng(2)
+    x = np.floor(rng.normal(size=(500, 64)) * 1e5)
+    c = np.concatenate([x[:20], x[:20] + (np.arange(64) == 3), np.floor(rng.normal(size=(40, 64)) * 1e5)])
+    x = np.concatenate([x, c + (np.arange(64) == 3) * rng.integers(0, 2, 80)[:, None]])
+    near = mauve._nearest(x, x.astype(np.float32), np.sqrt((x**2).sum(1)), c)
+    assert (near == ((x[:, None, :] - c[None]) ** 2).sum(2).argmin(1)).all()
