@@ -126,6 +126,8 @@ def _unit_scores(row: list[str], result_key: list[str], schema: pa.Schema) -> Ca
     """Scores of a chunk of rows under the models of a group, label by label."""
 
     def run(rows: pa.Table, weights: pa.Table) -> pa.Table:
+        # A filter of its own would cut every text into words once more.
+        rows = rows.filter(pc.is_valid(rows["__words"]))
         if not rows.num_rows or not weights.num_rows:
             return schema.empty_table()
         # Rows of the same id and label count as one.
@@ -203,7 +205,7 @@ def predict(
     models = stored(models, "models")
     n_rows = rows.groupBy(*by).agg(F.ceil(F.count(F.lit(1)) / chunk).alias("__chunks"))
     plan = stored(models.groupBy(*by).agg(F.collect_set("__group").alias("__groups")).join(n_rows, by), "plan")
-    listed = rows.select(*by, *[c for c in row if c not in by], "__truth", tokens.alias("__list")).filter(F.col("__list").isNotNull())
+    listed = rows.select(*by, *[c for c in row if c not in by], "__truth", tokens.alias("__list"))
     placed = listed.join(plan, by).withColumn("__chunk", F.pmod(F.xxhash64(*row), F.col("__chunks")))
     texts = placed.select(
         *by, *[c for c in row if c not in by], "__truth", "__chunk", F.array_join("__list", _SEPARATOR).alias("__words"), F.explode("__groups").alias("__group")
