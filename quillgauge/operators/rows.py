@@ -14,7 +14,8 @@ from quillgauge.operators.ordering import number_by_id
 
 
 def remove_empty(df: DataFrame, min_length: int = 2) -> DataFrame:
-    return df.filter((F.col("text") != "") & (F.length("text") >= min_length))
+    # One test: a filter computes the text anew for each mention of it.
+    return df.filter(F.length("text") >= max(min_length, 1))
 
 
 def load_normalise(df: DataFrame, min_length: int = 2) -> DataFrame:

@@ -7,6 +7,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from quillgauge.functions import text
+from quillgauge.operators import rows
 
 SPACES = "".join(map(chr, [*range(9, 14), *range(0x1C, 0x21), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
 
@@ -45,3 +46,30 @@ def test_tokens_take_less_time_than_by_two_ranges(spark):
     slow = quickest(df, ranges)
     assert quickest(df, text.token_array("text")) < slow / 1.7
     assert quickest(df, text.token_number("text")) < slow / 1.7
+
+
+def test_clean_text_of_odd_texts(spark):
+    def want(t):
+        t = re.sub("([a-z])-([a-z])", r"\1 \2", t)
+        t = re.sub(f"[^a-z{SPACES}]", "", t)
+        return re.sub("[^a-z]{2,}", " ", t).strip(SPACES)
+
+    df = spark.createDataFrame([(t,) for t in odd_texts()], "text string")
+    got = df.select(F.lower("text"), text.clean_text("text")).collect()
+    assert [c for _, c in got] == [None if t is None else want(t) for t, _ in got]
+
+
+def test_clean_text_takes_less_time_than_by_all_ranges(spark):
+    df, ws = prose(spark), text.WHITESPACE
+    ranges = F.regexp_replace(F.regexp_replace(F.lower("text"), r"([a-z])-([a-z])", "$1 $2"), f"[^a-z{ws}]", "")
+    ranges = F.regexp_replace(F.regexp_replace(ranges, f"[{ws}]{{2,}}", " "), f"^[{ws}]+|[{ws}]+$", "")
+    slow = quickest(df, ranges)
+    assert quickest(df, text.clean_text("text")) < slow / 1.7
+
+
+def test_remove_empty_tests_a_text_once(spark):
+    df = spark.createDataFrame([("",), ("a",), ("ab",), (None,)], "raw string").select(F.upper("raw").alias("text"))
+    assert [r[0] for r in rows.remove_empty(df).collect()] == ["AB"]
+    assert sorted(r[0] for r in rows.remove_empty(df, 0).collect()) == ["A", "AB"]
+    plan = rows.remove_empty(df)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.partition("Filter")[2].split("\n")[0].count("upper(") == 1
