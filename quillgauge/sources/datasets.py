@@ -22,13 +22,17 @@ NEWS_CLASSES = {1: "World", 2: "Sports", 3: "Business", 4: "Sci/Tech"}
 EMOTIONS = ("gratitude", "nervousness", "desire", "grief", "surprise")
 
 
-def write_csv(df: DataFrame, path: str, partition_by: Sequence[str] = (), sep: str = ",") -> None:
-    """CSV with a header, doubled quotes inside values and doubled backslashes."""
+def write_csv(df: DataFrame, path: str, partition_by: Sequence[str] = (), sep: str = ",", rows_per_file: int = 0) -> None:
+    """CSV with a header, doubled quotes inside values and doubled backslashes.
+
+    With ``rows_per_file`` no file has more rows; the names of a task's files follow the order of its rows.
+    """
     strings = [f.name for f in df.schema.fields if isinstance(f.dataType, T.StringType) and f.name not in partition_by]
     escaped = df.withColumns({c: F.replace(F.col(c), F.lit("\\"), F.lit("\\\\")) for c in strings})
     (
         escaped.write.partitionBy(*partition_by)
         .options(header=True, quote='"', escape='"', sep=sep, ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
+        .option("maxRecordsPerFile", rows_per_file)
         .csv(path)
     )
 
@@ -130,15 +134,17 @@ def load_many(spark: SparkSession, paths: Sequence[str], dual: bool = False) ->
     """
     columns = "text string, label string" + (", other_text string" if dual else "")
     rows = read_csv(spark, list(paths), columns, origin=True)
+    # Local names come with and without a scheme.
     listed = spark.createDataFrame([(p.rstrip("/"),) for p in paths], "dataset_id string").distinct()
+    listed = listed.withColumn("__place", F.regexp_replace("dataset_id", "^file:/+", "/"))
     file = F.regexp_replace("file", "^file:/+", "/")
-    named = rows.withColumn("file", file).withColumn("dataset_id", F.col("file"))
     folder = F.regexp_replace("file", "/[^/]*$", "")
-    whole = named.join(listed, "dataset_id", "left_semi")
-    parts = named.withColumn("dataset_id", folder).join(listed, "dataset_id", "left_semi")
+    placed = rows.withColumn("file", file).withColumn("__place", F.explode(F.array("file", folder)))
+    # The names come from the driver, so they fit a broadcast; the texts are not shuffled to meet them.
+    found = placed.join(F.broadcast(listed), "__place").drop("__place")
     block = F.struct("file", id_bucket("at").alias("block"))
     # The files are parsed once; numbering reads them twice.
-    clean = stored(load_normalise(whole.unionByName(parts)), "loaded")
+    clean = stored(load_normalise(found), "loaded")
     numbered = number_rows(clean, ["dataset_id"], ["file", "at"], block, name="row_id")
     others = ["other_text"] if dual else []
     return numbered.select("dataset_id", (F.col("row_id") - 1).alias("row_id"), "text", "label", *others)

@@ -86,3 +86,40 @@ def test_features_are_cut_behind_join_and_sort(spark, sf, monkeypatch):
     plan = kept[0]._jdf.queryExecution().optimizedPlan().toString()
     assert -1 < plan.index("split(") < plan.index("Sort [") < plan.index("Join ")
     assert plan.count("split(") == 1
+
+
+def test_csv_in_many_files_keeps_the_order(spark, tmp_path):
+    said = [(f"d{i % 2}", i, f"text {i}\nof it", "x") for i in range(40)]
+    df = spark.createDataFrame(said, "dataset_id string, row_id int, text string, label string")
+    ordered = df.repartitionByRange(3, "dataset_id", "row_id").sortWithinPartitions("dataset_id", "row_id")
+    sources.write_csv(ordered.select("dataset_id", "text", "label"), f"{tmp_path}/out", ["dataset_id"], rows_per_file=4)
+    assert all(len(list((tmp_path / f"out/dataset_id={d}").glob("*.csv"))) >= 5 for d in ("d0", "d1"))
+    got = sources.load_many(spark, [f"{tmp_path}/out/dataset_id={d}" for d in ("d0", "d1")]).collect()
+    want = {(f"{tmp_path}/out/dataset_id={d}", i // 2, t) for d, i, t, _ in said}
+    assert {(r["dataset_id"], r["row_id"], r["text"]) for r in got} == want and len(got) == len(said)
+
+
+def test_load_many_parses_once_and_takes_names_with_a_scheme(spark, tmp_path, monkeypatch):
+    df = spark.createDataFrame([("one", "x"), ("two", "y")], "text string, label string")
+    sources.write_csv(df.coalesce(1), f"{tmp_path}/a")
+    (file,) = (tmp_path / "a").glob("*.csv")
+    kept = []
+    stored = sources.stored
+    monkeypatch.setattr(sources, "stored", lambda df, name: kept.append(df) or stored(df, name))
+    for name in (f"{tmp_path}/a", f"file://{tmp_path}/a", f"file:{tmp_path}/a/", str(file), f"file://{file}"):
+        got = sources.load_many(spark, [name]).collect()
+        assert sorted((r["dataset_id"], r["row_id"], r["text"]) for r in got) == [(name.rstrip("/"), 0, "one"), (name.rstrip("/"), 1, "two")]
+        plan = kept[-1]._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("Relation [") == 1
+
+
+def test_manifest_load_writes_many_files_of_a_dataset(spark, sf, monkeypatch):
+    """No dataset is sorted and written by one task."""
+    kept = []
+    write = sources.write_csv
+    monkeypatch.setattr(sources, "write_csv", lambda df, *a, **kw: (kept.append((df, kw)), write(df, *a, **kw)))
+    QUERIES["manifest_load"](spark, sf)
+    (df, options), = kept
+    assert "RepartitionByExpression [dataset_id" in (plan := df._jdf.queryExecution().optimizedPlan().toString())
+    assert re.search(r"RepartitionByExpression \[dataset_id#\d+ ASC NULLS FIRST, row_id#\d+L? ASC", plan)
+    assert options["rows_per_file"] > 0
