@@ -52,3 +52,37 @@ def test_nearest_centre_is_exact_where_single_precision_is_not():
     x = np.concatenate([x, c + (np.arange(64) == 3) * rng.integers(0, 2, 80)[:, None]])
     near = mauve._nearest(x, x.astype(np.float32), np.sqrt((x**2).sum(1)), c)
     assert (near == ((x[:, None, :] - c[None]) ** 2).sum(2).argmin(1)).all()
+
+
+def final_plan(df):
+    df.collect()
+    return df._jdf.queryExecution().explainString(df.sparkSession._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("simple")).split("Initial Plan")[0]
+
+
+def test_vectors_of_few_groups_stay_where_they_are(spark):
+    """Rows of two groups meet their weights without being gathered in two tasks."""
+    df = spark.createDataFrame([(f"g{i % 2}", i, f"w{chr(97 + i % 7)} the") for i in range(60)], "g string, row_id bigint, text string")
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "40")
+    try:
+        plan = final_plan(vectors.hash_vectors(df, by=["g"]))
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert "Exchange hashpartitioning" not in plan and "SortMergeJoin" not in plan
+
+
+def test_fixed_point_works_a_vector_out_once(spark):
+    """What makes the vector is not repeated for its length, the filter and its components."""
+    df = spark.createDataFrame([(i, [float(i), 1.0]) for i in range(5)], "row_id bigint, vector array<double>")
+    made = df.withColumn("vector", F.transform("vector", lambda x: x + F.lit(0.25)))
+    out = mauve.fixed_point(made)
+    assert final_plan(out).count("0.25") == 1
+    for r in out.collect():
+        x, y = r["row_id"] + 0.25, 1.25
+        assert r["vector"] == [float(np.floor(v / np.sqrt(x * x + y * y) * 1e6 + 0.5)) for v in (x, y)]
+
+
+def test_vectors_without_use_go_and_empty_ones_stay(spark):
+    rows = [(1, [3.0, 4.0]), (2, [0.0, 0.0]), (3, None), (4, [1.0, None]), (5, [float("nan"), 1.0]), (6, [float("inf"), 1.0]), (7, [1e200, 1.0]), (8, [])]
+    out = mauve.fixed_point(spark.createDataFrame(rows, "row_id bigint, vector array<double>"))
+    assert {r["row_id"]: r["vector"] for r in out.collect()} == {1: [6e5, 8e5], 2: [0.0, 0.0], 8: []}
